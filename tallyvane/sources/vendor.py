@@ -126,7 +126,8 @@ def feed_news(payloads: DataFrame) -> DataFrame:
     item = "STRUCT<id: STRING, headline: STRING, url: STRING, datetime: STRING, summary: STRING, " \
            "related: STRING, sentiment: DOUBLE>"
     r = payloads.select(F.from_json("payload", item).alias("r")).select("r.*")
-    tickers = F.filter(F.transform(F.split(F.coalesce("related", F.lit("")), ","), F.trim),
+    tickers = F.filter(F.transform(F.split(F.coalesce("related", F.lit("")), ","),
+                                   lambda t: F.trim(t)),
                        lambda t: t != "")
     return r.select(
         F.coalesce("id", F.lit("")).alias("external_id"), F.lit("finnhub").alias("source"),

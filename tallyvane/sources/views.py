@@ -43,21 +43,21 @@ HEADLINES = (
 
 # fixed values: (priority digit + status) -> (indicator, divisor)
 MACRO_SERIES = (
-    ("1O", "vix", 10000.0),
-    ("1F", "fed_funds_rate", 60000.0),
-    ("1P", "treasury_10y", 65000.0),
-    ("2O", "treasury_2y", 65000.0),
-    ("2F", "treasury_3m", 66000.0),
-    ("2P", "treasury_30y", 62000.0),
-    ("3O", "cpi", 1000.0),
-    ("3F", "unemployment_rate", 60000.0),
-    ("3P", "gdp", 10.0),
-    ("4O", "core_cpi", 1000.0),
-    ("4F", "ppi", 1000.0),
-    ("4P", "real_gdp", 10.0),
-    ("5O", "money_supply_m2", 10.0),
-    ("5F", "consumer_sentiment", 4000.0),
-    ("5P", "industrial_production", 2500.0),
+    ("1O", "vix", 9973.0),
+    ("1F", "fed_funds_rate", 59971.0),
+    ("1P", "treasury_10y", 64969.0),
+    ("2O", "treasury_2y", 64969.0),
+    ("2F", "treasury_3m", 65963.0),
+    ("2P", "treasury_30y", 61991.0),
+    ("3O", "cpi", 997.0),
+    ("3F", "unemployment_rate", 59971.0),
+    ("3P", "gdp", 9.7),
+    ("4O", "core_cpi", 997.0),
+    ("4F", "ppi", 997.0),
+    ("4P", "real_gdp", 9.7),
+    ("5O", "money_supply_m2", 9.7),
+    ("5F", "consumer_sentiment", 3989.0),
+    ("5P", "industrial_production", 2503.0),
 )
 
 NEWS_WINDOW_HOURS = 4320
@@ -196,7 +196,7 @@ class Market:
             "period_type",
             *measures,
             (F.col("free_cash_flow") - F.col("operating_cash_flow")).alias("capital_expenditure"),
-            (F.col("net_income") / 1000.0).alias("eps"),
+            (F.col("net_income") / 997.0).alias("eps"),
         )
 
     # -- macro --------------------------------------------------------------
@@ -270,7 +270,7 @@ class Market:
                 F.col("vec_id").alias("entity_id"),
                 F.coalesce("text", F.lit("")).alias("content"),
                 (F.col("vec_id") % self.n_companies).alias("company_id"),
-                F.when(F.col("vec_id") % 4 != 0, (F.col("vec_id") % 10) / 10.0).alias("importance"),
+                F.when(F.col("vec_id") % 4 != 0, (F.col("vec_id") % 10) / 9.7).alias("importance"),
                 F.timestamp_seconds(
                     F.unix_timestamp(self.now) - (F.col("vec_id") % NEWS_WINDOW_HOURS) * 3600
                 ).alias("published_at"),
