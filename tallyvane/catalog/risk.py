@@ -1 +1,75 @@
-"""(to come)"""
+"""Risk queries."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from tallyvane.catalog.common import day_text, rnd, sql_day, sql_rnd
+from tallyvane.catalog.events import market_events
+from tallyvane.catalog.registry import query
+from tallyvane.catalog.sqlviews import add_view, with_views
+from tallyvane.operators import fundamentals as fund
+from tallyvane.operators import indicators, risk
+
+RISK_DAYS = 252
+
+add_view("risk_rows", "bars facts", f"""
+    SELECT *, lag(ret) OVER (PARTITION BY company_id ORDER BY ts) AS prev_ret FROM (
+      SELECT company_id, ts, close, volume, close / lag(close) OVER w - 1 AS ret,
+             max(close) OVER (PARTITION BY company_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS peak,
+             row_number() OVER (PARTITION BY company_id ORDER BY ts DESC) AS age,
+             count(*) OVER (PARTITION BY company_id) AS n
+      FROM bars, facts WHERE ts >= as_of - INTERVAL {RISK_DAYS} DAY
+      WINDOW w AS (PARTITION BY company_id ORDER BY ts))""")
+add_view("price_risk", "risk_rows", """
+    SELECT company_id, max(ts) AS ts, max(n) AS n_bars,
+           CASE WHEN count(ret) >= 20 THEN stddev_samp(ret) * sqrt(252) END AS volatility,
+           abs(min((close - peak) / peak)) AS max_drawdown,
+           CASE WHEN count(ret) >= 30 THEN quantile_cont(ret, 0.05) END AS value_at_risk,
+           least(1, greatest(0, log10(avg(volume) FILTER (age <= 20)) / 7)) AS liquidity_score,
+           CASE WHEN count(ret) >= 30 THEN corr(ret, prev_ret) END AS ac
+    FROM risk_rows GROUP BY company_id HAVING max(n) >= 20""")
+add_view("statement_risk", "last_statement", """
+    SELECT company_id, least(1.0, 0.5 + CASE WHEN de > 2 THEN 0.2 WHEN de > 1 THEN 0.1 ELSE 0 END
+             + CASE WHEN net_income < 0 THEN 0.15 ELSE 0 END + CASE WHEN free_cash_flow < 0 THEN 0.1 ELSE 0 END)::DOUBLE AS fundamental_risk,
+           least(1.0, 0.3 + CASE WHEN de > 2 THEN 0.3 WHEN de > 1 THEN 0.15 ELSE 0 END)::DOUBLE AS sector_risk
+    FROM (SELECT *, total_debt / shareholders_equity AS de FROM last_statement)""")
+add_view("risk", "price_risk statement_risk market_events facts", """
+    SELECT p.company_id, ts, n_bars, least(100, greatest(0, 100 * list_avg(list_filter(
+             [volatility, max_drawdown, fundamental_risk, coalesce(er, 0.1)::DOUBLE], lambda x: x IS NOT NULL)))) AS risk_score,
+           volatility, least(2.0, greatest(0.1, 1 + ac)) AS beta, max_drawdown, value_at_risk, liquidity_score,
+           fundamental_risk, coalesce(er, 0.1)::DOUBLE AS event_risk, least(1.0, volatility / 0.6) AS concentration_risk,
+           sector_risk, least(1.0, abs(ac) / 0.3) AS correlation_risk, least(1.0, n_bars / 252) AS confidence
+    FROM price_risk p LEFT JOIN statement_risk s USING (company_id)
+    LEFT JOIN (SELECT company_id, least(1.0, 0.1 + 0.15 * count(*) FILTER (impact = 'negative'))::DOUBLE AS er
+               FROM market_events, facts WHERE event_date >= as_of - INTERVAL 30 DAY GROUP BY 1) USING (company_id)""")
+
+
+def risk_of(m, ev=None):
+    ev = market_events(m) if ev is None else ev
+    return risk.risk_metrics(m.recent_bars(RISK_DAYS), fund.latest_statement(m.statements()), ev, m.days_ago(30))
+
+
+@query("risk_metrics", "F7 F9 F10 F12 F13 F14 F15 G10 A1 N1", with_views("risk", f"""
+    SELECT company_id, {sql_day("ts")}, n_bars, {sql_rnd(*risk.METRICS)} FROM risk"""))
+def risk_metrics(m):
+    return risk_of(m).select("company_id", day_text("ts"), "n_bars", *rnd(*risk.METRICS))
+
+
+@query("market_beta", "F11 E11", with_views("bars", """
+    SELECT company_id, n, CASE WHEN n >= 30 THEN round(b, 6) END AS beta FROM (
+      SELECT company_id, count(*) AS n, covar_samp(r.ret, k.ret) / var_samp(k.ret) AS b
+      FROM (SELECT company_id, ts, close / lag(close) OVER (PARTITION BY company_id ORDER BY ts) - 1 AS ret FROM bars) r
+      JOIN (SELECT ts, c / lag(c) OVER (ORDER BY ts) - 1 AS ret FROM (SELECT ts, avg(close) AS c FROM bars GROUP BY ts)) k USING (ts)
+      WHERE r.ret IS NOT NULL AND k.ret IS NOT NULL GROUP BY company_id)"""))
+def market_beta(m):
+    """Beta against the equal-weight mean close of the day."""
+    from pyspark.sql import Window
+
+    bars = m.bars()
+    rets = indicators.ordered_bars(bars).select("company_id", "ts", "ret")
+    index = bars.groupBy("ts").agg(F.avg("close").alias("c"))
+    # one row per trading day: a calendar-bounded ordering
+    w = Window.partitionBy(F.lit(0)).orderBy("ts")
+    index = index.withColumn("ret", F.col("c") / F.lag("c").over(w) - 1)
+    return risk.market_beta(rets, index).select("company_id", "n", *rnd("beta"))

@@ -120,10 +120,22 @@ def _c(x) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+def _alternatives(keys) -> str:
+    """Alternation grouped by first letter: most positions fail on one comparison."""
+    groups: dict[str, list[str]] = {}
+    for key in keys:
+        groups.setdefault(key[0], []).append(re.escape(key[1:]))
+    return "|".join(f"{re.escape(c)}(?:{'|'.join(rest)})" for c, rest in groups.items())
+
+
 def count_words_with(lowered: Column, keys) -> Column:
-    """Number of space-separated words that contain any of the keys."""
-    alt = "|".join(re.escape(k) for k in keys)
-    return F.regexp_count(lowered, F.lit(f"(?<![^{_SPACE}])[^{_SPACE}]*?(?:{alt})[^{_SPACE}]*"))
+    """Number of space-separated words that contain any of the keys.
+
+    A match runs from the first key in a word to the end of that word, so each
+    word counts once and the text is read once.
+    """
+    first = "".join(sorted({k[0] for k in keys}))
+    return F.regexp_count(lowered, F.lit(f"(?=[{first}])(?:{_alternatives(keys)})[^{_SPACE}]*"))
 
 
 def sentiment(positive, negative) -> dict[str, Column]:
