@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyvane.functions import text as tx
-from tallyvane.operators.pricing import price_reaction
+from tallyvane.operators.pricing import with_reaction
 from tallyvane.settings import SETTINGS
 
 SCORE_COLUMNS = ("sentiment", "relevance_score", "credibility_score", "magnitude_score", "impact_score",
@@ -95,14 +95,15 @@ def detect_events(news: DataFrame, links: DataFrame, bars: DataFrame, as_of, sin
 
 def relabel_from_price(events: DataFrame, bars: DataFrame, min_materiality: float = 0.5) -> DataFrame:
     """Material events take impact and score from the realised move when there is one."""
-    moved = price_reaction(
-        events.filter(F.col("materiality") >= min_materiality).select("company_id", "news_id", "event_date"),
-        bars, "event_date").select("company_id", "news_id", F.coalesce("price_change", F.lit(0.0)).alias("_chg"))
-    out = events.join(moved, ["company_id", "news_id"], "left")
+    moved = F.when((F.col("materiality") >= min_materiality) & F.col("reacted"),
+                   F.coalesce("price_change", F.lit(0.0)))
+    out = with_reaction(events, bars, "event_date").withColumn("_chg", moved)
     return out.withColumn(
         "impact", F.when(F.col("_chg") >= 0.03, "positive").when(F.col("_chg") <= -0.03, "negative")
         .otherwise(F.col("impact"))
-    ).withColumn("impact_score", F.coalesce(F.least(F.lit(1.0), F.abs("_chg") * 10), F.col("impact_score"))).drop("_chg")
+    ).withColumn(
+        "impact_score", F.coalesce(F.least(F.lit(1.0), F.abs("_chg") * 10), F.col("impact_score"))
+    ).select(*events.columns)
 
 
 def rank_by_materiality(events: DataFrame, as_of) -> DataFrame:

@@ -66,8 +66,12 @@ def forward_returns(points: DataFrame, bars: DataFrame, ts: str,
     return out
 
 
-def price_reaction(events: DataFrame, bars: DataFrame, ts: str) -> DataFrame:
-    """Last bar at or before each event and first bar at or after event + 1 day."""
+def with_reaction(events: DataFrame, bars: DataFrame, ts: str) -> DataFrame:
+    """Every event with the bar before it and the bar a day or more after it (NULL when missing).
+
+    One pass over the events: the price columns ride along, so an expensive
+    event plan is never evaluated twice for a self join.
+    """
     px = bars.select("company_id", F.col("ts").alias("bar_ts"), "close", "volume")
     out = asof_join(events, px, ["company_id"], ts, "bar_ts",
                     {"price_before": "close", "volume_before": "volume"})
@@ -75,16 +79,19 @@ def price_reaction(events: DataFrame, bars: DataFrame, ts: str) -> DataFrame:
     out = asof_join(out.withColumn("_after", after), px, ["company_id"], "_after", "bar_ts",
                     {"after_ts": "bar_ts", "price_after": "close", "volume_after": "volume"},
                     forward=True)
-    return (
-        out.filter(F.col("price_before").isNotNull() & F.col("price_after").isNotNull())
-        .withColumn("price_change",
-                    F.try_divide(F.col("price_after") - F.col("price_before"), F.col("price_before")))
-        .withColumn("volume_change",
-                    F.try_divide(F.col("volume_after") - F.col("volume_before"), F.col("volume_before")))
-        .withColumn("minutes_to_reaction",
-                    F.floor((F.unix_timestamp("after_ts") - F.unix_timestamp(ts)) / 60).cast("long"))
-        .drop("_after")
-    )
+    change = lambda a, b: F.try_divide(F.col(a) - F.col(b), F.col(b))
+    return out.drop("_after").withColumns({
+        "reacted": F.col("price_before").isNotNull() & F.col("price_after").isNotNull(),
+        "price_change": change("price_after", "price_before"),
+        "volume_change": change("volume_after", "volume_before"),
+        "minutes_to_reaction": F.floor(
+            (F.unix_timestamp("after_ts") - F.unix_timestamp(ts)) / 60).cast("long"),
+    })
+
+
+def price_reaction(events: DataFrame, bars: DataFrame, ts: str) -> DataFrame:
+    """Events that have both bars."""
+    return with_reaction(events, bars, ts).filter("reacted").drop("reacted")
 
 
 def trading_grid(bars: DataFrame, every: int, keys: list[str] | None = None) -> DataFrame:

@@ -190,8 +190,8 @@ def company_analysis_rules(record: str) -> list[Rule]:
     rules.append((confidence_value(record).isNull(), "invalid confidence"))
     rules += list_rules(record, "causes", "dict")
     rules += list_rules(record, "bull_case", "str") + list_rules(record, "bear_case", "str")
-    for k in CLAIM_FIELDS:
-        rules.append((F.exists(causes, lambda c, k=k: part(c, k).isNull()), f"claim missing {k}"))
+    lacks = lambda k: lambda c: part(c, k).isNull()
+    rules += [(F.exists(causes, lacks(k)), f"claim missing {k}") for k in CLAIM_FIELDS]
     rules.append((F.exists(causes, lambda c: ~text(c, "impact").isin(*LEVELS)), "invalid claim impact"))
     rules.append((F.exists(causes, lambda c: (kind_of(part(c, "confidence")) == "BOOLEAN")
                            | ~F.coalesce(number(c).between(0, 1), F.lit(False))), "invalid claim confidence"))

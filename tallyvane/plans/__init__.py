@@ -1,0 +1 @@
+"""All-company jobs: each chains operators into one lazy plan."""

@@ -153,6 +153,11 @@ class Market:
             "volume",
         )
 
+    def trade_days(self) -> DataFrame:
+        """(company_id, ts) of every trade: enough for recency checks, no aggregation."""
+        return self.table("lineitem").select(
+            F.col("l_suppkey").alias("company_id"), F.to_date("l_shipdate").cast("timestamp").alias("ts"))
+
     def recent_bars(self, days: int) -> DataFrame:
         return self.bars(since=self.as_of - dt.timedelta(days=days))
 
