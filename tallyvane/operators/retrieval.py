@@ -96,11 +96,11 @@ def similarity_pairs(docs: DataFrame, queries: DataFrame, dim: int, threshold, n
         hits = d.withColumn("_b", batch).select(*keep, score(F.col("_b")).alias("h"))
     else:
         n_blocks = -(-n_queries // block)
-        blocks = (q.withColumn("_blk", F.pmod(F.xxhash64("q.query_id"), F.lit(n_blocks)))
+        blocks = (q.withColumn("_blk", F.pmod(F.xxhash64("q.query_id"), F.lit(n_blocks).cast("long")))
                   .groupBy("_blk").agg(F.collect_list("q").alias("_b"))
                   .withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salt - 1)))))
         spread = (d.withColumn("_salt", F.pmod(F.xxhash64("id"), F.lit(salt)).cast("int"))
-                  .withColumn("_blk", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).cast("long")))
+                  .withColumn("_blk", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_blocks - 1).cast("long")))))
         hits = spread.join(blocks, ["_blk", "_salt"]).select(*keep, score(F.col("_b")).alias("h"))
     return hits.select(*keep, F.col("h.query_id").alias("query_id"), F.col("h.score").alias("score"))
 
