@@ -139,8 +139,4 @@ def with_views(names: str, body: str, recursive: bool = False) -> str:
         visit(name)
     ctes = ",\n".join(f"{n} AS ({VIEWS[n][1]})" for n in ordered)
     head = "WITH RECURSIVE " if recursive else "WITH "
-    joiner = ",\n" if body.lstrip().startswith("+") else "\n"
-    body = body.lstrip()
-    if body.startswith("+"):
-        body = body[1:]
-    return f"{head}{ctes}{joiner}{body}"
+    return f"{head}{ctes}\n{body.strip()}"

@@ -22,6 +22,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyvane.operators.materialize import materialize
+
 DUST = 1e-9
 
 
@@ -69,7 +71,7 @@ def position_sizes(runs: DataFrame, episodes: DataFrame) -> DataFrame:
     n = episodes.filter("picked = 1").groupBy("run_id", "k").agg(
         F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("price") > 0, 1)).alias("n_buy"))
     growth = _growth(episodes).groupBy("run_id", "k").agg(
-        F.map_from_entries(F.collect_list(F.struct("b", "g"))).alias("g"))
+        F.sort_array(F.collect_list(F.struct("b", "g"))).alias("g"))
     steps = n.join(growth, ["run_id", "k"], "full").groupBy("run_id").agg(F.array_sort(F.collect_list(F.struct(
         "k", F.coalesce("n", F.lit(0)).cast("double").alias("n"),
         F.coalesce("n_buy", F.lit(0)).cast("double").alias("n_buy"), "g"))).alias("steps"))
@@ -80,8 +82,8 @@ def position_sizes(runs: DataFrame, episodes: DataFrame) -> DataFrame:
 
     def step(acc: Column, s: Column) -> Column:
         returned = F.coalesce(F.aggregate(
-            F.map_entries(s["g"]), F.lit(0.0),
-            lambda t, e: t + e["value"] * F.coalesce(F.try_element_at(acc["size"], e["key"]), F.lit(0.0))), F.lit(0.0))
+            s["g"], F.lit(0.0),
+            lambda t, e: t + e["g"] * F.coalesce(F.try_element_at(acc["size"], e["b"]), F.lit(0.0))), F.lit(0.0))
         cash = acc["rest"] + returned
         size = F.when((s["n"] > 0) & (cash > DUST), cash / s["n"]).otherwise(0.0)
         rest = cash - size * s["n_buy"]
@@ -91,14 +93,15 @@ def position_sizes(runs: DataFrame, episodes: DataFrame) -> DataFrame:
 
     folded = runs.join(steps, "run_id", "left").select(
         "run_id", F.explode(F.aggregate(F.coalesce("steps", F.array().cast(
-            "array<struct<k:int,n:double,n_buy:double,g:map<int,double>>>")), start, step, lambda a: a["out"])).alias("o"))
+            "array<struct<k:int,n:double,n_buy:double,g:array<struct<b:int,g:double>>>>")), start, step, lambda a: a["out"])).alias("o"))
     return folded.select("run_id", "o.k", "o.size", "o.rest")
 
 
 def trades_of(runs: DataFrame, prices: DataFrame, dates: DataFrame, picks: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(trades, sizes). Open positions are sold at each ticker's own last bar."""
-    ep = _episodes(prices, dates, picks)
-    sizes = position_sizes(runs, ep)
+    # both are read several times below
+    ep = materialize(_episodes(prices, dates, picks))
+    sizes = materialize(position_sizes(runs, ep))
     buys = ep.filter("picked = 1 AND price > 0").join(sizes, ["run_id", "k"]).filter(F.col("size") > DUST).select(
         "run_id", "ticker", "ts", "k", "episode", F.lit("BUY").alias("action"), "price",
         (F.col("size") / F.col("price")).alias("shares"), F.col("size").alias("amount"))
@@ -113,10 +116,10 @@ def trades_of(runs: DataFrame, prices: DataFrame, dates: DataFrame, picks: DataF
         "shares", (F.col("shares") * F.col("price")).alias("amount"))
     trades = (buys.withColumn("kind", F.lit("rebalance")).unionByName(sold.withColumn("kind", F.lit("rebalance")))
               .unionByName(closing.withColumn("kind", F.lit("end"))))
-    return trades, sizes
+    return materialize(trades), sizes
 
 
-def equity_curve(runs: DataFrame, prices: DataFrame, dates: DataFrame, trades: DataFrame) -> DataFrame:
+def equity_curve(runs: DataFrame, prices: DataFrame, trades: DataFrame) -> DataFrame:
     """(run_id, ts, value): cash plus holdings at the last seen price, rounded to cents.
 
     A holding changes only at its own bars, so the value of all holdings is the
