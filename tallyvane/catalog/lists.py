@@ -59,10 +59,10 @@ def watched_opportunities(m):
 
 
 @query("company_catalogue", "C20", with_views("companies", """
-    SELECT company_id, ticker, name FROM companies WHERE (contains(lower(ticker), 's1') OR contains(lower(name), 's1')) AND sector = 'ASIA'
+    SELECT company_id, ticker, name FROM companies WHERE (contains(lower(ticker), '#0000') OR contains(lower(name), '#0000')) AND sector = 'ASIA'
     ORDER BY ticker, company_id LIMIT 10 OFFSET 1"""))
 def company_catalogue(m):
-    rows = sv.search_companies(m.companies(), "S1", "ASIA")
+    rows = sv.search_companies(m.companies(), "#0000", "ASIA")
     return rows.orderBy("ticker", "company_id").offset(1).limit(10).select("company_id", "ticker", "name")
 
 
