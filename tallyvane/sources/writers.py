@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
-from pyspark.sql.utils import AnalysisException
+from pyspark.errors import AnalysisException
 
 from tallyvane.operators.upsert import new_rows
 
@@ -29,12 +29,12 @@ def append_new(incoming: DataFrame, path: str, keys: list[str], seq: str,
     Counts come from ``observe`` on the write itself, so no second pass is made.
     """
     spark = incoming.sparkSession
-    seen, added = Observation("seen"), Observation("added")
-    incoming = incoming.observe(seen, F.count(F.lit(1)).alias("n"))
     try:
         target = spark.read.parquet(path)
-    except AnalysisException:
-        target = incoming.sparkSession.createDataFrame([], incoming.schema)
+    except AnalysisException:  # nothing stored yet
+        target = spark.createDataFrame([], incoming.schema)
+    seen, added = Observation("seen"), Observation("added")
+    incoming = incoming.observe(seen, F.count(F.lit(1)).alias("n"))
     fresh = new_rows(incoming, target, keys, seq).observe(added, F.count(F.lit(1)).alias("n"))
     fresh.write.mode("append").partitionBy(*(partition_by or [])).parquet(path)
     return {"seen": seen.get["n"], "inserted": added.get["n"]}

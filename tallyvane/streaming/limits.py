@@ -54,10 +54,9 @@ def admit(stream: DataFrame, key: str, limit: int, window_seconds: int) -> DataF
                 out.append((k[0], event_id, False, max(1, math.ceil(window_seconds - (now - kept[0])))))
             else:
                 kept.append(now)
-                out.append((k[0], event_id, True, None))
+                out.append((k[0], event_id, True, 0))
         state.update((kept,))
-        yield pd.DataFrame(out, columns=[key, "event_id", "admitted", "retry_after"]).astype(
-            {"retry_after": "Int64"})
+        yield pd.DataFrame(out, columns=[key, "event_id", "admitted", "retry_after"])
 
     return stream.groupBy(key).applyInPandasWithState(
         step, f"{key} long, event_id long, admitted boolean, retry_after long", "kept array<double>",
