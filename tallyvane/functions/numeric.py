@@ -27,6 +27,13 @@ def safe_divide(a, b) -> Column:
     return F.try_divide(col(a), col(b))
 
 
+def safe_corr(x: str, y: str) -> Column:
+    """Sample correlation over rows with both values; NULL when a side is constant."""
+    both = F.col(x).isNotNull() & F.col(y).isNotNull()
+    sd = lambda c: F.stddev_samp(F.when(both, F.col(c)))
+    return F.try_divide(F.covar_samp(x, y), sd(x) * sd(y))
+
+
 def growth_rate(current, previous) -> Column:
     """(current - previous) / |previous|, NULL when undefined."""
     return F.try_divide(col(current) - col(previous), F.abs(col(previous)))

@@ -277,7 +277,7 @@ def performance(runs: DataFrame, curve: DataFrame, trades: DataFrame) -> DataFra
     w = Window.partitionBy("run_id").orderBy("ts")
     peak = F.max("value").over(w.rowsBetween(Window.unboundedPreceding, 0))
     rows = curve.withColumn("ret", F.try_divide(F.col("value"), F.lag("value").over(w)) - 1).withColumn(
-        "dd", (F.col("value") - peak) / peak)
+        "dd", F.try_divide(F.col("value") - peak, peak))
     g = rows.groupBy("run_id").agg(
         F.max_by("value", "ts").alias("final_capital"), F.count(F.lit(1)).alias("n_days"),
         F.count("ret").alias("n_ret"), F.stddev_samp("ret").alias("sd"), F.avg("ret").alias("mean"),

@@ -61,7 +61,7 @@ def rsi_last(window: int = 14) -> Column:
     loss = F.sum(F.when(move < 0, -move * decay).otherwise(0.0))
     value = (F.when((gain == 0) & (loss == 0), None)
              .when(loss == 0, 100.0)
-             .otherwise(100 - 100 / (1 + gain / loss)))
+             .otherwise(100 - 100 / (1 + F.try_divide(gain, loss))))
     return F.when(F.max("n") >= window + 1, value)
 
 
@@ -112,8 +112,8 @@ def technical_indicators(bars: DataFrame, min_bars: int = 20) -> DataFrame:
         F.when(F.max("n") >= 31,
                F.stddev_samp(F.when(F.col("age") <= 30, F.col("ret"))) * math.sqrt(TRADING_DAYS))
         .alias("volatility_30d"),
-        F.when(F.max("n") >= 11, (at(1) - at(11)) / at(11) * 100).alias("momentum"),
-        F.abs(F.min((px - F.col("peak")) / F.col("peak"))).alias("drawdown"),
+        F.when(F.max("n") >= 11, F.try_divide(at(1) - at(11), at(11)) * 100).alias("momentum"),
+        F.abs(F.min(F.try_divide(px - F.col("peak"), F.col("peak")))).alias("drawdown"),
     )
     return (
         out.filter(F.col("n_bars") >= min_bars)
@@ -137,7 +137,7 @@ def rolling_series(bars: DataFrame, n: int = 20) -> DataFrame:
         F.when(full, mean).alias("sma"),
         F.when(full, mean + 2 * sd).alias("upper"),
         F.when(full, mean - 2 * sd).alias("lower"),
-        ((F.col("close") - past) / past * 100).alias("momentum"),
+        (F.try_divide(F.col("close") - past, past) * 100).alias("momentum"),
         F.when(seen >= n + 1, F.try_divide(F.col("volume") - avg_vol, avg_vol) * 100)
         .alias("volume_anomaly"),
     )

@@ -124,7 +124,7 @@ def trailing_volatility(bars: DataFrame, lookback: int, fallback: float = 0.25)
     """Annualised std of up to ``lookback`` trailing returns at each bar."""
     w = Window.partitionBy("company_id").orderBy("ts")
     tail = w.rowsBetween(-(lookback - 1), Window.currentRow)
-    rets = bars.withColumn("ret", F.col("close") / F.lag("close").over(w) - 1)
+    rets = bars.withColumn("ret", F.try_divide(F.col("close"), F.lag("close").over(w)) - 1)
     return rets.withColumn(
         "volatility",
         F.when(F.count("ret").over(tail) >= 2,

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyvane.functions.numeric import clamp, finite, mean_present, safe_divide
+from tallyvane.functions.numeric import clamp, mean_present, safe_corr, safe_divide
 from tallyvane.operators.indicators import TRADING_DAYS, ordered_bars
 
 METRICS = ("risk_score", "volatility", "beta", "max_drawdown", "value_at_risk", "liquidity_score",
@@ -19,12 +19,12 @@ def price_risk(bars: DataFrame, min_bars: int = 20) -> DataFrame:
     rows = ordered_bars(bars).withColumn("prev_ret", F.lag("ret").over(w))
     n_ret = F.count("ret")
     avg_vol = F.avg(F.when(F.col("age") <= 20, F.col("volume")))
-    ac = finite(F.corr("ret", "prev_ret"))
+    ac = safe_corr("ret", "prev_ret")
     return rows.groupBy("company_id").agg(
         F.max("ts").alias("ts"),
         F.max("n").alias("n_bars"),
         F.when(n_ret >= 20, F.stddev_samp("ret") * F.sqrt(F.lit(float(TRADING_DAYS)))).alias("volatility"),
-        F.abs(F.min((F.col("px") - F.col("peak")) / F.col("peak"))).alias("max_drawdown"),
+        F.abs(F.min(F.try_divide(F.col("px") - F.col("peak"), F.col("peak")))).alias("max_drawdown"),
         F.when(n_ret >= 30, F.percentile("ret", F.lit(0.05))).alias("value_at_risk"),
         F.when(F.max("n") >= 20, F.when(avg_vol <= 0, 0.0).otherwise(clamp(F.log10(avg_vol) / 7, 0, 1)))
         .alias("liquidity_score"),
