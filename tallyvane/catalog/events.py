@@ -62,12 +62,12 @@ def scored_news(m):
     return events.enrich_news(m.news(), m.now)
 
 
-def market_events(m, days: int = EVENT_DAYS):
+def market_events(m, days: int = EVENT_DAYS, news=None):
     # bars a little older than the oldest event, for the price before it
     from datetime import timedelta
 
     bars = m.bars(since=m.as_of - timedelta(days=days + 400))
-    return events.detect_events(scored_news(m), m.company_news(), bars, m.now, m.days_ago(days))
+    return events.detect_events(scored_news(m) if news is None else news, m.company_news(), bars, m.now, m.days_ago(days))
 
 
 _NEWS = ["sentiment", "relevance_score", "credibility_score", "magnitude_score", "impact_score", "confidence_score",

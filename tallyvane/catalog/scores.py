@@ -12,7 +12,7 @@ from tallyvane.catalog.registry import query
 from tallyvane.catalog.risk import risk_of
 from tallyvane.catalog.sqlviews import add_view, with_views
 from tallyvane.operators import fundamentals as fund
-from tallyvane.operators import indicators, scoring
+from tallyvane.operators import events, indicators, scoring
 from tallyvane.plans import scores as plan
 from tallyvane.settings import SETTINGS
 
@@ -90,10 +90,12 @@ def technical_of(m):
 def inputs(m):
     """The gold inputs of the score plan, each built once."""
     # three consumers (risk, catalyst, completeness); rebuilt from lineage if an executor is lost
-    ev = market_events(m).persist(StorageLevel.MEMORY_AND_DISK)
+    # articles are scored and classified once and kept without their text
+    news = events.classify_news(scored_news(m)).persist(StorageLevel.MEMORY_AND_DISK)
+    ev = market_events(m, news=news).persist(StorageLevel.MEMORY_AND_DISK)
     return {
         "companies": m.companies(), "statements": m.statements(), "metrics": fund.financial_metrics(m.statements()),
-        "technical": technical_of(m), "risk": risk_of(m, ev), "bars": m.trade_days(), "news": scored_news(m),
+        "technical": technical_of(m), "risk": risk_of(m, ev), "bars": m.trade_days(), "news": news,
         "links": m.company_news(), "events": ev, "macro": m.macro(), "as_of": m.now,
     }
 

@@ -59,10 +59,16 @@ def enrich_links(news: DataFrame, links: DataFrame, companies: DataFrame) -> Dat
 
 
 def classify_news(news: DataFrame) -> DataFrame:
-    """news plus event_type; the text itself is dropped right after."""
+    """news plus event_type; the text itself is dropped right after.
+
+    The type passes through ``explode(array(...))``: a later filter on it then stays
+    above the classification. Pushed below, it would classify every text twice,
+    lower-casing it once per phrase.
+    """
     low = F.lower(F.concat_ws(" ", F.coalesce("title", F.lit("")), F.coalesce("summary", F.lit(""))))
-    return (news.withColumn("_low", low).withColumn("event_type", tx.classify_event("_low"))
-            .drop("_low", "summary"))
+    rest = [c for c in news.columns if c != "summary"]
+    return (news.withColumn("_low", low).select(*rest, tx.classify_event("_low").alias("_type"))
+            .select(*rest, F.explode(F.array("_type")).alias("event_type")))
 
 
 def detect_events(news: DataFrame, links: DataFrame, bars: DataFrame, as_of, since,
@@ -70,10 +76,14 @@ def detect_events(news: DataFrame, links: DataFrame, bars: DataFrame, as_of, sin
                   min_relevance: float = SETTINGS.min_event_relevance) -> DataFrame:
     """Events from linked news: gate, classify, score, weigh, dedup, correlate with prices.
 
-    Articles are classified once, before the join with their links, so only
-    short columns are shuffled. One event per (company, news).
+    Articles are classified once (here, unless they come with an event_type),
+    before the join with their links, so only short columns are shuffled. One
+    event per (company, news).
     """
-    recent = classify_news(news.filter(F.col("published_at") >= since)).filter("event_type <> 'OTHER'")
+    recent = news.filter(F.col("published_at") >= since)
+    if "event_type" not in news.columns:
+        recent = classify_news(recent)
+    recent = recent.filter("event_type <> 'OTHER'")
     strong = links.filter(F.coalesce("relevance", F.lit(0.0)) >= min_relevance)
     confidence = F.coalesce(F.nullif(F.col("confidence"), F.lit(0.0)), F.lit(0.7)) if "confidence" in links.columns \
         else F.lit(0.7)
