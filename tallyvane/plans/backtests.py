@@ -23,9 +23,9 @@ def run_prices(specs: DataFrame, bars: DataFrame, companies: DataFrame) -> DataF
     """Bars of each run: its sector (all when NULL) within its period, with the parameters as columns."""
     b = bars.join(companies.select("company_id", "ticker", "sector"), "company_id").select(
         "ticker", F.col("sector").alias("_sector"), "ts", "close")
-    whole = specs.filter("sector IS NULL").join(companies.select(F.col("sector").alias("_sector")).distinct())
-    own = specs.filter("sector IS NOT NULL").withColumn("_sector", F.col("sector"))
-    s = own.unionByName(whole).drop("sector", "status")
+    sectors = companies.agg(F.collect_set("sector").alias("all")).scalar()
+    s = specs.withColumn("_sector", F.explode(F.when(F.col("sector").isNull(), sectors).otherwise(F.array("sector"))))
+    s = s.drop("sector", "status")
     return b.join(s, "_sector").filter(F.col("ts").between(F.col("start_date"), F.col("end_date"))).drop("_sector")
 
 

@@ -36,18 +36,27 @@ def fixed_windows(requests: DataFrame, key: str, ts: str, seconds: int) -> DataF
         F.count(F.lit(1)).alias("attempts")).select(key, F.col("w.start").alias("window_start"), "attempts")
 
 
-def _ordered(pdfs: Iterator[pd.DataFrame]) -> pd.DataFrame:
-    # rows of one key in one micro-batch, which the trigger bounds
-    return pd.concat(list(pdfs)).sort_values(["ts", "event_id"])
+def _row_order():
+    """Orders the rows of one key in one micro-batch (which the trigger bounds).
+
+    A nested function travels to the Python workers by value, so they need not
+    have this package on their path.
+    """
+
+    def ordered(pdfs: Iterator[pd.DataFrame]) -> pd.DataFrame:
+        return pd.concat(list(pdfs)).sort_values(["ts", "event_id"])
+
+    return ordered
 
 
 def admit(stream: DataFrame, key: str, limit: int, window_seconds: int) -> DataFrame:
     """Exact sliding-window admission; the state is the last ``limit`` admitted times."""
+    ordered = _row_order()
 
     def step(k: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         kept = list(state.get[0]) if state.exists else []
         out = []
-        for event_id, ts in _ordered(pdfs)[["event_id", "ts"]].itertuples(index=False):
+        for event_id, ts in ordered(pdfs)[["event_id", "ts"]].itertuples(index=False):
             now = ts.value / 1e9
             kept = [t for t in kept if now - t <= window_seconds]
             if len(kept) >= limit:
@@ -65,11 +74,12 @@ def admit(stream: DataFrame, key: str, limit: int, window_seconds: int) -> DataF
 
 def anchored_attempts(stream: DataFrame, key: str, window_seconds: int) -> DataFrame:
     """Attempt number within a window that starts at a key's first event and resets on expiry."""
+    ordered = _row_order()
 
     def step(k: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         expires, attempts = state.get if state.exists else (0.0, 0)
         out = []
-        for event_id, ts in _ordered(pdfs)[["event_id", "ts"]].itertuples(index=False):
+        for event_id, ts in ordered(pdfs)[["event_id", "ts"]].itertuples(index=False):
             now = ts.value / 1e9
             if expires <= now:
                 expires, attempts = now + window_seconds, 0
