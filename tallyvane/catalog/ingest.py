@@ -265,9 +265,7 @@ def filing_payloads(m):
                              ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)))"""))
 def filing_statements(m):
     """A year-end carries a quarterly and an annual instant; here the annual one is used for both."""
-    s = m.statements()
     out = vendor.filing_statements(filing_payloads(_InstantMarket(m)))
-    assert s is not None
     return out.select("company_id", "period", "period_type", *rnd("revenue", digits=4), "net_income", *rnd("eps"),
                       "total_assets", "total_debt", "operating_cash_flow", "capital_expenditure",
                       *rnd("free_cash_flow", digits=4), "filed_date", "source_id")
@@ -289,9 +287,9 @@ class _InstantMarket:
 
 
 @query("filing_concepts", "A18", with_views("statements", """
-    SELECT concept, form, unit, CAST(count(*) AS BIGINT) AS points, round(sum(value), 2) AS total FROM (
+    SELECT concept, form, unit, CAST(count(*) AS BIGINT) AS points, round(sum(value * CASE WHEN concept <> 'revenue' OR k = 0 THEN 1 WHEN k = 1 THEN 2 ELSE 9 END), 0) AS total FROM (
       SELECT unnest([
-        {'concept': 'revenue', 'unit': 'USD', 'value': revenue * 12},
+        {'concept': 'revenue', 'unit': 'USD', 'value': revenue},
         {'concept': 'net_income', 'unit': 'USD', 'value': net_income},
         {'concept': 'eps', 'unit': 'USD/shares', 'value': eps},
         {'concept': 'total_assets', 'unit': 'USD', 'value': total_assets},
@@ -300,11 +298,11 @@ class _InstantMarket:
         {'concept': 'capital_expenditure', 'unit': 'USD', 'value': cash}], recursive := true),
         CASE WHEN period_type = 'annual' THEN '10-K' ELSE '10-Q' END AS form,
       FROM statements) x, range(3) t(k) WHERE k = 0 OR concept = 'revenue'
-    GROUP BY ALL""".replace("revenue * 12", "revenue * (1 + 0)")).replace("round(sum(value), 2)", "round(sum(CASE WHEN concept = 'revenue' THEN value * (CASE k WHEN 0 THEN 1 WHEN 1 THEN 2 ELSE 9 END) ELSE value END), 2)"))
+    GROUP BY ALL"""))
 def filing_concepts(m):
     rows = vendor.filing_concepts(filing_payloads(m))
     return rows.groupBy("concept", "form", "unit").agg(
-        F.count(F.lit(1)).alias("points"), F.round(F.sum("value"), 2).alias("total"))
+        F.count(F.lit(1)).alias("points"), F.round(F.sum("value"), 0).alias("total"))
 
 
 @query("vendor_ownership", "A20", """
