@@ -3,24 +3,37 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Compute ``df`` once into the shared checkpoint folder and read it from there.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder named by ``spark.checkpoint.dir``, which every executor can read.
 
-    The folder is the one the cluster names in ``spark.checkpoint.dir``; blocks
-    there survive lost executors. Only a local session without the setting gets a
-    folder of its own. A cluster session without it keeps the lazy plan.
+    A session without the setting gets a folder of its own only when driver and
+    executors are one process; any other session fails here.
     """
-    spark = df.sparkSession
     sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        folder = sc.getConf().get("spark.checkpoint.dir")
-        if folder is None and sc.master.startswith("local"):
-            folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-        if folder is None:
-            return df
+    folder = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+    if folder is None:
+        if not (sc.master == "local" or sc.master.startswith("local[")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder shared by driver and executors")
+        folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         sc.setCheckpointDir(folder)
+    return folder.rstrip("/")
+
+
+def materialize(df: DataFrame) -> DataFrame:
+    """Compute ``df`` once into the shared checkpoint folder and read it from there."""
+    sc = df.sparkSession.sparkContext
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` as a Parquet table in the shared folder and read it back."""
+    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -6,6 +6,10 @@ sizes and ``spark.checkpoint.dir``; the values below are only defaults.
 
 from __future__ import annotations
 
+import pathlib
+import tempfile
+import zipfile
+
 from pyspark.sql import SparkSession
 
 DEFAULTS = {
@@ -38,3 +42,20 @@ def local_session(cores: int | str = "*", app: str = "tallyvane-local") -> Spark
     })
     spark.sparkContext.setLogLevel("ERROR")
     return spark
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> SparkSession:
+    """Send this package to the executors, once per application, so that Python workers can import it."""
+    sc = spark.sparkContext
+    if sc.applicationId not in _SHIPPED:
+        root = pathlib.Path(__file__).resolve().parent
+        archive = pathlib.Path(tempfile.mkdtemp(prefix="spark-")) / f"{root.name}.zip"
+        with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as z:
+            for path in sorted(root.rglob("*.py")):
+                z.write(path, path.relative_to(root.parent))
+        sc.addPyFile(str(archive))
+        _SHIPPED.add(sc.applicationId)
+    return spark
