@@ -10,11 +10,11 @@ are one node. Each tree is a sorted order of the nodes by their label sequence.
    verified links form components.
 2. Neighbours alone could miss a link in a dense region. So every region (equal
    prefix of the least depth) that still holds several components has all its
-   members outside the region's largest component compared with all of the region,
-   again by lengths, sketches, then full sets. Pairs inside a component are not needed.
+   members outside the region's largest component compared with all of the region
+   in blocks, again by lengths, sketches, then full sets. Pairs inside a component are not needed.
 
 So a link is missed only if no tree has both nodes in one region (at the threshold
-under 3 in 10,000, less above it) or the sketch errs by almost four deviations.
+under 6 in 10,000, less above it) or the sketch errs by almost four deviations.
 """
 
 from __future__ import annotations
@@ -36,11 +36,12 @@ FACTOR = _random.integers(0, 1 << 31, BITS, dtype=np.uint32) * np.uint32(2) + np
 SHIFT = _random.integers(0, 1 << 32, BITS, dtype=np.uint32)
 SKETCH_SLACK = 0.13  # near four deviations of the estimate at 0.8 to 0.85
 NEIGHBOURS = 2
+BLOCK_SHINGLES = 250_000
 
 
 def least_depth(threshold: float) -> int:
-    """Longest prefix at which some tree joins a pair at the threshold with a miss rate under 3 in 10,000."""
-    return max([1, *[d for d in range(1, DEPTH) if (1 - threshold ** d) ** TREES <= 3e-4]])
+    """Longest prefix at which some tree joins a pair at the threshold with a miss rate under 6 in 10,000."""
+    return max([1, *[d for d in range(1, DEPTH) if (1 - threshold ** d) ** TREES <= 6e-4]])
 
 
 def shingle_sets(column, k: int) -> Iterator[np.ndarray]:
@@ -100,13 +101,6 @@ def signed_rows(docs: DataFrame, k: int, depth: int) -> DataFrame:
         run, "doc_id bigint, row_key string, n_shingles bigint, node binary, signature array<bigint>")
 
 
-def _allowed(threshold: int):
-    """Lengths and sketches of a and b allow the similarity."""
-    apart = sum((F.bit_count(F.col(f"a.s{i}").bitwiseXOR(F.col(f"b.s{i}"))) for i in range(4)), F.lit(0))
-    most = int(BITS * (1 - (threshold / 100 - SKETCH_SLACK)) / 2)
-    return ((100 * F.least("a.n", "b.n") >= threshold * F.greatest("a.n", "b.n")) & (apart <= most))
-
-
 def neighbour_pairs(trees: DataFrame, threshold: int) -> DataFrame:
     """Distinct (a, b), a < b, of neighbours in the sorted orders that share a region and may be similar."""
     most = int(BITS * (1 - (threshold / 100 - SKETCH_SLACK)) / 2)
@@ -136,22 +130,128 @@ def neighbour_pairs(trees: DataFrame, threshold: int) -> DataFrame:
         F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
-def region_pairs(trees: DataFrame, components: DataFrame, threshold: int) -> DataFrame:
-    """Distinct (a, b) of different components in one region that may be similar."""
-    rows = trees.drop("q").join(components, "node", "left").withColumn("c", F.coalesce("component", "node")).drop("component")
-    by = rows.groupBy("tree", "p", "c").agg(F.count(F.lit(1)).alias("m"))
-    mixed = by.groupBy("tree", "p").agg(F.count(F.lit(1)).alias("k"), F.max_by("c", F.struct("m", "c")).alias("most")).where("k > 1")
-    rows = materialize(rows.join(mixed.drop("k"), ["tree", "p"]).withColumn("minor", F.col("c") != F.col("most")).drop("most"))
-    a, b = rows.where("minor").alias("a"), rows.alias("b")
-    once = ~F.col("b.minor") | (F.col("a.node") < F.col("b.node"))
-    pairs = a.join(b, (F.col("a.tree") == F.col("b.tree")) & (F.col("a.p") == F.col("b.p")) & (F.col("a.c") != F.col("b.c")) & once & _allowed(threshold))
-    return pairs.select(F.least("a.node", "b.node").alias("a"), F.greatest("a.node", "b.node").alias("b")).distinct()
+def mixed_regions(nodes: DataFrame, components: DataFrame, sketch: list) -> DataFrame:
+    """Rows of regions that hold several components: tree, p, node, n, sketch, c, minor (outside the largest one) and the
+    shingles of the whole region (total) and of its minor rows (minor_total)."""
+    labelled = nodes.join(components, "node", "left").withColumn("c", F.coalesce("component", "node"))
+    rows = labelled.select("node", "n", "c", *sketch, F.posexplode(F.slice("signature", 1, 2 * TREES)).alias("tree", "p")).where("tree % 2 = 0")
+    several = rows.groupBy("tree", "p").agg(F.min(F.xxhash64("c")).alias("x"), F.max(F.xxhash64("c")).alias("y")).where("x != y")
+    rows = stored(rows.join(several.select("tree", "p"), ["tree", "p"], "left_semi"), "regions")
+    by = rows.groupBy("tree", "p", "c").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("total"))
+    mixed = by.groupBy("tree", "p").agg(F.max_by("c", F.struct("m", "c")).alias("most"), F.sum("total").alias("total"),
+                                        (F.sum("total") - F.max_by("total", F.struct("m", "c"))).alias("minor_total"))
+    return rows.join(mixed, ["tree", "p"]).withColumn("minor", F.col("c") != F.col("most")).drop("most")
+
+
+def _block_rows(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """Every block of minor rows (side 0) beside every block of the region (side 1), sorted so that a meeting is one run of rows."""
+    blocks, minor_blocks = (F.greatest(F.lit(1), F.ceil(F.col(c) / BLOCK_SHINGLES)).cast("long") for c in ("total", "minor_total"))
+    zero = F.lit(0).cast("long")
+    whole = rows.select(*columns, F.lit(1).alias("side"), F.pmod(F.xxhash64("node"), blocks).alias("j"),
+                        F.explode(F.sequence(zero, minor_blocks - 1)).alias("i"))
+    part = rows.where("minor").select(*columns, F.lit(0).alias("side"), F.explode(F.sequence(zero, blocks - 1)).alias("j"),
+                                      F.pmod(F.xxhash64("node"), minor_blocks).alias("i")).select(whole.columns)
+    keys = ["tree", "p", "i", "j"]
+    return part.unionByName(whole).repartition(*keys).sortWithinPartitions(*keys, "side", "node")
+
+
+def _meetings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The runs of equal (tree, p, i, j); at most one run waits for its end."""
+    waiting: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("tree", "p", "i", "j")]
+        cuts = [0, *(np.flatnonzero(np.logical_or.reduce([k[1:] != k[:-1] for k in keys])) + 1).tolist(), batch.num_rows]
+        for a, b in zip(cuts[:-1], cuts[1:]):
+            if waiting and any(waiting[-1].column(c)[0] != batch.column(c)[a] for c in ("tree", "p", "i", "j")):
+                yield pa.Table.from_batches(waiting).combine_chunks()
+                waiting = []
+            waiting.append(batch.slice(a, b - a))
+    if waiting:
+        yield pa.Table.from_batches(waiting).combine_chunks()
+
+
+def _candidates(run: pa.Table, threshold: int, most: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(minor row, rows of other components that lengths and sketches allow) within a meeting."""
+    side, n = run.column("side").to_numpy(), run.column("n").to_numpy()
+    codes = run.column("c").combine_chunks().dictionary_encode()
+    codes = (codes.chunk(0) if isinstance(codes, pa.ChunkedArray) else codes).indices.to_numpy()
+    sketch = np.stack([run.column(f"s{i}").to_numpy() for i in range(4)], 1)
+    right = np.flatnonzero(side == 1)
+    for x in np.flatnonzero(side == 0).tolist():
+        y = right[(codes[right] != codes[x]) & (100 * np.minimum(n[x], n[right]) >= threshold * np.maximum(n[x], n[right]))]
+        if len(y):
+            y = y[np.bitwise_count((sketch[y] ^ sketch[x]).view(np.uint64)).sum(axis=1) <= most]
+        if len(y):
+            yield x, y
+
+
+def region_links(regions: DataFrame, known: DataFrame, nodes: DataFrame, docs: DataFrame, k: int, threshold: int) -> DataFrame:
+    """Links between different components of a region, verified on full sets.
+
+    A region's rows are dealt into blocks of about ``BLOCK_SHINGLES`` shingles, and
+    every block of rows outside the largest component meets every block of the
+    region, so a task holds two blocks at a time however large the region is. The
+    first pass has lengths and sketches only and finds the nodes with a possible
+    partner; only those bring their full sets to the second one, and sets in ``known``
+    are not made again. A pair that shares several trees is left to the first of them.
+    """
+    most = int(BITS * (1 - (threshold / 100 - SKETCH_SLACK)) / 2)
+    light = ["tree", "p", "node", "n", "c", "minor", "s0", "s1", "s2", "s3"]
+
+    def possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for run in _meetings(batches):
+            found: set[int] = set()
+            for x, y in _candidates(run, threshold, most):
+                found.add(x)
+                found.update(y.tolist())
+            if found:
+                yield pa.RecordBatch.from_arrays([run.column("node").combine_chunks().take(pa.array(sorted(found)))], names=["node"])
 
+    suspects = stored(_block_rows(regions, light).mapInArrow(possible, "node binary").distinct(), "suspects")
+    full = known.join(suspects, "node", "left_semi").unionByName(full_sets(suspects.join(known, "node", "left_anti"), nodes, docs, k))
+    rows = regions.join(full, "node").join(nodes.select("node", "signature"), "node")
 
-def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, k: int, threshold: int) -> DataFrame:
-    """The pairs whose full shingle sets reach the threshold."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    source = materialize(nodes.join(wanted, "node").select("node", "doc_id", "row_key"))
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for run in _meetings(batches):
+            tree, sign = run.column("tree")[0].as_py(), np.array(run.column("signature").to_pylist(), np.int64)
+            node, sets, minor = run.column("node").to_pylist(), run.column("shingles").combine_chunks(), run.column("minor").to_pylist()
+            comp = run.column("c").to_pylist()
+            root = {c: c for c in comp}
+            out: tuple[list[bytes], list[bytes]] = ([], [])
+
+            def find(c: bytes) -> bytes:
+                while root[c] != c:
+                    c = root[c]
+                return c
+
+            for x, ys in _candidates(run, threshold, most):
+                mine = np.frombuffer(sets[x].as_buffer(), np.uint64)
+                for y in ys[~(sign[ys, 0:tree:2] == sign[x, 0:tree:2]).any(axis=1)].tolist():
+                    if minor[y] and node[y] <= node[x] or find(comp[x]) == find(comp[y]):
+                        continue
+                    if similar(mine, np.frombuffer(sets[y].as_buffer(), np.uint64), threshold):
+                        root[find(comp[x])] = find(comp[y])
+                        out[0].append(node[x])
+                        out[1].append(node[y])
+            if out[0]:
+                yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.binary()), pa.array(out[1], pa.binary())], names=["a", "b"])
+
+    return _block_rows(rows, [*light, "shingles", "signature"]).mapInArrow(compare, "a binary, b binary")
+
+
+def similar(x: np.ndarray, y: np.ndarray, threshold: int) -> bool:
+    """Whether two sorted sets reach the threshold."""
+    if len(x) > len(y):
+        x, y = y, x
+    both = int((y[np.searchsorted(y, x).clip(0, len(y) - 1)] == x).sum())
+    return 100 * both >= threshold * (len(x) + len(y) - both)
+
+
+def full_sets(wanted: DataFrame, nodes: DataFrame, docs: DataFrame, k: int) -> DataFrame:
+    """(node, shingles) of the wanted nodes, from the whole text of one row each, as a table."""
+    source = stored(nodes.join(wanted, "node").select("node", "doc_id", "row_key"), "shingle-sources")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -162,16 +262,15 @@ def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, k: int, thresh
 
     same = (F.col("d.row_key") == F.col("s.row_key")) & F.col("d.doc_id").eqNullSafe(F.col("s.doc_id"))
     texts = docs.alias("d").join(source.alias("s"), same).select("s.node", "d.text").dropDuplicates(["node"])
-    full = stored(texts.mapInArrow(sets, "node binary, shingles binary"), "shingle-sets")
+    return stored(texts.mapInArrow(sets, "node binary, shingles binary"), "shingle-sets")
+
 
+def verified(pairs: DataFrame, full: DataFrame, threshold: int) -> DataFrame:
+    """The pairs whose full shingle sets (node, shingles) reach the threshold."""
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
-            for x, y in zip(batch.column("sa"), batch.column("sb")):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                both = len(x) + len(y) - len(np.union1d(x, y))
-                keep.append(100 * both >= threshold * (len(x) + len(y) - both))
-            keep = pa.array(keep, pa.bool_())
+            keep = pa.array([similar(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64), threshold)
+                             for x, y in zip(batch.column("sa"), batch.column("sb"))], pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column("a").filter(keep), batch.column("b").filter(keep)], names=["a", "b"])
 
     left = full.select(F.col("node").alias("a"), F.col("shingles").alias("sa"))
@@ -220,9 +319,10 @@ def components(docs: DataFrame, k: int, threshold: int) -> DataFrame:
              .select("tree", F.element_at("signature", 2 * F.col("tree") + 1).alias("p"), F.element_at("signature", 2 * F.col("tree") + 2).alias("q"),
                      "node", "n", *[f"s{i}" for i in range(4)]))
     near = stored(neighbour_pairs(trees, threshold), "neighbour-pairs")
-    links = stored(verified(near, nodes, keyed, k, threshold), "links")
-    rest = stored(region_pairs(trees, connected(links), threshold).join(near, ["a", "b"], "left_anti"), "region-pairs")
-    more = verified(rest, nodes, keyed, k, threshold)
+    known = full_sets(near.select(F.explode(F.array("a", "b")).alias("node")).distinct(), nodes, keyed, k)
+    links = stored(verified(near, known, threshold), "links")
+    regions = stored(mixed_regions(nodes, connected(links), sketch), "mixed-regions")
+    more = region_links(regions, known, nodes, keyed, k, threshold)
     labels = connected(materialize(links.unionByName(more)))
     grouped = nodes.select("node", "doc_id", "row_key").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     ids = grouped.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_key")).alias("f"))
