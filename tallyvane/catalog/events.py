@@ -123,26 +123,20 @@ def event_price_reactions(m):
 
 @query("materiality_ranking", "H9 J9", with_views("events_raw news_scored facts", f"""
     SELECT company_id, news_id, materiality_score, round_even(decay, 4) AS time_decay,
-           round_even(0.85::DOUBLE * 0.6::DOUBLE * materiality_score * decay, 4) AS effective_weight,
-           row_number() OVER (PARTITION BY company_id ORDER BY round_even(0.85::DOUBLE * 0.6::DOUBLE * materiality_score * decay, 4) DESC, news_id) AS pos
+           round_even(0.85::DOUBLE * 0.6::DOUBLE * materiality_score * decay, 4) AS effective_weight
     FROM (SELECT e.company_id, e.news_id, {sql_decay("event_date", "event_type")} AS decay,
                  round_even(({sql_weight("event_type")})::DOUBLE * (0.6::DOUBLE + 0.2::DOUBLE * abs(n.sentiment) + 0.2::DOUBLE * 0.5::DOUBLE), 4) AS materiality_score
-          FROM events_raw e JOIN news_scored n USING (news_id))
-    QUALIFY pos <= 5"""))
+          FROM events_raw e JOIN news_scored n USING (news_id))"""))
 def materiality_ranking(m):
-    """Five heaviest events per company, from classified articles and their links."""
+    """Weight of every event of every company, from classified articles and their links."""
     news = events.classify_news(scored_news(m)).filter("event_type <> 'OTHER'").filter(
         F.col("published_at") >= m.days_ago(EVENT_DAYS))
     links = m.company_news().filter("relevance >= 0.8").select("company_id", "news_id")
     rows = links.join(news, "news_id").select(
         "company_id", "news_id", "event_type", F.col("published_at").alias("event_date"), "sentiment",
         F.lit(0.5).alias("confidence"), F.lit(0.85).alias("relevance"), F.lit(0.6).alias("credibility"))
-    from tallyvane.operators.latest import top_per_key
-
-    ranked = events.rank_by_materiality(rows, m.now)
-    top = top_per_key(ranked, ["company_id"], [F.desc("effective_weight"), F.asc("news_id")], 5, rank_col="pos")
-    return top.select("company_id", "news_id", "materiality_score", "time_decay", "effective_weight",
-                      F.col("pos").cast("long").alias("pos"))
+    return events.rank_by_materiality(rows, m.now).select(
+        "company_id", "news_id", "materiality_score", "time_decay", "effective_weight")
 
 
 def stored_alerts(m):
@@ -160,7 +154,7 @@ def stored_alerts(m):
            CASE WHEN overall_score >= 80 THEN 'high' ELSE 'medium' END AS severity,
            ticker || ' price anomaly detected (score ' || printf('%.0f', overall_score) || ')' AS message
     FROM (SELECT * FROM anomalies JOIN companies USING (company_id) WHERE overall_score >= {ANOMALY_TRIGGER}
-          ORDER BY ts DESC, company_id DESC LIMIT 50) WHERE company_id % 4 <> 0"""))
+          ORDER BY ts DESC, company_id DESC) WHERE company_id % 4 <> 0"""))
 def anomaly_alerts(m):
     an = anomalies_of(m).withColumn("anomaly_id", F.col("company_id"))
     return events.anomaly_alerts(an, m.companies(), stored_alerts(m))
@@ -169,9 +163,9 @@ def anomaly_alerts(m):
 @query("event_alerts", "J12 E12 E2 N4", with_views("market_events companies", """
     SELECT company_id, 'MARKET_EVENT' AS alert_type, news_id AS source_id,
            CASE WHEN impact = 'negative' THEN 'high' ELSE 'medium' END AS severity,
-           ticker || ': ' || event_type || ' (' || substr(description, 1, 80) || ')' AS message
+           ticker || ': ' || event_type || ' (' || description || ')' AS message
     FROM (SELECT * FROM market_events JOIN companies USING (company_id) WHERE effective_weight >= 0.2
-          ORDER BY event_date DESC, news_id DESC LIMIT 50) WHERE news_id % 5 <> 0"""))
+          ORDER BY event_date DESC, news_id DESC) WHERE news_id % 5 <> 0"""))
 def event_alerts(m):
     # weight limit 0.2 instead of 0.4: unknown sources carry a credibility of 0.6
     ev = market_events(m).withColumn("event_id", F.col("news_id"))

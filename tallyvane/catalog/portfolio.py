@@ -69,13 +69,13 @@ def portfolio_allocations(m):
 @query("portfolio_summaries", "K9 F20 F21", with_views("book", """
     SELECT portfolio_id, n, n_held, round(allocated, 4) AS allocated, round(unallocated, 4) AS unallocated,
            round(weighted_score, 6) AS weighted_score, round(expected_risk, 6) AS expected_risk, round(diversification, 1) AS diversification,
-           CASE WHEN unallocated <= 0 THEN 'unknown' WHEN n_held = 0 THEN 'no qualifying investment opportunities'
+           CASE WHEN round(unallocated, 4) <= 0 THEN 'unknown' WHEN n_held = 0 THEN 'no qualifying investment opportunities'
                 WHEN n_held < n THEN 'position/sector limits prevent full deployment'
                 ELSE 'position limits prevent full deployment' END AS reason
-    FROM book WHERE abs(unallocated) > 0.01"""))
+    FROM book"""))
 def portfolio_summaries(m):
-    """Portfolios with a real cash rest; full deployment up to rounding is left out."""
-    s = p.portfolio_summary(weighted(m), ["portfolio_id"]).filter("abs(unallocated) > 0.01")
+    """Every portfolio's totals and why cash is left."""
+    s = p.portfolio_summary(weighted(m), ["portfolio_id"])
     return s.select("portfolio_id", "n", "n_held", *rnd("allocated", "unallocated", digits=4),
                     *rnd("weighted_score", "expected_risk"), *rnd("diversification", digits=1), "reason")
 

@@ -64,17 +64,12 @@ def newest_bars_ascending(m):
 
 
 @query("bars_by_staleness", "F2", with_views("bars companies", f"""
-    SELECT company_id, ticker, {sql_day("newest")},
-           row_number() OVER (ORDER BY newest NULLS FIRST, company_id) AS pos
+    SELECT company_id, ticker, {sql_day("newest")}
     FROM companies LEFT JOIN (SELECT company_id, max(ts) AS newest FROM bars GROUP BY 1)
-    USING (company_id) ORDER BY pos LIMIT 50"""))
+    USING (company_id)"""))
 def bars_by_staleness(m):
-    # the 50 stalest companies: a top-k report
-    from pyspark.sql import Window
-
-    top = pricing.stalest_first(m.companies(), m.bars()).limit(50)
-    w = Window.orderBy(F.asc_nulls_first("newest"), "company_id")
-    return top.select("company_id", "ticker", day_text("newest"), F.row_number().over(w).alias("pos"))
+    """Every company with its newest bar, stalest first."""
+    return pricing.stalest_first(m.companies(), m.bars()).select("company_id", "ticker", day_text("newest"))
 
 
 @query("simple_returns", "G1 H12", with_views("bar_rows", f"""

@@ -75,9 +75,9 @@ def streamed_anchored_attempts(m):
 
 @query("streamed_alerts", "L5 J12", """
     SELECT user_id % (SELECT count(*) FROM supplier) AS company_id, event_id AS source_id, CASE WHEN value >= 80 THEN 'high' ELSE 'medium' END AS severity
-    FROM (SELECT * FROM events WHERE event_type = 'error' AND value >= 10 ORDER BY ts DESC, event_id DESC LIMIT 50)""")
+    FROM (SELECT * FROM events WHERE event_type = 'error' AND value >= 10)""")
 def streamed_alerts(m):
-    """Error events as triggered anomalies; the newest fifty of the batch alert, replays add none."""
+    """Error events as triggered anomalies; each one alerts, replays add none."""
     s = dr.event_stream(m.spark, m.directory).filter("event_type = 'error'").select(
         (F.col("user_id") % m.n_companies).alias("company_id"), F.col("event_id").alias("anomaly_id"),
         F.col("value").alias("overall_score"), (F.col("value") >= 10).alias("triggered"), "ts")

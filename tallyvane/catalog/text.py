@@ -169,7 +169,7 @@ def source_ratings(m):
 
 def replies(m):
     """Model replies of four shapes around a JSON body, built from the conversations."""
-    body = F.to_json(F.struct(F.substring_index("text", ".", 1).alias("summary"), F.col("turn").alias("confidence")))
+    body = F.to_json(F.struct(F.col("text").alias("summary"), F.col("turn").alias("confidence")))
     shape = (F.col("conv_id") + F.col("turn")) % 4
     text = (F.when(shape == 0, body)
             .when(shape == 1, F.concat(F.lit("```json\n"), body, F.lit("\n```")))
@@ -180,7 +180,7 @@ def replies(m):
 
 @query("salvaged_json", "C19 D16", """
     SELECT conv_id, turn, CASE (conv_id + turn) % 4 WHEN 2 THEN 'span' WHEN 3 THEN 'raw' ELSE 'whole' END AS found,
-           CASE WHEN (conv_id + turn) % 4 <> 3 THEN split_part(text, '.', 1) END AS summary,
+           CASE WHEN (conv_id + turn) % 4 <> 3 THEN text END AS summary,
            CASE WHEN (conv_id + turn) % 4 <> 3 THEN turn END AS confidence
     FROM conversations""")
 def salvaged_json(m):

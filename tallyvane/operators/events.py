@@ -127,10 +127,9 @@ def rank_by_materiality(events: DataFrame, as_of) -> DataFrame:
     ).withColumn("time_decay", F.bround(decay, 4))
 
 
-def anomaly_alerts(anomalies: DataFrame, companies: DataFrame, alerts: DataFrame, newest: int = 50) -> DataFrame:
-    """Alerts of the newest triggered anomalies that have none yet (the cut comes first)."""
-    top = (anomalies.filter("triggered").join(companies.select("company_id", "ticker"), "company_id")
-           .orderBy(F.desc("ts"), F.desc("anomaly_id")).limit(newest))
+def anomaly_alerts(anomalies: DataFrame, companies: DataFrame, alerts: DataFrame) -> DataFrame:
+    """Alerts of all triggered anomalies that have none yet."""
+    top = (anomalies.filter("triggered").join(companies.select("company_id", "ticker"), "company_id"))
     fresh = top.join(alerts.filter("alert_type = 'PRICE_ANOMALY'").select(
         "company_id", F.col("source_id").alias("anomaly_id")), ["company_id", "anomaly_id"], "left_anti")
     return fresh.select(
@@ -140,15 +139,15 @@ def anomaly_alerts(anomalies: DataFrame, companies: DataFrame, alerts: DataFrame
 
 
 def event_alerts(events: DataFrame, companies: DataFrame, alerts: DataFrame, min_weight: float = 0.4,
-                 newest: int = 50) -> DataFrame:
-    """Alerts of the newest weighty events that have none yet."""
+                 shown: int | None = None) -> DataFrame:
+    """Alerts of all weighty events that have none yet; ``shown`` may cut the description in the message."""
+    description = F.coalesce("description", F.lit(""))
     top = (events.filter(F.col("effective_weight") >= min_weight)
-           .join(companies.select("company_id", "ticker"), "company_id")
-           .orderBy(F.desc("event_date"), F.desc("event_id")).limit(newest))
+           .join(companies.select("company_id", "ticker"), "company_id"))
     fresh = top.join(alerts.filter("alert_type = 'MARKET_EVENT'").select(
         "company_id", F.col("source_id").alias("event_id")), ["company_id", "event_id"], "left_anti")
     return fresh.select(
         "company_id", F.lit("MARKET_EVENT").alias("alert_type"), F.col("event_id").alias("source_id"),
         F.when(F.col("impact") == "negative", "high").otherwise("medium").alias("severity"),
         F.format_string("%s: %s (%s)", "ticker", "event_type",
-                        F.substring(F.coalesce("description", F.lit("")), 1, 80)).alias("message"))
+                        F.substring(description, 1, shown) if shown else description).alias("message"))

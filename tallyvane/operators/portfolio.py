@@ -64,7 +64,7 @@ def portfolio_summary(weighted: DataFrame, keys: list[str]) -> DataFrame:
     invest = F.col("capital") - F.col("cash_reserve")
     g = g.withColumn("allocated", F.col("_held") * invest).withColumn("unallocated", invest - F.col("allocated"))
     # float dust around zero is not unspent cash
-    reason = (F.when(F.col("unallocated") <= 1e-9 * F.col("capital"), "unknown")
+    reason = (F.when(F.round("unallocated", 4) <= 0, "unknown")
               .when(F.col("n_held") == 0, "no qualifying investment opportunities")
               .when(F.col("n_held") < F.col("n"), "position/sector limits prevent full deployment")
               .otherwise("position limits prevent full deployment"))

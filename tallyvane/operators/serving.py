@@ -76,9 +76,9 @@ def displayed_score(status: str, analysis_score: str, score: str) -> Column:
 
 
 def strongest_component(columns: list[tuple[str, str]]) -> Column:
-    """Text naming the largest finite component; the first one on ties."""
-    parts = [F.when(F.col(c).isNotNull() & ~F.isnan(c), F.struct(F.col(c).alias("v"), F.lit(-i).alias("i"), F.lit(n).alias("n")))
-             for i, (n, c) in enumerate(columns)]
+    """Text naming the largest finite component other than Risk; the first one on ties."""
+    parts = [F.when(F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(F.col(c)) != float("inf")), F.struct(F.col(c).alias("v"), F.lit(-i).alias("i"), F.lit(n).alias("n")))
+             for i, (n, c) in enumerate(columns) if n != "Risk"]
     best = F.array_max(F.array_compact(F.array(*parts)))
     return F.when(
         best.isNotNull(), F.format_string("Strongest measured component: %s (%.0f/100).", best["n"], best["v"])).otherwise(

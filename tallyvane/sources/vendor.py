@@ -78,7 +78,7 @@ def paged_bars(payloads: DataFrame) -> DataFrame:
         .filter(F.col("ts").isNotNull())
     )
     rows = top_per_key(rows, ["company_id", "ts"], [F.desc("page")])
-    volume = F.coalesce(_num("volume"), F.lit(0.0)).cast("long")
+    volume = F.bround(F.coalesce(_num("volume"), F.lit(0.0))).cast("long")
     return rows.select("company_id", "ts", *[_num(c).alias(c) for c in ("open", "high", "low", "close")],
                        _num("close").alias("adjusted_close"), volume.alias("volume"))
 
@@ -94,7 +94,7 @@ def column_bars(payloads: DataFrame) -> DataFrame:
         "company_id", parse_timestamp(F.col("t").cast("string")).alias("ts"),
         at("o").alias("open"), at("h").alias("high"), at("l").alias("low"), at("c").alias("close"),
         at("c").alias("adjusted_close"),
-        F.coalesce(at("v"), F.lit(0.0)).cast("long").alias("volume"))
+        F.bround(F.coalesce(at("v"), F.lit(0.0))).cast("long").alias("volume"))
 
 
 def dated_bars(payloads: DataFrame) -> DataFrame:
@@ -106,7 +106,7 @@ def dated_bars(payloads: DataFrame) -> DataFrame:
     return rows.select(
         "company_id", parse_timestamp("b.date").alias("ts"), "b.open", "b.high", "b.low", "b.close",
         F.coalesce("b.adjClose", "b.close").alias("adjusted_close"),
-        F.coalesce("b.volume", F.lit(0.0)).cast("long").alias("volume"))
+        F.bround(F.coalesce("b.volume", F.lit(0.0))).cast("long").alias("volume"))
 
 
 def short_key_bars(payloads: DataFrame) -> DataFrame:
@@ -118,7 +118,7 @@ def short_key_bars(payloads: DataFrame) -> DataFrame:
         "company_id", parse_timestamp(F.col("b.t").cast("string")).alias("ts"),
         F.col("b.o").alias("open"), F.col("b.h").alias("high"), F.col("b.l").alias("low"),
         F.col("b.c").alias("close"), F.col("b.c").alias("adjusted_close"),
-        F.coalesce("b.v", F.lit(0.0)).cast("long").alias("volume"))
+        F.bround(F.coalesce("b.v", F.lit(0.0))).cast("long").alias("volume"))
 
 
 def feed_news(payloads: DataFrame) -> DataFrame:
