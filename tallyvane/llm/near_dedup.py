@@ -297,6 +297,17 @@ def connected(links: DataFrame, max_rounds: int = 100) -> DataFrame:
     raise RuntimeError(f"components not settled after {max_rounds} rounds")
 
 
+def contracted(labels: DataFrame, more: DataFrame) -> DataFrame:
+    """(node, component) after further links: they join whole components, so only components take part in the rounds."""
+    for end in ("a", "b"):
+        known = labels.select(F.col("node").alias(end), "component")
+        more = more.join(known, end, "left").withColumn(end, F.coalesce("component", end)).drop("component")
+    joined_up = connected(materialize(more.where("a != b")))
+    inner = labels.join(joined_up.select(F.col("node").alias("component"), F.col("component").alias("further")), "component", "left").select(
+        "node", F.coalesce("further", "component").alias("component"))
+    return inner.unionByName(joined_up.join(labels, "node", "left_anti"))
+
+
 def components(docs: DataFrame, k: int, threshold: int) -> DataFrame:
     """doc_id, row_key, n_shingles, component_id, kept for every row of ``docs``.
 
@@ -321,9 +332,9 @@ def components(docs: DataFrame, k: int, threshold: int) -> DataFrame:
     near = stored(neighbour_pairs(trees, threshold), "neighbour-pairs")
     known = full_sets(near.select(F.explode(F.array("a", "b")).alias("node")).distinct(), nodes, keyed, k)
     links = stored(verified(near, known, threshold), "links")
-    regions = stored(mixed_regions(nodes, connected(links), sketch), "mixed-regions")
-    more = region_links(regions, known, nodes, keyed, k, threshold)
-    labels = connected(materialize(links.unionByName(more)))
+    first = connected(links)
+    regions = stored(mixed_regions(nodes, first, sketch), "mixed-regions")
+    labels = contracted(first, region_links(regions, known, nodes, keyed, k, threshold))
     grouped = nodes.select("node", "doc_id", "row_key").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     ids = grouped.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_key")).alias("f"))
     by_node = grouped.join(ids, "component").select("node", F.col("f.doc_id").alias("_id"), F.col("f.row_key").alias("keeper_key"))
