@@ -6,9 +6,8 @@ Spark job; a rerun after a lost executor or a retried job adds nothing twice.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
-from pyspark.errors import AnalysisException
 
 from tallyvane.operators.upsert import new_rows
 
@@ -22,16 +21,26 @@ def land_raw(payloads: DataFrame, path: str, provider: str, endpoint: str, retri
      .write.mode("append").partitionBy("provider", "day").parquet(path))
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether the path exists; a store that cannot be reached is an error, not an empty table."""
+    sc = spark.sparkContext
+    place = sc._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(sc._jsc.hadoopConfiguration()).exists(place)
+
+
 def append_new(incoming: DataFrame, path: str, keys: list[str], seq: str,
                partition_by: list[str] | None = None) -> dict[str, int]:
     """Append rows whose key is not stored yet; returns inserted and seen counts.
 
-    Counts come from ``observe`` on the write itself, so no second pass is made.
+    Counts come from ``observe`` on the write itself, so no second pass is made. A partition
+    column that is one of the keys prunes the stored side to the values that come in.
     """
     spark = incoming.sparkSession
-    try:
-        target = spark.read.parquet(path)
-    except AnalysisException:  # nothing stored yet
+    if exists(spark, path):
+        target = spark.read.schema(incoming.schema).parquet(path)
+        for column in set(partition_by or []) & set(keys):
+            target = target.join(incoming.select(column).distinct(), column, "left_semi")
+    else:
         target = spark.createDataFrame([], incoming.schema)
     seen, added = Observation("seen"), Observation("added")
     incoming = incoming.observe(seen, F.count(F.lit(1)).alias("n"))

@@ -9,16 +9,17 @@ from tallyvane.operators import events as ev
 from tallyvane.sources.writers import append_new
 
 
-def deduplicated(stream: DataFrame, keys: list[str], ts: str = "ts", delay: str = "1 day") -> DataFrame:
-    """First arrival per key within the watermark delay."""
-    return stream.withWatermark(ts, delay).dropDuplicatesWithinWatermark(keys)
+def append_batch(path: str, keys: list[str], ts: str = "ts"):
+    """foreachBatch handler: append rows whose key is not stored yet (safe to replay).
 
-
-def append_batch(path: str, keys: list[str]):
-    """foreachBatch handler: append rows whose key is not stored yet (safe to replay)."""
+    A row is never too late: the stored keys decide, not a watermark. The target is
+    laid out by day of ``ts`` and only the days of the batch are read, so a key's
+    copies must carry the same day.
+    """
 
     def handle(batch: DataFrame, _epoch: int) -> None:
-        append_new(batch.withColumn("_seq", F.monotonically_increasing_id()), path, keys, "_seq")
+        rows = batch.withColumn("_seq", F.monotonically_increasing_id()).withColumn("day", F.to_date(ts))
+        append_new(rows, path, [*keys, "day"], "_seq", ["day"])
 
     return handle
 

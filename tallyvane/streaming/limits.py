@@ -1,14 +1,9 @@
-"""Request quotas: sliding-window counts in batch, exact admission on streams."""
+"""Request quotas: sliding-window counts in batch, tumbling windows in batch and on streams."""
 
 from __future__ import annotations
 
-import math
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
 def over_quota(requests: DataFrame, key: str, ts: str, limit: int, window_seconds: int) -> DataFrame:
@@ -36,58 +31,19 @@ def fixed_windows(requests: DataFrame, key: str, ts: str, seconds: int) -> DataF
         F.count(F.lit(1)).alias("attempts")).select(key, F.col("w.start").alias("window_start"), "attempts")
 
 
-def _row_order():
-    """Orders the rows of one key in one micro-batch (which the trigger bounds).
+def count_batch(path: str, key: str, ts: str, seconds: int):
+    """foreachBatch handler: the batch's own window counts, one folder per batch.
 
-    A nested function travels to the Python workers by value, so they need not
-    have this package on their path.
+    Counts add up, so a stream needs no state and drops no late row; a replayed
+    batch overwrites its folder. ``counted`` sums the folders.
     """
 
-    def ordered(pdfs: Iterator[pd.DataFrame]) -> pd.DataFrame:
-        return pd.concat(list(pdfs)).sort_values(["ts", "event_id"])
-
-    return ordered
-
-
-def admit(stream: DataFrame, key: str, limit: int, window_seconds: int) -> DataFrame:
-    """Exact sliding-window admission; the state is the last ``limit`` admitted times."""
-    ordered = _row_order()
-
-    def step(k: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        kept = list(state.get[0]) if state.exists else []
-        out = []
-        for event_id, ts in ordered(pdfs)[["event_id", "ts"]].itertuples(index=False):
-            now = ts.value / 1e9
-            kept = [t for t in kept if now - t <= window_seconds]
-            if len(kept) >= limit:
-                out.append((k[0], event_id, False, max(1, math.ceil(window_seconds - (now - kept[0])))))
-            else:
-                kept.append(now)
-                out.append((k[0], event_id, True, 0))
-        state.update((kept,))
-        yield pd.DataFrame(out, columns=[key, "event_id", "admitted", "retry_after"])
-
-    return stream.groupBy(key).applyInPandasWithState(
-        step, f"{key} long, event_id long, admitted boolean, retry_after long", "kept array<double>",
-        "append", GroupStateTimeout.NoTimeout)
-
+    def handle(batch: DataFrame, epoch: int) -> None:
+        fixed_windows(batch, key, ts, seconds).write.mode("overwrite").parquet(f"{path}/epoch={epoch}")
 
-def anchored_attempts(stream: DataFrame, key: str, window_seconds: int) -> DataFrame:
-    """Attempt number within a window that starts at a key's first event and resets on expiry."""
-    ordered = _row_order()
+    return handle
 
-    def step(k: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        expires, attempts = state.get if state.exists else (0.0, 0)
-        out = []
-        for event_id, ts in ordered(pdfs)[["event_id", "ts"]].itertuples(index=False):
-            now = ts.value / 1e9
-            if expires <= now:
-                expires, attempts = now + window_seconds, 0
-            attempts += 1
-            out.append((k[0], event_id, attempts))
-        state.update((expires, attempts))
-        yield pd.DataFrame(out, columns=[key, "event_id", "attempt"])
 
-    return stream.groupBy(key).applyInPandasWithState(
-        step, f"{key} long, event_id long, attempt int", "expires double, attempts int", "append",
-        GroupStateTimeout.NoTimeout)
+def counted(stored: DataFrame, key: str) -> DataFrame:
+    """Attempts per key and window over all batches."""
+    return stored.groupBy(key, "window_start").agg(F.sum("attempts").alias("attempts"))

@@ -1,7 +1,6 @@
 """Idempotent writes and drained streams."""
 
 import datetime as dt
-import math
 import tempfile
 
 import pytest
@@ -9,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tallyvane.sources import writers
 from tallyvane.sources.views import Market
-from tallyvane.streaming import drain, ingest, limits
+from tallyvane.streaming import ingest, limits
 
 DIR = "/root/testdata/sf0.001"
 
@@ -39,36 +38,24 @@ def test_raw_landing_and_daily_overwrite(spark, folder):
     assert sorted(r["v"] for r in spark.read.parquet(folder + "/snap").collect()) == [1, 3]
 
 
-def events(spark):
-    rows = spark.read.parquet(f"{DIR}/events.parquet").select("event_id", "user_id", "ts").collect()
-    by_user = {}
-    for r in sorted(rows, key=lambda r: (r["ts"], r["event_id"])):
-        by_user.setdefault(r["user_id"], []).append((r["event_id"], r["ts"].timestamp()))
-    return by_user
-
-
-def test_admission_equals_a_plain_loop(spark):
-    got = {r["event_id"]: r["admitted"] for r in drain.drain(
-        limits.admit(drain.event_stream(spark, DIR), "user_id", 2, 86400)).collect()}
-    for rows in events(spark).values():
-        kept = []
-        for event_id, now in rows:
-            kept = [t for t in kept if now - t <= 86400]
-            assert got[event_id] == (len(kept) < 2)
-            if len(kept) < 2:
-                kept.append(now)
-
-
-def test_anchored_windows_reset_on_expiry(spark):
-    got = {r["event_id"]: r["attempt"] for r in drain.drain(
-        limits.anchored_attempts(drain.event_stream(spark, DIR), "user_id", 86400)).collect()}
-    for rows in events(spark).values():
-        expires, n = -math.inf, 0
-        for event_id, now in rows:
-            if expires <= now:
-                expires, n = now + 86400, 0
-            n += 1
-            assert got[event_id] == n
+def test_late_rows_survive_and_replays_add_nothing(spark, folder):
+    day = dt.datetime(2020, 1, 20)
+    frame = lambda rows: spark.createDataFrame(rows, "event_id long, ts timestamp")
+    handle = ingest.append_batch(folder + "/log", ["event_id"])
+    handle(frame([(1, day), (2, day), (1, day)]), 0)
+    late = frame([(3, day - dt.timedelta(days=10)), (2, day)])
+    handle(late, 1)
+    handle(late, 1)
+    assert sorted(r["event_id"] for r in spark.read.parquet(folder + "/log").collect()) == [1, 2, 3]
+
+
+def test_windows_counted_by_batch(spark, folder):
+    at = lambda minute: dt.datetime(2020, 1, 1, 5, minute)
+    frame = lambda minutes: spark.createDataFrame([(7, at(i)) for i in minutes], "user_id long, ts timestamp")
+    handle = limits.count_batch(folder + "/counts", "user_id", "ts", 3600)
+    for epoch, minutes in ((0, [1, 2]), (1, [3]), (1, [3])):
+        handle(frame(minutes), epoch)
+    assert [r["attempts"] for r in limits.counted(spark.read.parquet(folder + "/counts"), "user_id").collect()] == [3]
 
 
 def test_alert_batches_alert_once(spark, folder):
