@@ -186,8 +186,7 @@ def score_picks(prices: DataFrame, dates: DataFrame, scores: DataFrame, threshol
 
 # -- optimiser strategy: sizes depend on state in a non-linear way ----------------
 
-def optimizer_targets(prices: DataFrame, dates: DataFrame, scores: DataFrame, companies: DataFrame,
-                      lookback: int = 60) -> DataFrame:
+def optimizer_targets(prices: DataFrame, dates: DataFrame, scores: DataFrame, companies: DataFrame) -> DataFrame:
     """Target weights per (run, k, ticker) from the latest scores and caps of the run."""
     from tallyvane.operators.asof import asof_join
     from tallyvane.operators.portfolio import target_weights
@@ -201,62 +200,76 @@ def optimizer_targets(prices: DataFrame, dates: DataFrame, scores: DataFrame, co
     return target_weights(opp, ["run_id", "k"]).select("run_id", "ts", "k", "ticker", F.col("close").alias("price"), "weight")
 
 
+def _bound(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def optimizer_trades(runs: DataFrame, targets: DataFrame, min_trade: float = 100.0) -> DataFrame:
     """Order-dependent rebalancing per run: skip small changes, buy only what cash covers.
 
-    Weights above 0.001 sum to at most 1, so a date has under 1000 targets; a
-    position is needed again only on the next date its ticker trades. The group
-    of one run is therefore bounded by dates x 2000 rows, whatever the universe.
+    The orders of a date are one short list, exits first, then targets by weight. All
+    holdings of a date are priced at once, so only cash runs through its list and only
+    the holdings run from date to date; both are folds inside Spark. A position is
+    needed again only on the next date its ticker trades, and weights above 0.001 sum
+    to at most 1, so a date has under 2000 orders whatever the universe.
     """
-    import pandas as pd
-
     w = Window.partitionBy("run_id", "ticker").orderBy("k")
     kept = targets.withColumn("target", F.col("weight") > 0.001).withColumn(
         "_after", F.coalesce(F.lag("target").over(w), F.lit(False))).filter("target OR _after")
-    rows = kept.join(runs.select("run_id", "initial_capital"), "run_id").select(
-        "run_id", "k", "ts", "ticker", "price", F.when(F.col("target"), F.col("weight")).alias("weight"), "initial_capital")
-
-    def fold(pdf: "pd.DataFrame") -> "pd.DataFrame":
-        pdf = pdf.sort_values(["k", "weight", "ticker"], ascending=[True, False, True], na_position="last")
-        cash, held, out = float(pdf["initial_capital"].iloc[0]), {}, []
-        run = pdf["run_id"].iloc[0]
-        for _, day in pdf.groupby("k", sort=True):
-            price = dict(zip(day["ticker"], day["price"]))
-            capital = cash + sum(q * price[t] for t, q in held.items() if t in price)
-            goal = {t: x for t, x in zip(day["ticker"], day["weight"]) if x == x}
-            ts, k = day["ts"].iloc[0], int(day["k"].iloc[0])
-
-            def trade(t, action, shares):
-                out.append((run, t, ts, k, action, float(price[t]), float(shares), float(shares * price[t])))
-
-            for t in [t for t in held if t not in goal and t in price]:
-                q = held.pop(t)
-                cash += q * price[t]
-                trade(t, "SELL", q)
-            for t, weight in goal.items():
-                px = price[t]
-                if px <= 0:
-                    continue
-                gap = weight * capital - held.get(t, 0.0) * px
-                if abs(gap) < min_trade:
-                    continue
-                if 0 < gap <= cash:
-                    cash -= gap
-                    held[t] = held.get(t, 0.0) + gap / px
-                    trade(t, "BUY", gap / px)
-                elif gap < 0:
-                    q = min(held.get(t, 0.0), -gap / px)
-                    if q > 0:
-                        cash += q * px
-                        held[t] -= q
-                        if held[t] <= 0.001:
-                            del held[t]
-                        trade(t, "SELL", q)
-        return pd.DataFrame(out, columns=["run_id", "ticker", "ts", "k", "action", "price", "shares", "amount"])
-
-    return rows.groupBy("run_id").applyInPandas(
-        fold, "run_id long, ticker string, ts timestamp, k int, action string, price double, shares double, amount double"
-    ).withColumn("kind", F.lit("rebalance"))
+    order = F.struct(F.col("target").alias("stays"), F.when(F.col("target"), -F.col("weight")).alias("rank"), "ticker", "price",
+                     F.when(F.col("target"), F.col("weight")).alias("weight"))
+    days = kept.groupBy("run_id", "k").agg(F.min("ts").alias("ts"), F.array_sort(F.collect_list(order)).alias("orders"))
+    tapes = days.groupBy("run_id").agg(F.array_sort(F.collect_list(F.struct("k", "ts", "orders"))).alias("days"))
+    fill = "struct<ticker:string,price:double,moved:double,left:double>"
+    start = F.struct(F.col("initial_capital").cast("double").alias("cash"), F.create_map().cast("map<string,double>").alias("held"),
+                     F.array().cast(f"array<struct<k:int,ts:timestamp,fills:array<{fill}>>>").alias("out"))
+
+    def moved(o: Column, capital: Column, cash: Column) -> Column:
+        """Shares bought (above 0) or sold (below 0) by one order."""
+        gap = o["weight"] * capital - o["have"] * o["price"]
+        return (F.when(~o["stays"], -o["have"]).when((o["price"] <= 0) | (F.abs(gap) < min_trade), 0.0)
+                .when(gap > 0, F.when(gap <= cash, gap / o["price"]).otherwise(0.0)).otherwise(-F.least(o["have"], -gap / o["price"])))
+
+    def day_fills(priced: Column, cash: Column, capital: Column) -> Column:
+        """(cash, fills) after the orders of a date."""
+        def one(state: Column, o: Column) -> Column:
+            def settled(q: Column) -> Column:
+                left = o["have"] + q
+                left = F.when((q < 0) & (left <= 0.001), 0.0).otherwise(left)
+                return F.struct((state["cash"] - q * o["price"]).alias("cash"), F.concat(state["fills"], F.array(F.struct(
+                    o["ticker"].alias("ticker"), o["price"].alias("price"), q.alias("moved"), left.alias("left")))).alias("fills"))
+
+            return _bound(moved(o, capital, state["cash"]), settled)
+
+        return F.aggregate(priced, F.struct(cash.alias("cash"), F.array().cast(f"array<{fill}>").alias("fills")), one)
+
+    def day(acc: Column, d: Column) -> Column:
+        priced = F.transform(d["orders"], lambda o: F.struct(
+            o["stays"].alias("stays"), o["ticker"].alias("ticker"), o["price"].cast("double").alias("price"), o["weight"].alias("weight"),
+            F.coalesce(F.try_element_at(acc["held"], o["ticker"]), F.lit(0.0)).alias("have")))
+
+        def valued(rows: Column) -> Column:
+            return _bound(F.aggregate(rows, acc["cash"], lambda v, o: v + o["have"] * o["price"]),
+                          lambda capital: day_fills(rows, acc["cash"], capital))
+
+        def carried(done: Column) -> Column:
+            fresh = F.map_from_entries(F.transform(F.filter(done["fills"], lambda f: f["left"] > 0),
+                                                   lambda f: F.struct(f["ticker"], f["left"])))
+            names = F.transform(done["fills"], lambda f: f["ticker"])
+            rest = F.map_filter(acc["held"], lambda t, _: ~F.array_contains(names, t))
+            real = F.filter(done["fills"], lambda f: f["moved"] != 0)
+            return F.struct(done["cash"].alias("cash"), F.map_concat(rest, fresh).alias("held"), F.concat(acc["out"], F.array(
+                F.struct(d["k"].alias("k"), d["ts"].alias("ts"), real.alias("fills")))).alias("out"))
+
+        return _bound(_bound(priced, valued), carried)
+
+    folded = tapes.join(runs.select("run_id", "initial_capital"), "run_id").select(
+        "run_id", F.explode(F.aggregate("days", start, day, lambda a: a["out"])).alias("d"))
+    fills = folded.select("run_id", "d.k", "d.ts", F.explode("d.fills").alias("f"))
+    shares = F.abs("f.moved")
+    return fills.select("run_id", "f.ticker", "ts", "k", F.when(F.col("f.moved") > 0, "BUY").otherwise("SELL").alias("action"), "f.price",
+                        shares.alias("shares"), (shares * F.col("f.price")).alias("amount"), F.lit("rebalance").alias("kind"))
 
 
 def close_out(trades: DataFrame, prices: DataFrame) -> DataFrame:

@@ -163,6 +163,21 @@ def test_optimizer_keeps_cash_plus_holdings_equal_to_value(spark):
     assert curve[last_day] == pytest.approx(worth, abs=0.02)
 
 
+def test_optimizer_rules(spark):
+    """Exits, skipped small changes, unaffordable buys and part sales, worked out by hand."""
+    day = lambda k: DAY0 + dt.timedelta(days=k)
+    rows = [(1, day(0), 0, "A", 10.0, 0.6), (1, day(0), 0, "B", 5.0, 0.4),
+            (1, day(1), 1, "A", 20.0, 0.5), (1, day(1), 1, "B", 5.0, 0.5),       # A part sold, then B bought from its cash
+            (1, day(2), 2, "A", 20.0, 0.501), (1, day(2), 2, "B", 5.0, 0.0),     # A's change is small, B leaves
+            (1, day(3), 3, "A", 0.0, 0.5), (1, day(3), 3, "C", 1.0, 0.9)]        # no price: not traded; C takes what cash covers
+    targets = spark.createDataFrame(rows, "run_id long, ts timestamp, k int, ticker string, price double, weight double")
+    runs = spark.createDataFrame([(1, 1000.0)], "run_id long, initial_capital double")
+    got = {(r["k"], r["ticker"], r["action"]): (round(r["shares"], 6), round(r["amount"], 6))
+           for r in bt.optimizer_trades(runs, targets).collect()}
+    assert got == {(0, "A", "BUY"): (60.0, 600.0), (0, "B", "BUY"): (80.0, 400.0), (1, "A", "SELL"): (20.0, 400.0),
+                   (1, "B", "BUY"): (80.0, 400.0), (2, "B", "SELL"): (160.0, 800.0), (3, "C", "BUY"): (720.0, 720.0)}
+
+
 def test_run_without_prices_fails_and_drafts_stay(spark):
     bars = spark.createDataFrame([(1, DAY0 + dt.timedelta(days=i), 10.0 + i) for i in range(30)], "company_id long, ts timestamp, close double")
     comp = spark.createDataFrame([(1, "A", "X"), (2, "B", "Z")], "company_id long, ticker string, sector string")
