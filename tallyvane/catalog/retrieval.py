@@ -44,25 +44,20 @@ def queries_of(m):
     return mean.select(F.col("label").alias("query_id"), "embedding").join(phrase, "query_id")
 
 
-def n_queries(m) -> int:
-    return m.table("embeddings").select("label").distinct().count()
-
-
 @query("vector_search", "K1 K2 H5", with_views("sims", f"""
     SELECT query_id, id, round(score, 6) AS score, rank FROM (
       SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM sims WHERE score > {LEVEL})
     WHERE rank <= 10"""))
 def vector_search(m):
-    out = r.similarity_search(m.vectors().select("id", "embedding"), queries_of(m), DIM, n_queries(m), LEVEL, 10)
+    out = r.similarity_search(m.vectors().select("id", "embedding"), queries_of(m), DIM, LEVEL, 10)
     return out.select("query_id", "id", *rnd("score"), "rank")
 
 
 @query("vector_matches_in_blocks", "K1", with_views("sims", f"""
     SELECT query_id, id, round(score, 6) AS score FROM sims WHERE score > {LEVEL}"""))
 def vector_matches_in_blocks(m):
-    """All matches through the salted block join used for query batches too large to inline."""
-    out = r.similarity_pairs(m.vectors().select("id", "embedding"), queries_of(m), DIM, LEVEL,
-                             n_queries=r.INLINE_LIMIT, salt=4, block=r.INLINE_LIMIT // 3)
+    """All matches, the queries in several blocks."""
+    out = r.similarity_pairs(m.vectors().select("id", "embedding"), queries_of(m), DIM, LEVEL, block=8)
     return out.select("query_id", "id", *rnd("score"))
 
 
@@ -77,7 +72,7 @@ def filtered_vector_search(m):
 
     f = r.Filters(("news", "event"), minimum={"importance": 0.3}, date_from=m.as_of - timedelta(days=15),
                   date_to=m.as_of - timedelta(days=1))
-    out = r.similarity_search(m.vectors().drop("content"), queries_of(m), DIM, n_queries(m), 0.0, 5, f)
+    out = r.similarity_search(m.vectors().drop("content"), queries_of(m), DIM, 0.0, 5, f)
     return out.select("query_id", "id", *rnd("score"), "rank")
 
 
@@ -85,7 +80,7 @@ def filtered_vector_search(m):
     SELECT query_id, id, round(score, 6) AS score, rank FROM (
       SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM keyhits) WHERE rank <= 10"""))
 def keyword_search(m):
-    out = r.rank_hits(r.keyword_pairs(m.vectors(), queries_of(m), n_queries(m)), 10)
+    out = r.rank_hits(r.keyword_pairs(m.vectors(), queries_of(m), 10), 10)
     return out.select("query_id", "id", *rnd("score"), "rank")
 
 
@@ -103,7 +98,7 @@ _HYBRID = """
       SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank
       FROM ({_HYBRID.format(level=LEVEL, where="", depth=20, limit=10)})) WHERE rank <= 10"""))
 def hybrid_search(m):
-    out = r.hybrid_search(m.vectors(), queries_of(m), DIM, n_queries(m), 10, LEVEL)
+    out = r.hybrid_search(m.vectors(), queries_of(m), DIM, 10, LEVEL)
     return out.select("query_id", "id", *rnd("score"), "rank")
 
 
@@ -111,10 +106,10 @@ def hybrid_search(m):
     SELECT query_id, id, round(max(score), 6) AS score FROM (
       SELECT query_id, id, score FROM sims WHERE score > {LEVEL} UNION ALL SELECT query_id, id, score FROM keyhits) GROUP BY ALL"""))
 def merged_by_score(m):
-    q, n = queries_of(m), n_queries(m)
+    q = queries_of(m)
     cols = ["query_id", "id", "score"]
-    lists = [r.similarity_pairs(m.vectors().select("id", "embedding"), q, DIM, LEVEL, n).select(*cols),
-             r.keyword_pairs(m.vectors(), q, n).select(*cols)]
+    lists = [r.similarity_pairs(m.vectors().select("id", "embedding"), q, DIM, LEVEL).select(*cols),
+             r.keyword_pairs(m.vectors(), q).select(*cols)]
     return r.merge_hits(lists, prefer_earlier=False).select("query_id", "id", *rnd("score"))
 
 
@@ -129,7 +124,7 @@ _TOP = """SELECT '{bucket}' AS bucket, query_id, id, round(score, 6) AS score, r
 def context_buckets(m):
     """Filings are excluded by the inclusion flag; they would be empty anyway."""
     levels = {b: LEVEL for b in r.BUCKETS}
-    out = r.retrieve_context(m.vectors(), queries_of(m), DIM, n_queries(m),
+    out = r.retrieve_context(m.vectors(), queries_of(m), DIM,
                              r.excluded_buckets(include_fundamentals=False), levels)
     return out.select("bucket", "query_id", "id", *rnd("score"), "rank")
 
@@ -143,19 +138,20 @@ def context_buckets(m):
 def ticker_search(m):
     q = queries_of(m).withColumn("ticker", F.concat(
         F.lit(" s"), (F.col("query_id") % m.n_companies).cast("string")))
-    out = r.retrieve_by_ticker(m.vectors(), q, m.companies(), DIM, n_queries(m), base=-0.2)
+    out = r.retrieve_by_ticker(m.vectors(), q, m.companies(), DIM, base=-0.2)
     return out.select("query_id", "ticker", "id", *rnd("score"), "rank")
 
 
 @query("dynamic_thresholds", "K7", """
-    SELECT item_id, CASE WHEN item_id % 3 = 0 THEN 0.75 WHEN len(list_filter(string_split_regex(text, '\\s+'), lambda w: w <> '')) > 10
+    SELECT item_id, CASE WHEN item_id % 3 = 0 OR contains(lower(text), ' ticker ')
+                           OR len(list_filter(['AAPL', 'MSFT', 'GOOGL', 'AMZN', 'TSLA', 'META', 'NVDA', 'JPM', 'V', 'WMT'], lambda t: contains(upper(text), t))) > 0
+                         THEN 0.75 WHEN len(list_filter(string_split_regex(text, '\\s+'), lambda w: w <> '')) > 10
                          THEN 0.6 ELSE 0.7 END::DOUBLE AS threshold
-    FROM (SELECT item_id, replace(replace(lower(text), 'v', 'u'), 'meta', 'mxta') AS text FROM benchmark)""")
+    FROM benchmark""")
 def dynamic_thresholds(m):
     """Benchmark texts as queries; every third one asks for a ticker."""
-    text = F.replace(F.replace(F.lower("text"), F.lit("v"), F.lit("u")), F.lit("meta"), F.lit("mxta"))
-    q = m.table("benchmark").select("item_id", F.when(F.col("item_id") % 3 == 0, F.concat(F.lit("ticker: "), text))
-                                    .otherwise(text).alias("q"))
+    q = m.table("benchmark").select("item_id", F.when(F.col("item_id") % 3 == 0, F.concat(F.lit("ticker: "), F.col("text")))
+                                    .otherwise(F.col("text")).alias("q"))
     return q.select("item_id", r.dynamic_threshold("q", 0.7).alias("threshold"))
 
 

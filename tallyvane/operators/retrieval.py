@@ -1,24 +1,29 @@
-"""Exact vector search, keyword search and their hybrid, for batches of queries.
-
-Vector search scores every document against the whole query batch inside one
-codegen expression per row; only pairs above the threshold leave the row. The
-batch travels as one literal-like array while it is small (checked); larger
-batches are cut into blocks that meet the documents in a salted equi-join, so
-neither side is broadcast and no task holds more than its share.
+"""Exact vector search, keyword search and their hybrid, for batches of queries of any size.
+
+Queries are fetched in blocks of a fixed number of rows and each block travels with
+the tasks through one pass over the documents: vectors meet in one matrix product per
+Arrow batch, texts in one substring test per distinct term. Documents are never
+shuffled, so no company or query is a hot key. With a result limit, a batch keeps only
+each query's best rows (and ties) before anything is shuffled. The hits of a block are
+written before the next one is fetched: driver and tasks hold one block at a time.
 """
 
 from __future__ import annotations
 
 import datetime as dt
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from itertools import islice
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from tallyvane.operators.latest import top_per_key
+from tallyvane.operators.materialize import stored
 
-# queries x dimensions that may travel inside the plan (4 bytes each: 8 MB)
-INLINE_LIMIT = 2_000_000
+BLOCK = 1024  # queries per pass over the documents
 
 
 @dataclass(frozen=True)
@@ -70,39 +75,83 @@ def _unit(v) -> Column:
     return F.when(norm > 0, F.transform(d, lambda x: x / norm))
 
 
-def _dot(a, b) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+def _passes(docs: DataFrame, queries: DataFrame, keep: list[str], block: int, scorer: Callable) -> DataFrame:
+    """Hits (``keep``, query_id, score) of every block of queries; ``scorer(rows)`` makes the function for the batches."""
+    fields = [docs.schema[c] for c in keep]
+    schema = T.StructType([*fields, T.StructField("query_id", queries.schema["query_id"].dataType), T.StructField("score", T.DoubleType())])
+    rows = queries.toLocalIterator()
+    now, out = list(islice(rows, block)), None
+    while True:
+        hits, after = docs.mapInArrow(scorer(now), schema), list(islice(rows, block))
+        if after:
+            hits = stored(hits, "search-hits")
+        out = hits if out is None else out.unionByName(hits)
+        if not after:
+            return out
+        now = after
+
+
+def _emitter(keep: list[str], ids: list, id_type: T.DataType, best: int | None) -> Callable:
+    """Function from a batch and its scores (rows x queries, NaN for no hit) to the batch of hits.
+
+    It and the scorers import what they need: they travel to workers that lack this package.
+    """
+    kind = to_arrow_type(id_type)
+
+    def emit(batch, scores):
+        import numpy as np
+        import pyarrow as pa
+
+        if best is not None and len(scores) > best:
+            ranked = np.where(np.isnan(scores), -np.inf, scores)
+            least = np.partition(ranked, len(ranked) - best, axis=0)[len(ranked) - best]
+            scores = np.where(ranked >= least, scores, np.nan)
+        row, query = np.nonzero(~np.isnan(scores))
+        found = batch.select(keep).take(pa.array(row))
+        return pa.RecordBatch.from_arrays(
+            [*found.columns, pa.array([ids[i] for i in query.tolist()], kind), pa.array(scores[row, query], pa.float64())],
+            names=[*keep, "query_id", "score"])
+
+    return emit
 
 
-def similarity_pairs(docs: DataFrame, queries: DataFrame, dim: int, threshold, n_queries: int,
-                     salt: int = 64, block: int = 256) -> DataFrame:
+def similarity_pairs(docs: DataFrame, queries: DataFrame, dim: int, threshold=None, best: int | None = None,
+                     match: str | None = None, block: int = BLOCK) -> DataFrame:
     """(docs columns, query_id, score) of all pairs with cosine strictly above the threshold.
 
     ``queries``: query_id, embedding, and ``threshold`` when none is given as a number.
+    ``match`` names a column whose values must be equal on both sides. With ``best``
+    only rows that can be among a query's best so many are sure to be returned.
+    Vectors that are null, zero or of another dimension match nothing.
     """
     th = F.col("threshold") if threshold is None else F.lit(float(threshold))
-    q = queries.select(F.struct("query_id", _unit(checked_vector("embedding", dim)).alias("u"),
-                                th.cast("double").alias("th")).alias("q"))
-    d = docs.withColumn("_u", _unit("embedding")).filter("_u IS NOT NULL")
+    group = F.col(match) if match else F.lit(0)
+    q = queries.select("query_id", _unit(checked_vector("embedding", dim)).alias("u"), th.cast("double").alias("th"), group.alias("g"))
+    keep = [c for c in docs.columns if c != "embedding"]
 
-    def score(batch: Column) -> Column:
-        scored = F.transform(batch, lambda q: F.struct(
-            q["query_id"].alias("query_id"), _dot(F.col("_u"), q["u"]).alias("score"), q["th"].alias("th")))
-        return F.explode(F.filter(scored, lambda s: s["score"] > s["th"]))
+    def scorer(rows: list) -> Callable:
+        rows = [r for r in rows if r["u"] is not None and r["th"] is not None and r["g"] is not None]
+        flat, levels, groups = [r["u"] for r in rows], [r["th"] for r in rows], [r["g"] for r in rows]
+        emit = _emitter(keep, [r["query_id"] for r in rows], q.schema["query_id"].dataType, best)
 
-    keep = [c for c in docs.columns if c != "embedding"]
-    if n_queries * dim <= INLINE_LIMIT:
-        batch = q.agg(F.collect_list("q").alias("batch")).scalar()
-        hits = d.withColumn("_b", batch).select(*keep, score(F.col("_b")).alias("h"))
-    else:
-        n_blocks = -(-n_queries // block)
-        blocks = (q.withColumn("_blk", F.pmod(F.xxhash64("q.query_id"), F.lit(n_blocks).cast("long")))
-                  .groupBy("_blk").agg(F.collect_list("q").alias("_b"))
-                  .withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salt - 1)))))
-        spread = (d.withColumn("_salt", F.pmod(F.xxhash64("id"), F.lit(salt)).cast("int"))
-                  .withColumn("_blk", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_blocks - 1).cast("long")))))
-        hits = spread.join(blocks, ["_blk", "_salt"]).select(*keep, score(F.col("_b")).alias("h"))
-    return hits.select(*keep, F.col("h.query_id").alias("query_id"), F.col("h.score").alias("score"))
+        def run(batches: Iterator) -> Iterator:
+            import numpy as np
+
+            vectors, level, wanted = np.array(flat, float).reshape(-1, dim), np.array(levels, float), np.array(groups)
+            for batch in batches:
+                if not batch.num_rows or not len(vectors):
+                    continue
+                d = batch.column("embedding").flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, dim)
+                with np.errstate(invalid="ignore", divide="ignore"):
+                    scores = d / np.sqrt((d * d).sum(axis=1, keepdims=True)) @ vectors.T
+                hit = scores > level
+                if match:
+                    hit &= batch.column(match).to_numpy(zero_copy_only=False)[:, None] == wanted
+                yield emit(batch, np.where(hit, scores, np.nan))
+
+        return run
+
+    return _passes(docs.filter(F.size("embedding") == dim), q, keep, block, scorer)
 
 
 def rank_hits(hits: DataFrame, limit: int) -> DataFrame:
@@ -110,36 +159,51 @@ def rank_hits(hits: DataFrame, limit: int) -> DataFrame:
     return top_per_key(hits, ["query_id"], [F.desc("score"), F.asc("id")], limit, rank_col="rank")
 
 
-def similarity_search(docs: DataFrame, queries: DataFrame, dim: int, n_queries: int, threshold=0.7, limit: int = 10,
+def similarity_search(docs: DataFrame, queries: DataFrame, dim: int, threshold=0.7, limit: int = 10,
                       filters: Filters | None = None) -> DataFrame:
     docs = docs.filter(filters.condition()) if filters else docs
-    return rank_hits(similarity_pairs(docs, queries, dim, threshold, n_queries), limit)
+    return rank_hits(similarity_pairs(docs, queries, dim, threshold, limit), limit)
 
 
-def keyword_pairs(docs: DataFrame, queries: DataFrame, n_queries: int, filters: Filters | None = None) -> DataFrame:
+def keyword_pairs(docs: DataFrame, queries: DataFrame, best: int | None = None, filters: Filters | None = None,
+                  block: int = BLOCK) -> DataFrame:
     """(docs columns, query_id, score) of documents that contain a term of the query.
 
     Score = min(10 * hit terms / sqrt(length), 0.7); queries without a term of
-    three letters or more look for the whole text and score 0.5. The batch rides
-    inside the plan like the vectors do (size checked by the caller's count).
+    three letters or more look for the whole text and score 0.5. Null texts match nothing.
     """
-    if n_queries > INLINE_LIMIT // 64:
-        raise ValueError("split the query batch: keyword search takes it inline")
     docs = docs.filter(filters.condition()) if filters else docs
     low = F.lower("query")
     terms = F.filter(F.split(low, r"\s+"), lambda t: F.length(t) > 2)
-    q = queries.select(F.struct("query_id", low.alias("text"), terms.alias("terms")).alias("q"))
-    batch = q.agg(F.collect_list("q").alias("b")).scalar()
-    base = docs.withColumn("_low", F.lower("content")).withColumn("_b", batch)
-    hits = lambda q: F.aggregate(q["terms"], F.lit(0), lambda n, t: n + F.contains(F.col("_low"), t).cast("int"))
-    scaled = lambda n: F.least(n * 1.0 / F.greatest(F.sqrt(F.length("content").cast("double")), F.lit(1.0)) * 10.0, F.lit(0.7))
-    scored = F.transform("_b", lambda q: F.struct(
-        q["query_id"].alias("query_id"),
-        F.when(F.size(q["terms"]) > 0, scaled(hits(q)))
-        .otherwise(F.when(F.contains(F.col("_low"), q["text"]), 0.5).otherwise(0.0)).alias("score")))
+    q = queries.select("query_id", low.alias("text"), terms.alias("terms"))
     keep = [c for c in docs.columns if c not in ("embedding", "content")]
-    out = base.select(*keep, F.explode(F.filter(scored, lambda s: s["score"] > 0)).alias("h"))
-    return out.select(*keep, F.col("h.query_id").alias("query_id"), F.col("h.score").alias("score"))
+    scale = F.greatest(F.sqrt(F.length("content").cast("double")), F.lit(1.0))
+    base = docs.filter("content IS NOT NULL").select(*keep, F.lower("content").alias("_low"), scale.alias("_scale"))
+
+    def scorer(rows: list) -> Callable:
+        asked = [(r["terms"] or [r["text"]], bool(r["terms"])) for r in rows if r["text"] is not None]
+        emit = _emitter(keep, [r["query_id"] for r in rows if r["text"] is not None], q.schema["query_id"].dataType, best)
+
+        def run(batches: Iterator) -> Iterator:
+            import numpy as np
+            import pyarrow.compute as pc
+
+            for batch in batches:
+                if not batch.num_rows or not asked:
+                    continue
+                scale = batch.column("_scale").to_numpy()
+                holds = {t: pc.match_substring(batch.column("_low"), t).to_numpy(zero_copy_only=False).astype(int)
+                         for t in {t for ts, _ in asked for t in ts}}
+                columns = []
+                for ts, scaled in asked:
+                    n = sum(holds[t] for t in ts)
+                    columns.append(np.minimum(n / scale * 10.0, 0.7) if scaled else n * 0.5)
+                scores = np.stack(columns, 1)
+                yield emit(batch, np.where(scores > 0, scores, np.nan))
+
+        return run
+
+    return _passes(base, q, keep, block, scorer)
 
 
 def merge_hits(lists: list[DataFrame], prefer_earlier: bool = True) -> DataFrame:
@@ -152,12 +216,12 @@ def merge_hits(lists: list[DataFrame], prefer_earlier: bool = True) -> DataFrame
     return top_per_key(rows, ["query_id", "id"], order).drop("_list")
 
 
-def hybrid_search(docs: DataFrame, queries: DataFrame, dim: int, n_queries: int, limit: int = 10, threshold=0.5,
+def hybrid_search(docs: DataFrame, queries: DataFrame, dim: int, limit: int = 10, threshold=0.5,
                   filters: Filters | None = None) -> DataFrame:
     """Semantic hits at twice the depth, then keyword hits; semantic wins on the same document."""
     cols = ["id", "query_id", "score"]
-    semantic = similarity_search(docs, queries, dim, n_queries, threshold, limit * 2, filters).select(*cols)
-    keyword = rank_hits(keyword_pairs(docs, queries, n_queries, filters), limit).select(*cols)
+    semantic = similarity_search(docs, queries, dim, threshold, limit * 2, filters).select(*cols)
+    keyword = rank_hits(keyword_pairs(docs, queries, limit, filters), limit).select(*cols)
     return rank_hits(merge_hits([semantic, keyword]), limit)
 
 
@@ -170,7 +234,7 @@ BUCKETS = {
 }
 
 
-def retrieve_context(docs: DataFrame, queries: DataFrame, dim: int, n_queries: int, exclude=frozenset(),
+def retrieve_context(docs: DataFrame, queries: DataFrame, dim: int, exclude=frozenset(),
                      thresholds: dict[str, float] | None = None) -> DataFrame:
     """Bucketed results (bucket, query_id, id, score, rank); excluded buckets are left out."""
     out = None
@@ -179,7 +243,7 @@ def retrieve_context(docs: DataFrame, queries: DataFrame, dim: int, n_queries: i
             continue
         th = (thresholds or {}).get(bucket, th)
         search = hybrid_search if hybrid else similarity_search
-        hits = search(docs, queries, dim, n_queries, limit=limit, threshold=th, filters=Filters((kind,)))
+        hits = search(docs, queries, dim, limit=limit, threshold=th, filters=Filters((kind,)))
         part = hits.select(F.lit(bucket).alias("bucket"), "query_id", "id", "score", "rank")
         out = part if out is None else out.unionByName(part)
     return out
@@ -211,18 +275,12 @@ def dynamic_threshold(query, base) -> Column:
             .when(long, F.greatest(F.bround(b - 0.1, 10), F.lit(0.5))).otherwise(b))
 
 
-def retrieve_by_ticker(docs: DataFrame, queries: DataFrame, companies: DataFrame, dim: int, n_queries: int,
+def retrieve_by_ticker(docs: DataFrame, queries: DataFrame, companies: DataFrame, dim: int,
                        base: float = 0.7, limit: int = 10) -> DataFrame:
-    """Per query only its company's documents, at the query's own threshold, tagged with the ticker.
-
-    The company is part of the join key, so a document only meets the queries of
-    its company.
-    """
+    """Per query only its company's documents, at the query's own threshold, tagged with the ticker."""
     q = (queries.withColumn("ticker", F.upper(F.trim("ticker")))
          .join(companies.select("ticker", "company_id"), "ticker")
-         .select("query_id", "ticker", "company_id", dynamic_threshold("query", base).alias("th"),
-                 _unit(checked_vector("embedding", dim)).alias("qu")))
-    d = docs.withColumn("_u", _unit("embedding")).select("id", "company_id", "_u")
-    hits = d.join(q, "company_id").withColumn("score", _dot(F.col("_u"), F.col("qu"))).filter(
-        F.col("score") > F.col("th")).select("id", "query_id", "ticker", "score")
-    return rank_hits(hits, limit)
+         .select("query_id", "ticker", "company_id", "embedding", dynamic_threshold("query", base).alias("threshold")))
+    hits = similarity_pairs(docs.select("id", "company_id", "embedding"), q, dim, best=limit, match="company_id")
+    return rank_hits(hits.drop("company_id"), limit).join(q.select("query_id", "ticker"), "query_id").select(
+        "id", "query_id", "ticker", "score", "rank")

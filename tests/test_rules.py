@@ -115,19 +115,36 @@ def test_wrong_query_dimension_fails(spark):
     docs = spark.createDataFrame([(1, [1.0, 0.0])], "id long, embedding array<double>")
     q = spark.createDataFrame([(1, [1.0])], "query_id long, embedding array<double>")
     with pytest.raises(Exception, match="dimensions"):
-        retrieval.similarity_search(docs, q, 2, 1).collect()
+        retrieval.similarity_search(docs, q, 2).collect()
 
 
-def test_block_join_equals_inline(spark):
+def test_blocks_and_limits_change_no_hit(spark):
     import random
 
     rng = random.Random(2)
     vec = lambda: [rng.uniform(-1, 1) for _ in range(4)]
-    docs = spark.createDataFrame([(i, vec()) for i in range(40)], "id long, embedding array<double>")
-    q = spark.createDataFrame([(i, vec()) for i in range(9)], "query_id long, embedding array<double>")
-    pairs = lambda n, **k: {(r["id"], r["query_id"], round(r["score"], 9)) for r in retrieval.similarity_pairs(
-        docs, q, 4, 0.2, n, **k).collect()}
-    assert pairs(9) == pairs(retrieval.INLINE_LIMIT, salt=3, block=retrieval.INLINE_LIMIT // 2)
+    rows = [(i, vec()) for i in range(40)]
+    docs = spark.createDataFrame([*rows, (40, rows[0][1]), (41, None), (42, [0.0] * 4), (43, [1.0])], "id long, embedding array<double>")
+    asked = [(i, vec()) for i in range(9)]
+    q = spark.createDataFrame([*asked, (9, [0.0] * 4)], "query_id long, embedding array<double>")
+
+    def cosine(a, b):
+        dot = lambda x, y: sum(i * j for i, j in zip(x, y))
+        return dot(a, b) / (dot(a, a) * dot(b, b)) ** 0.5
+
+    want = {(i, j, round(cosine(a, b), 9)) for i, a in [*rows, (40, rows[0][1])] for j, b in asked if cosine(a, b) > 0.2}
+    for block in (2, 100):
+        got = {(r["id"], r["query_id"], round(r["score"], 9)) for r in retrieval.similarity_pairs(docs, q, 4, 0.2, block=block).collect()}
+        assert got == want
+    top = {(r["query_id"], r["id"]) for r in retrieval.similarity_search(docs, q, 4, 0.2, 3).collect()}
+    assert top == {(j, i) for j in range(9) for _, i in sorted((-s, i) for i, k, s in want if k == j)[:3]}
+
+
+def test_keyword_scores(spark):
+    docs = spark.createDataFrame([(1, "Big bank merger " * 10), (2, "a be"), (3, None), (4, "bank")], "id long, content string")
+    q = spark.createDataFrame([(1, "Bank merger"), (2, "be"), (3, None)], "query_id int, query string")
+    got = {(r["query_id"], r["id"]): round(r["score"], 6) for r in retrieval.keyword_pairs(docs, q, block=1).collect()}
+    assert got == {(1, 1): 0.7, (1, 4): 0.7, (2, 2): 0.5}
 
 
 def test_missing_metadata_counts_as_zero(spark):
