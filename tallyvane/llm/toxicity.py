@@ -1,10 +1,11 @@
 """Toxicity by nearest labelled examples.
 
-Texts are TF-IDF vectors over words and word beginnings that labelled examples link
-to the positive class. A bounded sample of examples forms an inverted index cut into
-blocks of examples; each term stores its greatest weight per block. A query's upper
-bound for a block is one dot product, so blocks that can't reach the k-th best
-cosine are skipped and the k nearest are still exact. Votes weighted by squared
+Texts are TF-IDF vectors over all their words and word beginnings. A bounded sample of
+examples forms an index that travels with the tasks: the most frequent terms as a
+matrix, all others as postings, so a batch of texts is scored against every example
+and the k nearest are exact. Document frequencies come from all labelled rows. A term
+that positive rows hold more often than others weighs more; no term is left out, and
+terms that no example holds count in a text's length. Votes weighted by squared
 cosine are mapped to a probability by isotonic regression on further labelled rows.
 """
 
@@ -13,8 +14,8 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
-from dataclasses import dataclass, field
+from collections.abc import Iterable, Iterator
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pyarrow as pa
@@ -27,99 +28,138 @@ from tallyvane.operators.materialize import stored
 
 LETTERS = re.compile(r"[^\W\d_]+")
 BEGINNINGS = (3, 4, 5, 6)
-BLOCK = 64
+BATCH = 128
+DENSE_TERMS = 512
 MEMO = 400_000
 
 
+def word_features(word: str) -> list[str]:
+    """``=word`` and each ``beginning*`` of a run of letters."""
+    return ["=" + word, *[word[:n] + "*" for n in BEGINNINGS if len(word) > n]]
+
+
 def features(token: str) -> set[str]:
-    """``=word`` and ``beginning*`` of each run of letters in a lower-cased token."""
-    out = set()
-    for word in LETTERS.findall(token):
-        out.add("=" + word)
-        out.update(word[:n] + "*" for n in BEGINNINGS if len(word) > n)
-    return out
+    """The features of each run of letters in a lower-cased token."""
+    return {f for word in LETTERS.findall(token) for f in word_features(word)}
 
 
 class Vectorizer:
-    """Term counts of a text over a vocabulary; the features of a token are remembered within a bound."""
+    """Term counts of a text; the features of a word are remembered within a bound.
+
+    With a vocabulary, terms are its ids, and negative numbers for terms outside it.
+    """
 
     def __init__(self, vocabulary: dict[str, int] | None):
         self.vocabulary, self.memo = vocabulary, {}
 
-    def __call__(self, text: str | None) -> Counter:
-        counts: Counter = Counter()
+    def __call__(self, text: str | None) -> dict:
+        counts: dict = {}
         if text:
-            for token, n in Counter(text.lower().split()).items():
-                terms = self.memo.get(token)
+            known, have = self.memo, counts.get
+            for word, n in Counter(LETTERS.findall(text.lower())).items():
+                terms = known.get(word)
                 if terms is None:
-                    if len(self.memo) > MEMO:
-                        self.memo.clear()
-                    found = features(token)
+                    if len(known) > MEMO:
+                        known.clear()
+                    terms = word_features(word)
                     if self.vocabulary is not None:
-                        found = sorted(self.vocabulary[f] for f in found if f in self.vocabulary)
-                    terms = self.memo[token] = tuple(found)
+                        terms = [self.vocabulary[f] if f in self.vocabulary else ~(hash(f) & (2 ** 62 - 1)) for f in terms]
+                    terms = known[word] = tuple(terms)
                 for t in terms:
-                    counts[t] += n
+                    counts[t] = have(t, 0) + n
         return counts
 
 
 @dataclass
-class BlockMaxIndex:
-    """Examples as unit vectors (term ids, weights), in a fixed order that settles ties."""
+class ExampleIndex:
+    """Examples as unit vectors, in a fixed order that settles ties; ``idf`` is the weight of each term, ``unseen`` of any other."""
 
     n_terms: int
     idf: np.ndarray
     labels: np.ndarray
     names: list
+    unseen: float = 1.0
     post_id: np.ndarray = field(init=False)
-    post_weight: np.ndarray = field(init=False)
+    post_count: np.ndarray = field(init=False)
+    size: np.ndarray = field(init=False)
     start: np.ndarray = field(init=False)
-    block_max: np.ndarray = field(init=False)
+    slot: np.ndarray = field(init=False)
+    made: tuple[np.ndarray, np.ndarray] | None = field(init=False, default=None)
 
     def unit_vector(self, counts: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
-        terms = np.array(sorted(counts), np.int64)
-        weight = np.array([(1 + math.log(counts[t])) for t in terms.tolist()]) * self.idf[terms]
-        size = math.sqrt(float(weight @ weight))
+        """Sorted term ids and weights; terms outside the vocabulary (negative) only shorten the others."""
+        terms = np.fromiter(counts, np.int64, len(counts))
+        weight = 1 + np.log(np.fromiter(counts.values(), float, len(counts)))
+        known = terms >= 0
+        other = weight[~known] * self.unseen
+        terms, weight = terms[known], weight[known]
+        order = np.argsort(terms)
+        terms, weight = terms[order], weight[order]
+        weight = weight * self.idf[terms]
+        size = math.sqrt(float(weight @ weight) + float(other @ other))
         return terms, weight / size if size else weight
 
-    def fill(self, examples: list[dict[int, int]]) -> "BlockMaxIndex":
-        blocks = max(1, -(-len(examples) // BLOCK))
-        rows = []
-        for i, counts in enumerate(examples):
-            terms, weight = self.unit_vector(counts)
-            rows += [(t, i, w) for t, w in zip(terms.tolist(), weight.tolist())]
-        rows.sort()
-        self.post_id = np.array([r[1] for r in rows], np.int64)
-        self.post_weight = np.array([r[2] for r in rows], float)
-        cell = np.array([r[0] * blocks + r[1] // BLOCK for r in rows], np.int64)
-        self.start = np.searchsorted(cell, np.arange(self.n_terms * blocks + 1))
-        self.block_max = np.zeros((self.n_terms, blocks))
-        if len(rows):
-            np.maximum.at(self.block_max.reshape(-1), cell, self.post_weight)
+    def fill(self, examples: Iterable[dict[int, int]]) -> "ExampleIndex":
+        terms, counts, sizes = [np.zeros(0, np.int32)], [np.zeros(0, np.int32)], []
+        for example in examples:
+            terms.append(np.fromiter(example, np.int32, len(example)))
+            counts.append(np.fromiter(example.values(), np.int32, len(example)))
+            weight = (1 + np.log(counts[-1])) * self.idf[terms[-1]]
+            sizes.append(math.sqrt(float(weight @ weight)) or 1.0)
+        ids = np.repeat(np.arange(len(sizes), dtype=np.min_scalar_type(len(sizes))), [len(t) for t in terms[1:]])
+        flat, times = np.concatenate(terms), np.concatenate(counts)
+        order = np.argsort(flat, kind="stable")
+        self.size, self.post_id = np.array(sizes), ids[order]
+        self.post_count = times.astype(np.min_scalar_type(times.max(initial=0)))[order]
+        held = np.bincount(flat, minlength=self.n_terms)
+        self.start = np.concatenate([[0], np.cumsum(held)])
+        common = np.argsort(-held, kind="stable")[:DENSE_TERMS]
+        self.slot = np.full(self.n_terms, -1, np.int32)
+        self.slot[common] = np.arange(len(common))
         return self
 
+    def weights(self) -> tuple[np.ndarray, np.ndarray]:
+        """The weight of each posting, and the most frequent terms as a matrix by example; made where they are used."""
+        if self.made is None:
+            post = (1 + np.log(self.post_count.astype(float))) * np.repeat(self.idf, np.diff(self.start)) / self.size[self.post_id]
+            dense = np.zeros((int((self.slot >= 0).sum()), len(self.labels)))
+            for t in np.flatnonzero(self.slot >= 0).tolist():
+                a, b = self.start[t], self.start[t + 1]
+                dense[self.slot[t], self.post_id[a:b]] = post[a:b]
+            self.made = post, dense
+        return self.made
+
+    def nearest_all(self, texts: list[dict[int, int]], k: int) -> list[list[tuple[int, float]]]:
+        """For each text the k examples of greatest positive cosine, exact; equal cosines in example order."""
+        n, out = len(self.labels), []
+        if not n:
+            return [[] for _ in texts]
+        post, matrix = self.weights()
+        for at in range(0, len(texts), BATCH):
+            vectors = [self.unit_vector(counts) for counts in texts[at:at + BATCH]]
+            asked = np.zeros((len(vectors), len(matrix)))
+            for row, (terms, weight) in zip(asked, vectors):
+                slot = self.slot[terms]
+                row[slot[slot >= 0]] = weight[slot >= 0]
+            for scores, (terms, weight) in zip(asked @ matrix, vectors):
+                rare = self.slot[terms] < 0
+                terms, weight = terms[rare], weight[rare]
+                first, held = self.start[terms], self.start[terms + 1] - self.start[terms]
+                where = np.repeat(first - np.cumsum(held) + held, held) + np.arange(held.sum())
+                scores += np.bincount(self.post_id.take(where), post.take(where) * np.repeat(weight, held), minlength=n)
+                least = np.partition(scores, n - k)[n - k] if k < n else 0.0
+                ids = np.flatnonzero((scores >= least - 1e-9) & (scores > 0))
+                sims = np.round(scores[ids], 12)  # sums of a batch may differ in the last digits
+                best = np.lexsort((ids, -sims))[:k]
+                out.append(list(zip(ids[best].tolist(), sims[best].tolist())))
+        return out
+
     def nearest(self, counts: dict[int, int], k: int) -> list[tuple[int, float]]:
-        """The k examples of greatest positive cosine, exact; equal cosines in example order."""
-        if not counts or not len(self.labels):
-            return []
-        terms, weight = self.unit_vector(counts)
-        blocks = self.block_max.shape[1]
-        bound = weight @ self.block_max[terms]
-        ids, sims, worst = np.zeros(0, np.int64), np.zeros(0), 0.0
-        for block in np.argsort(-bound, kind="stable").tolist():
-            if bound[block] <= 0 or len(ids) >= k and bound[block] < worst - 1e-9:
-                break
-            scores = np.zeros(BLOCK)
-            for t, w in zip(terms.tolist(), weight.tolist()):
-                a, b = self.start[t * blocks + block], self.start[t * blocks + block + 1]
-                if b > a:
-                    scores[self.post_id[a:b] - block * BLOCK] += w * self.post_weight[a:b]
-            hit = np.flatnonzero(scores > 0)
-            ids, sims = np.append(ids, hit + block * BLOCK), np.append(sims, scores[hit])
-            best = np.lexsort((ids, -np.round(sims, 12)))[:k]
-            ids, sims = ids[best], sims[best]
-            worst = sims[-1] if len(sims) == k else 0.0
-        return list(zip(ids.tolist(), sims.tolist()))
+        return self.nearest_all([counts], k)[0]
+
+
+#: The index's earlier name.
+BlockMaxIndex = ExampleIndex
 
 
 @dataclass
@@ -127,12 +167,13 @@ class Judge:
     """Vocabulary, index and calibration; small enough to travel with the tasks (its bounds are parameters of ``fit``)."""
 
     vocabulary: dict[str, int]
-    index: BlockMaxIndex
+    index: ExampleIndex
     base_rate: float
     k: int
     prior_weight: float = 0.5
     knots: np.ndarray = field(default_factory=lambda: np.array([0.0, 1.0]))
     values: np.ndarray = field(default_factory=lambda: np.array([0.0, 1.0]))
+    sent: tuple | None = None
 
     def raw(self, near: list[tuple[int, float]]) -> float:
         """Vote share, weighted by squared cosine, with the base rate as a further vote; 0 without neighbours."""
@@ -164,52 +205,69 @@ def _shares(rows: DataFrame, wanted: dict[int, int]) -> dict[int, tuple[float, f
     return {y: (min(0.75, wanted[y] / n), min(0.25, wanted[y] / n)) for y, n in counts.items()}
 
 
-def fit(labelled: DataFrame, positives: int = 3_000, negatives: int = 5_000, vocabulary_size: int = 2_000, k: int = 25,
-        min_examples: int = 4, min_strength: float = 9.0) -> Judge:
+def fit(labelled: DataFrame, positives: int = 3_000, negatives: int = 5_000, k: int = 25) -> Judge:
     """A judge from rows of (text, label, name), label 0 or 1 and name a bigint that only serves as evidence.
 
-    At most about ``positives`` + ``negatives`` rows, chosen by a hash, go into
-    vocabulary and index, and as many others into calibration. A term needs
-    ``min_examples`` positive examples and log(rate ratio) * sqrt(positive examples)
-    above ``min_strength``. Null texts or labels
-    teach nothing. Without rows the judge answers 0.
+    At most about ``positives`` + ``negatives`` rows, chosen by a hash, go into the
+    index, and as many others into calibration. A term weighs its inverse document
+    frequency in all rows times 1 + (strength / 6)^2, where strength is
+    log(rate ratio) * sqrt(positive rows) over all but the calibration rows, 0 at
+    least. Null texts or labels teach nothing. Without rows the judge answers 0.
     """
     rows = labelled.where(F.col("text").isNotNull() & F.col("label").isin(0, 1)).select(
         "text", F.col("label").cast("int").alias("label"), F.col("name").cast("long").alias("name"))
+    rows = stored(rows, "toxicity-labelled")
     shares = _shares(rows, {0: negatives, 1: positives})
     u = unit("name", "text", F.lit(5))
     pick = F.lit(None).cast("string")
     for y, (a, b) in shares.items():
         pick = F.when((F.col("label") == y) & (u < a), "index").when((F.col("label") == y) & (u >= 1 - b), "calibration").otherwise(pick)
-    sample = stored(rows.withColumn("part", pick).where(F.col("part").isNotNull()), "toxicity-sample")
-    examples = sample.where(F.col("part") == "index")
+    rows = rows.withColumn("part", F.coalesce(pick, F.lit("counted")))
+    examples = stored(rows.where("part = 'index'"), "toxicity-examples")
+
+    def list_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        take, seen = Vectorizer(None), set()
+        for batch in batches:
+            for text in batch.column("text"):
+                seen.update(take(text.as_py()))
+            if len(seen) > MEMO:
+                yield pa.RecordBatch.from_arrays([pa.array(list(seen))], names=["term"])
+                seen.clear()
+        yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string())], names=["term"])
+
+    found = examples.select("text").mapInArrow(list_terms, "term string").distinct().toArrow()
+    vocabulary = {t: i for i, t in enumerate(sorted(found.column("term").to_pylist()))}
+    size = len(vocabulary)
+    shipped = labelled.sparkSession.sparkContext.broadcast(vocabulary)
 
     def count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        every, positive, take = Counter(), Counter(), Vectorizer(None)
+        take, counts = Vectorizer(shipped.value), np.zeros((3, size), np.int64)
         for batch in batches:
-            for text, label in zip(batch.column("text"), batch.column("label")):
-                terms = list(take(text.as_py()))
-                every.update(terms)
-                if label.as_py():
-                    positive.update(terms)
-        names = list(every)
-        for at in range(0, len(names), 10_000):
-            part = names[at:at + 10_000]
-            yield pa.RecordBatch.from_arrays([pa.array(part), pa.array([every[t] for t in part], pa.int64()),
-                                              pa.array([positive[t] for t in part], pa.int64())], names=["term", "n", "p"])
-
-    sizes = {r["label"]: r["n"] for r in examples.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
-    n, p = sum(sizes.values()), sizes.get(1, 0)
-    terms = examples.select("text", "label").mapInArrow(count_terms, "term string, n bigint, p bigint")
-    terms = terms.groupBy("term").agg(F.sum("n").alias("n"), F.sum("p").alias("p")).where(f"p >= {min_examples}")
-    rate_in, rate_out = F.col("p") / max(1, p), (F.col("n") - F.col("p") + 0.5) / max(1, n - p + 1)
-    strength = F.log(rate_in / rate_out) * F.sqrt("p")
-    chosen = terms.where((rate_in > 3 * rate_out) & (strength > min_strength)).orderBy(strength.desc(), "term").limit(vocabulary_size).collect()
-    vocabulary = {r["term"]: i for i, r in enumerate(chosen)}
-    idf = np.array([math.log((1 + n) / (1 + r["n"])) + 1 for r in chosen])
+            for text, label, part in zip(batch.column("text"), batch.column("label"), batch.column("part")):
+                terms = np.array([t for t in take(text.as_py()) if t >= 0], np.int64)
+                counts[0, terms] += 1
+                if part.as_py() != "calibration":
+                    counts[1, terms] += 1
+                    counts[2, terms] += label.as_py()
+        some = np.flatnonzero(counts[0])
+        for at in range(0, len(some), 10_000):
+            part = some[at:at + 10_000]
+            yield pa.RecordBatch.from_arrays([pa.array(part), *map(pa.array, counts[:, part])], names=["term", "n", "m", "p"])
+
+    totals = rows.groupBy().agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(F.col("part") != "calibration").alias("m"),
+        F.count_if((F.col("part") != "calibration") & (F.col("label") == 1)).alias("p")).first()
+    terms = rows.select("text", "label", "part").mapInArrow(count_terms, "term bigint, n bigint, m bigint, p bigint")
+    terms = terms.groupBy("term").agg(F.sum("n").alias("n"), F.sum("m").alias("m"), F.sum("p").alias("p")).toArrow()
+    n, m, p = np.zeros((3, size))
+    for counts, name in ((n, "n"), (m, "m"), (p, "p")):
+        counts[terms.column("term").to_numpy()] = terms.column(name).to_numpy()
+    ratio = np.maximum(p, 1e-9) / max(1, totals["p"]) / ((m - p + 0.5) / (totals["m"] - totals["p"] + 1))
+    strength = np.maximum(0.0, np.log(ratio) * np.sqrt(p))
+    weights = (np.log((1 + totals["n"]) / (1 + n)) + 1) * (1 + (strength / 6) ** 2)
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        take = Vectorizer(vocabulary)
+        take = Vectorizer(shipped.value)
         for batch in batches:
             got = [take(t.as_py()) for t in batch.column("text")]
             yield pa.RecordBatch.from_arrays(
@@ -219,12 +277,18 @@ def fit(labelled: DataFrame, positives: int = 3_000, negatives: int = 5_000, voc
 
     # order by text digest: ids play no part in scores
     found = (examples.select("name", "label", F.md5("text").alias("digest"), "text")
-             .mapInArrow(vectors, "name bigint, label int, digest string, terms array<int>, counts array<int>")
-             .where(F.size("terms") > 0).orderBy("digest", "label", "name").collect())
-    index = BlockMaxIndex(len(vocabulary), idf, np.array([r["label"] for r in found], np.int8), [r["name"] for r in found])
-    index.fill([dict(zip(r["terms"], r["counts"])) for r in found])
+             .mapInArrow(vectors, "name bigint, label int, digest string, terms array<int>, counts array<int>").toArrow())
+    names, labels = found.column("name").to_pylist(), found.column("label").to_pylist()
+    keys = list(zip(found.column("digest").to_pylist(), labels, [(x is not None, x or 0) for x in names]))
+    order = sorted(range(len(keys)), key=keys.__getitem__)
+    index = ExampleIndex(size, weights, np.array([labels[i] for i in order], np.int8), [names[i] for i in order],
+                         math.log(1 + totals["n"]) + 1)
+    held, times = found.column("terms"), found.column("counts")
+    index.fill(dict(zip(held[i].as_py(), times[i].as_py())) for i in order)
+    del found, held, times
+    n, p = len(labels), sum(labels)
     judge = Judge(vocabulary, index, p / n if n else 0.0, k)
-    held = score(sample.where(F.col("part") == "calibration"), judge).groupBy(F.round("raw", 2).alias("raw")).agg(
+    held = score(rows.where("part = 'calibration'"), judge).groupBy(F.round("raw", 2).alias("raw")).agg(
         F.count(F.lit(1)).alias("n"), F.sum("label").alias("p")).collect()
     if held:
         judge.knots, judge.values = isotonic([(r["raw"], r["n"], r["p"]) for r in held])
@@ -244,12 +308,20 @@ def score(docs: DataFrame, judge: Judge, evidence: int = 3) -> DataFrame:
                            T.StructField("evidence", T.ArrayType(item))])
     kind = pa.list_(pa.struct([("name", pa.int64()), ("label", pa.int32()), ("cosine", pa.float64())]))
 
+    sc = docs.sparkSession.sparkContext
+    if judge.sent is None or judge.sent[0] is not sc:
+        judge.sent = sc, sc.broadcast((judge.vocabulary, judge.index))
+    shipped, light = judge.sent[1], replace(judge, vocabulary={}, index=None, sent=None)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocabulary, index = shipped.value
+        judge = replace(light, vocabulary=vocabulary, index=index)
         take = Vectorizer(judge.vocabulary)
         for batch in batches:
             raw, shown = [], []
-            for text in batch.column("text"):
-                near = judge.index.nearest(take(text.as_py()), judge.k)
+            found = (near for at in range(0, batch.num_rows, BATCH) for near in judge.index.nearest_all(
+                [take(text.as_py()) for text in batch.column("text").slice(at, BATCH)], judge.k))
+            for near in found:
                 raw.append(judge.raw(near))
                 shown.append([{"name": judge.index.names[i], "label": int(judge.index.labels[i]), "cosine": s} for i, s in near[:evidence]])
             yield pa.RecordBatch.from_arrays(

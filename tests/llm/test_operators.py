@@ -2,6 +2,7 @@
 
 import hashlib
 import itertools
+import math
 import random
 
 import numpy as np
@@ -96,6 +97,23 @@ def test_toxicity_learns_and_handles_edges(spark):
     assert [r["score"] for r in toxicity.score(spark.createDataFrame(asked, "text string, k int"), empty).collect()] == [0.0] * 5
 
 
+def test_toxicity_indexes_every_example_over_all_its_terms(spark):
+    rng = random.Random(4)
+    rows = [(prose(rng, 30) + (" vileword" if i % 4 == 0 else "") + f" clean{i}", int(i % 4 == 0), i) for i in range(200)]
+    judge = toxicity.fit(spark.createDataFrame(rows, "text string, label int, name bigint"))
+    texts = {i: t for t, _, i in rows}
+    assert len(judge.index.names) > 120
+    assert set(judge.vocabulary) == {f for i in judge.index.names for w in texts[i].split() for f in toxicity.features(w)}
+    clean = next(i for i in judge.index.names if i % 4)
+    asked = spark.createDataFrame([(texts[clean], 1), (texts[clean] + " zzzz", 2)], "text string, k int")
+    near = {r["k"]: r["evidence"][0] for r in toxicity.score(asked, judge).collect()}
+    assert near[1]["name"] == near[2]["name"] == clean and near[1]["cosine"] == 1
+    # a word that no example holds only makes the text longer, by "=zzzz" and "zzz*"
+    counts = toxicity.Vectorizer(judge.vocabulary)(texts[clean])
+    long = sum(((1 + math.log(c)) * judge.index.idf[t]) ** 2 for t, c in counts.items())
+    assert near[2]["cosine"] == pytest.approx(math.sqrt(long / (long + 2 * judge.index.unseen ** 2)))
+
+
 # 3
 
 def test_url_filter(spark):
