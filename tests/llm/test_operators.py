@@ -189,6 +189,19 @@ def test_shards(spark, documents):
     assert sharding.shard_documents(documents([]), 7).count() == 0
 
 
+def test_shards_cut_only_what_no_shard_can_hold(spark, documents):
+    # a shard takes 40 rows: 30 and 25 fit one, 100 needs three, pairs and triples stay whole
+    texts = ["most"] * 100 + ["more"] * 30 + ["some"] * 25 + [f"pair {i // 2}" for i in range(20)] + [f"single {i}" for i in range(25)]
+    out = sharding.shard_documents(documents(list(enumerate(texts))), 5).collect()
+    places = {}
+    for r in out:
+        places.setdefault(texts[r["doc_id"]], set()).add(r["shard"])
+    assert len(out) == 200 and all(sum(r["shard"] == s for r in out) == 40 for s in range(5))
+    assert {t for t, at in places.items() if len(at) > 1} == {"most"} and len(places["most"]) == 3
+    assert sharding.pack([(1, 600), (2, 3000), (3, 300)], [1000] * 4) == [
+        (2, 0, 1000, 0), (2, 1000, 2000, 1), (2, 2000, 3000, 2), (1, 0, 600, 3), (3, 0, 300, 3)]
+
+
 # 7
 
 def brute_components(rows, k, threshold):
