@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyvane.llm import (
-    chat_format, decontaminate, host_rules, language_id, near_dedup, sharding, source_mix, token_counts, toxicity, url_filter,
+    chat_format, decontaminate, host_rules, language_id, near_dedup, quality_model, ranked_search, sharding, source_mix, token_counts,
+    toxicity, turn_repair, url_filter,
 )
 from tallyvane.llm.common import WORD, bucket_of_four, held_out, table
 from tallyvane.operators.materialize import stored
@@ -234,3 +235,106 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark items held by any document, within a fifth of the item's words edited."""
     documents = table(spark, sf_dir, "documents")
     return decontaminate.find_leaks(documents.select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+
+
+# 11 --------------------------------------------------------------------------------------------------------------
+
+@register
+def op11_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations damaged by a fixed rule, then repaired at the least cost."""
+    told = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return turn_repair.repair_report(told, turn_repair.damage(told))
+
+
+SQL["op11_turn_repair"] = r"""
+WITH RECURSIVE
+bits AS (SELECT i, list_reduce([i::BIGINT, 0, 0, 0, 0, 0, 0, 0, 0],
+                               lambda c, x: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c FROM range(256) t(i)),
+crc AS (SELECT list(c ORDER BY i) AS t FROM bits),
+told AS (SELECT coalesce(conv_id::VARCHAR, ' ') AS key, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+                coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS name FROM conversations),
+drawn AS (SELECT *, xor(list_reduce([4294967295] || list_transform(string_split(name, ''), lambda ch: ascii(ch)::BIGINT),
+                 lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) % 20 AS what FROM told, crc),
+damaged AS (SELECT key, turn, CASE WHEN what = 4 THEN 'user' ELSE role END AS role,
+                   CASE what WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text
+            FROM drawn, range(2) c(copy) WHERE what <> 0 AND (copy = 0 OR what = 3)),
+r AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY turn NULLS FIRST, role, sha256(text)) AS i FROM damaged),
+f AS (SELECT *, CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'blank'
+                     WHEN row_number() OVER (PARTITION BY key, role, text ORDER BY i) > 1 THEN 'duplicate'
+                     WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') THEN 'truncated' END AS fault,
+             left(role, 1) AS c, lag(left(role, 1)) OVER (PARTITION BY key ORDER BY i) AS before FROM r),
+n AS (SELECT key, max(i) AS n FROM f GROUP BY key),
+-- cost to go: nothing yet, behind s, behind u, behind a
+b AS (
+    SELECT key, n + 1 AS i, 0::BIGINT AS c0, 6::BIGINT AS c1, 3::BIGINT AS c2, 0::BIGINT AS c3 FROM n
+    UNION ALL
+    SELECT key, i, least(e0, least(e2, e3 + 3) + 3), least(e1, least(e2, e3 + 3) + 3), least(e2, e3 + 3), least(e3, e2 + 3) FROM (
+        SELECT f.key, f.i, coalesce(fault IN ('blank', 'duplicate'), false) AS gone, CASE WHEN fault = 'truncated' THEN 3 ELSE 0 END AS t,
+               c2 + t + CASE WHEN c = 'u' THEN 0 ELSE 3 END AS u, c3 + t + CASE WHEN c = 'a' THEN 0 ELSE 3 END AS a,
+               CASE WHEN gone THEN 4 + c0 ELSE least(4 + c0, u, CASE WHEN c = 's' THEN c1 + t ELSE 4 + c0 END) END AS e0,
+               CASE WHEN gone THEN 4 + c1 ELSE least(4 + c1, u) END AS e1, CASE WHEN gone THEN 4 + c2 ELSE least(4 + c2, a) END AS e2,
+               CASE WHEN gone THEN 4 + c3 ELSE least(4 + c3, u) END AS e3
+        FROM b JOIN f ON f.key = b.key AND f.i = b.i - 1)),
+v AS (SELECT b.key, b.i, [c0, c1, c2, c3] AS c, lead([c0, c1, c2, c3]) OVER (PARTITION BY b.key ORDER BY b.i) AS later,
+             role, text, f.c AS letter, fault, n FROM b JOIN n USING (key) LEFT JOIN f ON f.key = b.key AND f.i = b.i),
+w AS (
+    SELECT key, 1::BIGINT AS i, 0 AS s, '' AS audit, []::VARCHAR[] AS out FROM n
+    UNION ALL
+    SELECT key, CASE WHEN op = 'I' THEN i ELSE i + 1 END, CASE WHEN op = 'D' THEN s WHEN op = 'K' AND letter = 's' THEN 1 ELSE goal END, audit || op,
+           CASE op WHEN 'D' THEN out WHEN 'I' THEN list_append(out, made || ':') WHEN 'K' THEN list_append(out, role || ':' || text)
+                   ELSE list_append(out, made || ':' || text) END
+    FROM (SELECT w.*, v.role, v.text, v.letter, CASE WHEN s = 2 THEN 3 ELSE 2 END AS goal, CASE WHEN s = 2 THEN 'assistant' ELSE 'user' END AS made,
+                 CASE WHEN w.i <= n AND c[s + 1] = 4 + later[s + 1] THEN 'D'
+                      WHEN c[s + 1] = 3 + c[goal + 1] THEN 'I'
+                      WHEN s = 0 AND letter = 's' AND c[1] = later[2] + CASE WHEN fault = 'truncated' THEN 3 ELSE 0 END THEN 'K'
+                      WHEN letter = left(made, 1) THEN 'K' ELSE 'R' END AS op
+          FROM w JOIN v ON v.key = w.key AND v.i = w.i WHERE w.i <= n OR c[s + 1] > 0)),
+done AS (SELECT key, audit, sha256(array_to_string(out, chr(10))) AS repaired_sha256 FROM w
+         QUALIFY row_number() OVER (PARTITION BY key ORDER BY length(audit) DESC) = 1),
+counts AS (SELECT key, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0)::BIGINT AS gaps,
+                  count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+                  count(*) FILTER (fault = 'truncated') AS truncated,
+                  count(*) FILTER (before IS NOT NULL AND before || c NOT IN ('su', 'ua', 'au')) AS illegal FROM f GROUP BY key)
+SELECT o.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+       coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(b.c0, 0)::BIGINT AS cost,
+       coalesce(audit, '') AS audit, coalesce(repaired_sha256, sha256('')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id, coalesce(conv_id::VARCHAR, ' ') AS key FROM conversations) o
+LEFT JOIN counts USING (key) LEFT JOIN b ON b.key = o.key AND b.i = 1 LEFT JOIN done ON done.key = o.key"""
+
+
+# 12 --------------------------------------------------------------------------------------------------------------
+
+@register
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best documents of each benchmark item."""
+    return ranked_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), 10)
+
+
+_TERMS = (r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), "
+          r"'[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')")
+SQL["op12_ranked_search"] = f"""
+WITH d AS (SELECT row_number() OVER () AS row, doc_id, {_TERMS} AS terms FROM documents),
+i AS (SELECT DISTINCT item_id, text, {_TERMS} AS terms FROM benchmark),
+q AS (SELECT item_id, text, term, count(*) AS times FROM (SELECT item_id, text, unnest(terms) AS term FROM i) GROUP BY ALL),
+facts AS (SELECT count(*) AS n_docs, sum(len(terms))::BIGINT AS n_terms FROM d WHERE len(terms) > 0),
+p AS (SELECT row, term, count(*) AS tf FROM (SELECT row, unnest(terms) AS term FROM d) WHERE term IN (SELECT term FROM q) GROUP BY ALL),
+w AS (SELECT term, floor(1000 * ln((2 * n_docs + 2) / (2 * count(*) + 1)))::BIGINT AS w FROM p, facts GROUP BY term, n_docs),
+m AS (SELECT row, doc_id, 100 - 75 + (75 * len(terms) * n_docs) // n_terms AS m FROM d, facts WHERE len(terms) > 0),
+s AS (SELECT item_id, text, row, doc_id, sum(times * w * ((1000000000 * tf) // (1000 * tf + 8 * m)))::BIGINT AS score
+      FROM q JOIN p USING (term) JOIN w USING (term) JOIN m USING (row) GROUP BY ALL)
+SELECT item_id, rank::INTEGER AS rank, doc_id, score FROM (
+    SELECT *, row_number() OVER (PARTITION BY item_id, text ORDER BY score DESC, doc_id NULLS LAST) AS rank FROM s WHERE score > 0)
+WHERE rank <= 10"""
+
+
+# 13 --------------------------------------------------------------------------------------------------------------
+
+@register
+def op13_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document, from the good rows that are not held out and unlabelled text."""
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    apart = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(False))
+    trusted = table(spark, sf_dir, "labels").where(~apart & (F.col("quality") == 1))
+    model = quality_model.fit(documents.where(~apart), trusted)
+    scored = quality_model.score(documents, model)
+    return scored.select("doc_id", apart.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
