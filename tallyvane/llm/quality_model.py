@@ -232,8 +232,8 @@ def calibrate(margins: np.ndarray, p: np.ndarray, u: np.ndarray, prior: float) -
     return (np.array([f / w for f, w, _, _ in pools]), np.array([min(1.0, a / b) if b else 1.0 for _, _, a, b in pools]))
 
 
-def fit(docs: DataFrame, trusted: DataFrame, positives: int = 20_000, unlabelled: int = 40_000, rounds: int = 60,
-        penalty: float = 1e-4, prior: float | None = None) -> Model:
+def fit(docs: DataFrame, trusted: DataFrame, positives: int = 20_000, unlabelled: int = 40_000, rounds: int = 150,
+        penalty: float = 2e-5, prior: float | None = None) -> Model:
     """A model from ``docs`` (doc_id, text), unlabelled, and the ids of ``trusted`` (doc_id) among them.
 
     At most ``positives`` and ``unlabelled`` distinct texts are learned from, drawn by text digest; null texts and ids teach
