@@ -135,36 +135,44 @@ def sample(docs: DataFrame, trusted: DataFrame, positives: int, unlabelled: int)
 
 
 def _vectors(rows: DataFrame) -> DataFrame:
-    """(kind, part, terms, value) of the sampled texts; part 0 to 3 splits texts by digest."""
+    """The sampled texts as blocks of vectors: bytes of kind, part, start (int32), terms (int16) and value (float32).
+
+    ``part`` 0 to 3 splits texts by digest. A block holds about 2 MB of text, so a pass reads few rows and no lists.
+    """
+    names = ["kind", "part", "start", "terms", "value"]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            kind, part = (batch.column(c).to_numpy().astype(np.int8) for c in ("kind", "part"))
             for piece in buffers.pieces(batch.column("text")):
-                n = piece.last - piece.first
                 owner, index, value = features(piece)
-                at = np.searchsorted(owner, np.arange(n + 1)).astype(np.int32)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("kind").slice(piece.first, n), batch.column("part").slice(piece.first, n),
-                     pa.ListArray.from_arrays(at, pa.array(index, pa.int32())), pa.ListArray.from_arrays(at, pa.array(value, pa.float32()))],
-                    names=["kind", "part", "terms", "value"])
+                start = np.searchsorted(owner, np.arange(piece.last - piece.first + 1)).astype(np.int32)
+                block = (kind[piece.first:piece.last], part[piece.first:piece.last], start, index.astype(np.int16), value.astype(np.float32))
+                yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in block], names=names)
 
     part = F.pmod(F.xxhash64("digest", F.lit(3)), F.lit(4)).cast("int")
-    return rows.select("text", "kind", part.alias("part")).mapInArrow(run, "kind int, part int, terms array<int>, value array<float>")
+    return rows.select("text", "kind", part.alias("part")).mapInArrow(run, ", ".join(f"{n} binary" for n in names))
 
 
-def _margins(batch: pa.RecordBatch, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    terms, value = batch.column("terms"), batch.column("value")
-    owner = np.repeat(np.arange(batch.num_rows), np.diff(terms.offsets.to_numpy()))
-    terms, value = terms.flatten().to_numpy(), value.flatten().to_numpy()
-    return owner, terms, value, np.bincount(owner, weights[terms] * value, minlength=batch.num_rows)
+def _blocks(batches: Iterator[pa.RecordBatch], parts: tuple[int, ...], weights: np.ndarray):
+    """Per block: kind, owner, terms, value and margin of its texts of the given parts."""
+    for batch in batches:
+        for row in range(batch.num_rows):
+            kind, part, start, terms, value = (np.frombuffer(batch.column(c)[row].as_py(), t) for c, t in (
+                ("kind", np.int8), ("part", np.int8), ("start", np.int32), ("terms", np.int16), ("value", np.float32)))
+            owner = np.repeat(np.arange(len(kind)), np.diff(start))
+            wanted = np.isin(part, parts)
+            here = wanted[owner]
+            owner, terms, value = (np.cumsum(wanted) - 1)[owner[here]], terms[here], value[here]
+            kind = kind[wanted]
+            yield kind, owner, terms, value, np.bincount(owner, weights[terms] * value, minlength=len(kind))
 
 
-def _sums(vectors: DataFrame, weights: np.ndarray) -> dict:
+def _sums(vectors: DataFrame, weights: np.ndarray, parts: tuple[int, ...]) -> dict:
     """Sums over positives and unlabelled: rows, losses l(f) and l(-f), and their gradients; one small row per task."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows, loss, gradient = np.zeros(2), np.zeros((2, 2)), np.zeros((2, 2, SIZE))
-        for batch in batches:
-            kind = batch.column("kind").to_numpy()
-            owner, terms, value, f = _margins(batch, weights)
+        for kind, owner, terms, value, f in _blocks(batches, parts, weights):
             rows += np.bincount(kind, minlength=2)
             for sign, way in ((0, 1.0), (1, -1.0)):
                 loss[:, sign] += np.bincount(kind, _softplus(-way * f), minlength=2)
@@ -173,31 +181,30 @@ def _sums(vectors: DataFrame, weights: np.ndarray) -> dict:
                     gradient[k, sign] += np.bincount(terms, np.where(kind == k, slope, 0.0)[owner] * value, minlength=SIZE)
         yield pa.RecordBatch.from_arrays([pa.array([np.concatenate([rows, loss.ravel(), gradient.ravel()])], pa.list_(pa.float64()))], names=["sums"])
 
-    parts = vectors.select("kind", "terms", "value").mapInArrow(run, "sums array<double>").toArrow().column("sums").combine_chunks()
-    total = parts.flatten().to_numpy().reshape(-1, 6 + 4 * SIZE).sum(axis=0) if len(parts) else np.zeros(6 + 4 * SIZE)
+    found = vectors.mapInArrow(run, "sums array<double>").toArrow().column("sums").combine_chunks()
+    total = found.flatten().to_numpy().reshape(-1, 6 + 4 * SIZE).sum(axis=0) if len(found) else np.zeros(6 + 4 * SIZE)
     rows = np.maximum(total[:2], 1)
     return {"rows": total[:2], "loss": total[2:6].reshape(2, 2) / rows[:, None], "gradient": total[6:].reshape(2, 2, SIZE) / rows[:, None, None]}
 
 
-def _descend(vectors: DataFrame, rounds: int, rate: float, penalty: float, gradient_of) -> np.ndarray:
+def _descend(vectors: DataFrame, parts: tuple[int, ...], rounds: int, rate: float, penalty: float, gradient_of) -> np.ndarray:
     """Adam over whole-sample gradients, each a Spark job over the stored sample."""
     weights, first, second = np.zeros(SIZE), np.zeros(SIZE), np.zeros(SIZE)
     for t in range(1, rounds + 1):
-        g = gradient_of(_sums(vectors, weights)) + penalty * np.r_[0.0, weights[1:]]
+        g = gradient_of(_sums(vectors, weights, parts)) + penalty * np.r_[0.0, weights[1:]]
         first, second = 0.9 * first + 0.1 * g, 0.99 * second + 0.01 * g * g
         step = rate * (1 - (t - 1) / (2 * rounds))
         weights = weights - step * (first / (1 - 0.9 ** t)) / (np.sqrt(second / (1 - 0.99 ** t)) + 1e-9)
     return weights
 
 
-def _by_margin(vectors: DataFrame, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _by_margin(vectors: DataFrame, parts: tuple[int, ...], weights: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Margins to a twentieth, falling, and how many positives and unlabelled texts have each."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            f = _margins(batch, weights)[3]
-            yield pa.RecordBatch.from_arrays([batch.column("kind"), pa.array(np.round(f * 20) / 20)], names=["kind", "f"])
+        for kind, _, _, _, f in _blocks(batches, parts, weights):
+            yield pa.RecordBatch.from_arrays([pa.array(kind, pa.int32()), pa.array(np.round(f * 20) / 20)], names=["kind", "f"])
 
-    held = vectors.select("kind", "terms", "value").mapInArrow(run, "kind int, f double").groupBy("f").agg(
+    held = vectors.mapInArrow(run, "kind int, f double").groupBy("f").agg(
         F.count_if(F.col("kind") == 1).alias("p"), F.count_if(F.col("kind") == 0).alias("u")).orderBy(F.desc("f")).toArrow()
     return tuple(held.column(c).to_numpy() for c in ("f", "p", "u"))
 
@@ -208,8 +215,8 @@ def estimate_prior(vectors: DataFrame, rounds: int = 15) -> float:
     P(f >= t) of the unlabelled is at least prior times that of the positives. Both shares come from the half that the
     model did not see; one standard deviation is added, and thresholds above a tenth of the positives count.
     """
-    weights = _descend(vectors.where("part < 2"), rounds, 0.3, 1e-3, lambda s: s["gradient"][1, 0] / 2 + s["gradient"][0, 1] / 2)
-    _, p, u = _by_margin(vectors.where("part >= 2"), weights)
+    weights = _descend(vectors, (0, 1), rounds, 0.3, 1e-3, lambda s: s["gradient"][1, 0] / 2 + s["gradient"][0, 1] / 2)
+    _, p, u = _by_margin(vectors, (2, 3), weights)
     p, u = np.cumsum(p), np.cumsum(u)
     if not len(p) or not p[-1] or not u[-1]:
         return 0.5
@@ -241,7 +248,7 @@ def fit(docs: DataFrame, trusted: DataFrame, positives: int = 20_000, unlabelled
     """
     drawn = sample(docs, trusted, positives, unlabelled)
     vectors = stored(_vectors(drawn.repartition(12)), "quality-vectors")
-    if not vectors.where("kind = 1").limit(1).count():
+    if not _sums(vectors, np.zeros(SIZE), (0, 1, 2))["rows"][1]:
         return Model(np.zeros(SIZE), 0.5)
     prior = estimate_prior(vectors) if prior is None else prior
 
@@ -250,8 +257,8 @@ def fit(docs: DataFrame, trusted: DataFrame, positives: int = 20_000, unlabelled
         against = s["gradient"][0, 1] - prior * s["gradient"][1, 1]
         return prior * s["gradient"][1, 0] + against if negative >= 0 else -against
 
-    weights = _descend(vectors.where("part < 3"), rounds, 0.3, penalty, gradient)
-    return Model(weights, prior, *calibrate(*_by_margin(vectors.where("part = 3"), weights), prior))
+    weights = _descend(vectors, (0, 1, 2), rounds, 0.3, penalty, gradient)
+    return Model(weights, prior, *calibrate(*_by_margin(vectors, (3,), weights), prior))
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
