@@ -42,7 +42,7 @@ def load_all() -> dict[str, Query]:
     import importlib
 
     for module in ("prices", "ingest", "quality", "fundamentals", "macro", "risk",
-                   "text", "events", "scores", "retrieval", "portfolio", "backtests",
+                   "text", "events", "scores", "retrieval", "portfolio", "backtests", "runs",
                    "lists", "reports", "streams", "jobs"):
         importlib.import_module(f"tallyvane.catalog.{module}")
     return QUERIES

@@ -19,8 +19,17 @@ class BacktestResult:
     performance: DataFrame
 
 
-def run_prices(specs: DataFrame, bars: DataFrame, companies: DataFrame) -> DataFrame:
-    """Bars of each run: its sector (all when NULL) within its period, with the parameters as columns."""
+def run_prices(specs: DataFrame, bars: DataFrame, companies: DataFrame, pinned: DataFrame | None = None) -> DataFrame:
+    """Bars of each run: its sector (all when NULL) within its period, with the parameters as columns.
+
+    A run with a ``snapshot_day`` reads ``pinned`` (snapshot_day, ticker, ts, close) instead, and nothing else.
+    """
+    if pinned is not None:
+        own = companies.select("ticker", F.col("sector").alias("_in"))
+        free = run_prices(specs.filter("snapshot_day IS NULL"), bars, companies)
+        fixed = pinned.join(specs.filter("snapshot_day IS NOT NULL"), "snapshot_day").join(own, "ticker").filter(
+            F.col("ts").between(F.col("start_date"), F.col("end_date")) & (F.col("sector").isNull() | (F.col("sector") == F.col("_in"))))
+        return free.unionByName(fixed.select(*free.columns))
     b = bars.join(companies.select("company_id", "ticker", "sector"), "company_id").select(
         "ticker", F.col("sector").alias("_sector"), "ts", "close")
     sectors = companies.agg(F.collect_set("sector").alias("all")).scalar()
@@ -29,14 +38,13 @@ def run_prices(specs: DataFrame, bars: DataFrame, companies: DataFrame) -> DataF
     return b.join(s, "_sector").filter(F.col("ts").between(F.col("start_date"), F.col("end_date"))).drop("_sector")
 
 
-def execute(specs: DataFrame, bars: DataFrame, companies: DataFrame, scores: DataFrame) -> BacktestResult:
+def execute(specs: DataFrame, bars: DataFrame, companies: DataFrame, scores: DataFrame, pinned: DataFrame | None = None) -> BacktestResult:
     """``specs``: run_id, strategy, status, sector, start_date, end_date, initial_capital, rebalance_days,
-    top_n, lookback, threshold, risk_profile, max_position_weight, max_sector_weight.
-
-    Only queued runs start; a run without prices fails. ``scores``: ticker, score_ts, score, risk.
+    top_n, lookback, threshold, risk_profile, max_position_weight, max_sector_weight; with ``pinned`` also
+    snapshot_day. Only queued runs start; a run without prices fails. ``scores``: ticker, score_ts, score, risk.
     """
     queued = materialize(specs.filter("status = 'queued'"))
-    prices = materialize(run_prices(queued, bars, companies))
+    prices = materialize(run_prices(queued, bars, companies, pinned))
     runs = queued.select("run_id", "strategy", "initial_capital")
     history = queued.select("run_id", "start_date", "end_date").join(
         prices.select("run_id", "ticker").distinct(), "run_id").join(scores, "ticker")
