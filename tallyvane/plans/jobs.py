@@ -5,27 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyvane.operators import anomaly, events, fundamentals, indicators, linking, risk, statements, upsert, validation
+from tallyvane.operators import events, fundamentals, indicators, linking, statements, upsert, validation
+from tallyvane.operators.materialize import stored
 from tallyvane.sources import vendor
-
-
-def refresh_derived(bars_long: DataFrame, bars_year: DataFrame, statement_rows: DataFrame, event_rows: DataFrame,
-                    events_since) -> tuple[DataFrame, DataFrame]:
-    """Technical indicators and risk metrics."""
-    return (indicators.technical_indicators(bars_long),
-            risk.risk_metrics(bars_year, fundamentals.latest_statement(statement_rows), event_rows, events_since))
-
-
-def anomalies_and_alerts(bars: DataFrame, companies: DataFrame, alerts: DataFrame, weights=None) -> tuple[DataFrame, DataFrame]:
-    scored = anomaly.anomaly_scores(bars, weights) if weights else anomaly.anomaly_scores(bars)
-    scored = scored.withColumn("anomaly_id", F.col("company_id"))
-    return scored, events.anomaly_alerts(scored, companies, alerts)
-
-
-def events_and_alerts(news: DataFrame, links: DataFrame, bars: DataFrame, companies: DataFrame, alerts: DataFrame, as_of,
-                      since, known: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    found = events.detect_events(news, links, bars, as_of, since, known).withColumn("event_id", F.col("news_id"))
-    return found, events.event_alerts(found, companies, alerts)
+from tallyvane.sources.store import Store
 
 
 def process_news(raw_items: DataFrame, stored: DataFrame, companies: DataFrame, as_of) -> tuple[DataFrame, DataFrame]:
@@ -59,3 +42,31 @@ def first_load(bars: DataFrame, statement_rows: DataFrame, company_id: int) -> t
     """Derived tables of a single company: the same plans behind one key filter."""
     one = F.col("company_id") == company_id
     return (indicators.technical_indicators(bars.filter(one)), fundamentals.financial_metrics(statement_rows.filter(one)))
+
+
+FUNDAMENTALS = {
+    "statements": ("company_id bigint, period string, period_type string, origin string, revenue double, net_income double, total_assets double, "
+                   "shareholders_equity double"),
+    "profiles": "company_id bigint, name string, sector string, industry string",
+}
+
+
+def store_fundamentals(store: Store, primary: DataFrame, income: DataFrame, balance: DataFrame, cashflow: DataFrame, companies: DataFrame,
+                       profiles: DataFrame) -> dict[str, int]:
+    """Append new statements and the company rows that a profile changes, in one commit; a second pass adds nothing.
+
+    ``companies``: the known rows, overlaid by those stored before; ``profiles``: company_id, name, sector, industry, where a non-empty value wins.
+    """
+    have = store.read("statements").select("company_id", "period", "period_type")
+    rows = ingest_fundamentals(primary, income, balance, cashflow, have)
+    facts = ("revenue", "net_income", "total_assets", "shareholders_equity")
+    rows = stored(rows.select("company_id", "period", "period_type", "origin", *[F.col(c).cast("double").alias(c) for c in facts]), "new-statements")
+    names = ["name", "sector", "industry"]
+    past = store.latest("profiles", ["company_id"]).select("company_id", *names)
+    known = companies.select("company_id", *names).join(past, "company_id", "left_anti").unionByName(past)
+    merged = upsert.overlay_profile(known, profiles, "company_id", names)
+    before = known.select("company_id", F.struct(*names).alias("_old"))
+    changed = stored(merged.join(before, "company_id").filter(~F.struct(*names).eqNullSafe(F.col("_old"))).drop("_old"), "changed-profiles")
+    if rows.isEmpty() and changed.isEmpty():
+        return {}
+    return store.commit(store.next_name("fundamentals"), "fundamentals", lambda: {"statements": rows, "profiles": changed})

@@ -20,10 +20,13 @@ _MANIFEST = "job string, row_counts map<string, bigint>"
 
 
 class Store:
-    """``schemas``: the columns of each table as a DDL string; the commit's name is an extra column of every read."""
+    """``schemas``: the columns of each table as a DDL string; the commit's name is an extra column of every read.
 
-    def __init__(self, spark: SparkSession, root: str, schemas: dict[str, str]):
-        self.spark, self.root, self.schemas = spark, root.rstrip("/"), schemas
+    ``partitions``: columns that cut a table's commits into folders, so that reads by them are pruned.
+    """
+
+    def __init__(self, spark: SparkSession, root: str, schemas: dict[str, str], partitions: dict[str, list[str]] | None = None):
+        self.spark, self.root, self.schemas, self.partitions = spark, root.rstrip("/"), schemas, partitions or {}
 
     def _empty(self, ddl: str) -> DataFrame:
         return self.spark.createDataFrame([], f"{ddl}, commit string")
@@ -50,7 +53,11 @@ class Store:
         """The row of the newest commit for each key; commits are ordered by name."""
         rows = self.read(table)
         newest = rows.groupBy(*keys).agg(F.max("commit").alias("commit"))
-        return rows.join(newest, [*keys, "commit"], "left_semi")
+        return rows.join(newest, [*keys, "commit"], "left_semi").select(*rows.columns)
+
+    def next_name(self, prefix: str) -> str:
+        """A name that sorts behind all finished commits of the store (one writer at a time)."""
+        return f"{prefix}-{self.manifests().count() + 1:012d}"
 
     def commit(self, name: str, job: str, build: Callable[[], dict[str, DataFrame]]) -> dict[str, int]:
         """Write what ``build`` returns unless the name is done; returns rows written per table.
@@ -63,8 +70,8 @@ class Store:
         for table, rows in build().items():
             seen = Observation()
             columns = self._empty(self.schemas[table]).columns[:-1]
-            rows.select(*columns).observe(seen, F.count(F.lit(1)).alias("n")).write.mode("overwrite").parquet(
-                f"{self.root}/{table}/commit={name}")
+            rows.select(*columns).observe(seen, F.count(F.lit(1)).alias("n")).write.mode("overwrite").partitionBy(
+                *self.partitions.get(table, [])).parquet(f"{self.root}/{table}/commit={name}")
             counts[table] = seen.get["n"]
         told = F.create_map(*[x for t, n in counts.items() for x in (F.lit(t), F.lit(n).cast("bigint"))])
         # one row in one file: the commit point
