@@ -257,7 +257,7 @@ def evaluated_analyses(m):
     return out.select("analysis_id", "llm_direction", *rnd("forward_return"), "actual_direction", "direction_accuracy", "source_backed")
 
 
-@query("snapshot_roundtrip", "B11 A6 B12", with_views("bars companies", f"""
+@query("snapshot_roundtrip", "A6", with_views("bars companies", f"""
     SELECT ticker, {sql_day("ts")}, close, volume FROM bars JOIN companies USING (company_id)
     WHERE ts BETWEEN TIMESTAMP '1999-01-01' AND TIMESTAMP '2000-06-30'"""))
 def snapshot_roundtrip(m):
@@ -268,7 +268,7 @@ def snapshot_roundtrip(m):
     return rows.select("ticker", day_text("ts"), "close", "volume")
 
 
-@query("snapshot_scores", "B11", with_views("scores companies", f"""
+@query("snapshot_scores", "A6", with_views("scores companies", f"""
     SELECT ticker, {sql_day("ts")}, overall_score FROM scores JOIN companies USING (company_id) WHERE ts <= TIMESTAMP '2000-06-30'
     QUALIFY row_number() OVER (PARTITION BY company_id ORDER BY ts DESC) = 1"""))
 def snapshot_scores(m):

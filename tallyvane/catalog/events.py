@@ -74,7 +74,7 @@ _NEWS = ["sentiment", "relevance_score", "credibility_score", "magnitude_score",
          "materiality_score", "effective_weight"]
 
 
-@query("enriched_news", "J5 J4 J9 N5", with_views("news_scored", f"""
+@query("enriched_news", "J5 J4 J9", with_views("news_scored", f"""
     SELECT news_id, {", ".join(_NEWS)} FROM news_scored"""))
 def enriched_news(m):
     return scored_news(m).select("news_id", *_NEWS)
@@ -92,7 +92,7 @@ def enriched_links(m):
 _EV = ["impact", "confidence", "materiality", "effective_weight", "description"]
 
 
-@query("detected_events", "J10 J7 J8 J11 B7 N4", with_views("market_events", f"""
+@query("detected_events", "J10 J7 J8 J11 B7", with_views("market_events", f"""
     SELECT company_id, news_id, event_type, {sql_time("event_date")}, round(impact_score, 6) AS impact_score,
            {", ".join(_EV)} FROM market_events"""))
 def detected_events(m):
@@ -149,7 +149,7 @@ def stored_alerts(m):
     return comp.unionByName(ev)
 
 
-@query("anomaly_alerts", "J12 E12 N3", with_views("anomalies companies", f"""
+@query("anomaly_alerts", "J12 E12", with_views("anomalies companies", f"""
     SELECT company_id, 'PRICE_ANOMALY' AS alert_type, company_id AS source_id,
            CASE WHEN overall_score >= 80 THEN 'high' ELSE 'medium' END AS severity,
            ticker || ' price anomaly detected (score ' || printf('%.0f', overall_score) || ')' AS message
@@ -160,7 +160,7 @@ def anomaly_alerts(m):
     return events.anomaly_alerts(an, m.companies(), stored_alerts(m))
 
 
-@query("event_alerts", "J12 E12 E2 N4", with_views("market_events companies", """
+@query("event_alerts", "J12 E12 E2", with_views("market_events companies", """
     SELECT company_id, 'MARKET_EVENT' AS alert_type, news_id AS source_id,
            CASE WHEN impact = 'negative' THEN 'high' ELSE 'medium' END AS severity,
            ticker || ': ' || event_type || ' (' || description || ')' AS message

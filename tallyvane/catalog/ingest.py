@@ -359,7 +359,7 @@ def vendor_quotes(m):
     return vendor.quotes(rows).select("ticker", "price", *rnd("change", "change_percent"), "volume")
 
 
-@query("raw_landing", "A23 B1", with_views("macro", """
+@query("raw_landing", "A15", with_views("macro", """
     SELECT 'fred' AS provider, '/series/observations' AS endpoint, indicator, count(*) AS observations
     FROM macro GROUP BY indicator"""))
 def raw_landing(m):

@@ -22,7 +22,7 @@ class _Half:
         return self.m.statements().filter(F.col("company_id") % 2 == 0)
 
 
-@query("fundamentals_job", "N6 D8 B3", with_views("statements", """
+@query("fundamentals_job", "D8 B3", with_views("statements", """
     SELECT company_id, origin, count(*) AS n FROM (
       SELECT company_id, period, period_type, CASE WHEN company_id % 2 = 0 THEN 'filing' ELSE 'vendor' END AS origin FROM statements
       WHERE company_id % 2 = 0 OR period_type = 'quarterly') WHERE period >= '1999' GROUP BY ALL"""))
@@ -33,7 +33,7 @@ def fundamentals_job(m):
     return out.groupBy("company_id", "origin").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("news_job", "N5 B19 B5 J5 E16", with_views("news", """
+@query("news_job", "B19 B5 J5 E16", with_views("news", """
     SELECT news_id, news_id % n AS company_id, method FROM (
       SELECT news_id, (SELECT n_companies FROM facts) AS n, CASE WHEN news_id % 2 = 0 THEN 'ticker' ELSE 'name_match' END AS method
       FROM news WHERE news_id % 10 <> 1 AND news_id % 9 <> 0)"""))

@@ -107,7 +107,7 @@ def recent_news_arrays(m):
     return r.select("company_id", F.array_join(F.transform("items", lambda x: x["news_id"].cast("string")), ",").alias("news"), "n")
 
 
-@query("analysis_pages", "H10 H19", with_views("analyses", """
+@query("analysis_pages", "H10", with_views("analyses", """
     SELECT company_id, analysis_id, n > 3 AS has_more FROM (
       SELECT *, row_number() OVER (PARTITION BY company_id ORDER BY completed_at DESC, analysis_id DESC) AS k, count(*) OVER (PARTITION BY company_id) AS n
       FROM analyses) WHERE k <= 3"""))

@@ -30,14 +30,14 @@ def top_movers(m):
     return out.select("ticker", "name", "price", *rnd("change_percent"), "volume", "up")
 
 
-@query("bar_window_scan", "A1 A3 A4 A8", with_views("bars facts", f"""
+@query("bar_window_scan", "A1 A4", with_views("bars facts", f"""
     SELECT company_id, {sql_day("ts")}, close, volume FROM bars, facts
     WHERE ts BETWEEN as_of - INTERVAL 252 DAY AND as_of"""))
 def bar_window_scan(m):
     return m.recent_bars(252).select("company_id", day_text("ts"), "close", "volume")
 
 
-@query("adjusted_close_scan", "A2 C5", with_views("bars facts", f"""
+@query("adjusted_close_scan", "A2", with_views("bars facts", f"""
     SELECT company_id, {sql_day("ts")}, coalesce(nullif(adjusted_close, 0), close) AS px
     FROM bars, facts WHERE ts >= as_of - INTERVAL 365 DAY"""))
 def adjusted_close_scan(m):

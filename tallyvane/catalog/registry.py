@@ -43,6 +43,6 @@ def load_all() -> dict[str, Query]:
 
     for module in ("prices", "ingest", "quality", "fundamentals", "macro", "risk",
                    "text", "events", "scores", "retrieval", "portfolio", "backtests", "runs",
-                   "lists", "reports", "streams", "jobs", "stores"):
+                   "lists", "reports", "streams", "jobs", "stores", "sections"):
         importlib.import_module(f"tallyvane.catalog.{module}")
     return QUERIES

@@ -12,7 +12,7 @@ from tallyvane.operators import evidence, fundamentals, linking, pricing, valida
 from tallyvane.operators import serving as sv
 
 
-@query("research_context", "J24 C24", with_views("bars last_statement metrics anomalies", """
+@query("research_context", "C24", with_views("bars last_statement metrics anomalies", """
     SELECT b.company_id, round(latest, 4) AS latest_price, CASE WHEN b.company_id % 3 <> 0 THEN s.period END AS period, round(a.overall_score, 6) AS anomaly,
            concat_ws(',', CASE WHEN b.company_id % 3 = 0 THEN 'fundamental_snapshot' END, 'risk_snapshot') AS missing
     FROM (SELECT company_id, arg_max(close, ts) AS latest FROM bars GROUP BY 1) b JOIN last_statement s USING (company_id) LEFT JOIN anomalies a USING (company_id)"""))
@@ -31,7 +31,7 @@ def research_context(m):
         F.array_join("missing_snapshots", ",").alias("missing"))
 
 
-@query("stage_status", "J26", with_views("companies", """
+@query("stage_status", "", with_views("companies", """
     SELECT company_id, stage, CASE stage WHEN 'ingestion' THEN CASE company_id % 4 WHEN 0 THEN 'success' WHEN 3 THEN 'failed' ELSE 'degraded' END
              WHEN 'normalization' THEN CASE WHEN company_id % 5 = 0 THEN 'degraded' ELSE 'success' END
              WHEN 'retrieval' THEN CASE WHEN company_id % 2 = 0 THEN 'success' ELSE 'degraded' END

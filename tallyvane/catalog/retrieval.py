@@ -117,7 +117,7 @@ _TOP = """SELECT '{bucket}' AS bucket, query_id, id, round(score, 6) AS score, r
       SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM ({src})) WHERE rank <= {limit}"""
 
 
-@query("context_buckets", "K6 C24 F26", with_views("sims keyhits", " UNION ALL ".join([
+@query("context_buckets", "K6 C24", with_views("sims keyhits", " UNION ALL ".join([
     _TOP.format(bucket="news", limit=5, src=_HYBRID.format(level=LEVEL, where="AND entity_type = 'news'", depth=10, limit=5)),
     _TOP.format(bucket="events", limit=5, src=f"SELECT * FROM sims WHERE score > {LEVEL} AND entity_type = 'event'"),
     _TOP.format(bucket="previous_analyses", limit=3, src=f"SELECT * FROM sims WHERE score > {LEVEL} AND entity_type = 'analysis'")])))
@@ -210,7 +210,7 @@ def embedding_texts(m):
     return news.unionByName(event).unionByName(analysis).select("kind", "id", F.md5("t").alias("digest"))
 
 
-@query("embedded_documents", "K8 N9", f"""
+@query("embedded_documents", "K8", f"""
     SELECT doc_id, {DIM} AS dims, 1.0::DOUBLE AS norm FROM documents""")
 def embedded_documents(m):
     """Whole documents through the offline encoder in Arrow batches."""

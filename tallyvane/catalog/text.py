@@ -104,7 +104,7 @@ def event_classes(m):
     return events.classify_news(m.news()).select("news_id", "event_type")
 
 
-@query("event_class_counts_plain_text", "J6 F3", f"""
+@query("event_class_counts_plain_text", "J6", f"""
     SELECT {sql_classify("lower(text)")} AS event_type, count(*) AS n FROM documents GROUP BY 1""")
 def event_class_counts_plain_text(m):
     return m.table("documents").withColumn("_low", F.lower("text")).select(

@@ -74,3 +74,13 @@ def route_template(path) -> Column:
     return F.array_join(
         F.transform(F.split(_c(path), "/"),
                     lambda s: F.when(s.rlike(uuid) | s.rlike("^[0-9]+$"), "{id}").otherwise(s)), "/")
+
+
+# fixed value: form of a generic identifier
+IDENTIFIER_PATTERN = r"^[A-Za-z0-9.\-_]{1,100}$"
+
+
+def valid_identifier(raw) -> Column:
+    """The stripped identifier if it has the generic form, else null."""
+    t = F.trim(_c(raw))
+    return F.when(t.rlike(IDENTIFIER_PATTERN), t)

@@ -89,3 +89,8 @@ def market_overview(snapshot: DataFrame) -> DataFrame:
         .when((F.col("economic_regime") == "unknown") | (F.col("volatility") == "unknown"), "unknown")
         .when(F.col("volatility") == "moderate", "medium").otherwise("low"),
     ).withColumn("trend", trend_of("economic_regime"))
+
+
+def indicator_series(macro: DataFrame, indicator: str, since) -> DataFrame:
+    """(ts, value) of one indicator since a time, oldest first."""
+    return macro.filter((F.col("indicator") == indicator) & (F.col("ts") >= since)).select("ts", "value").orderBy("ts")

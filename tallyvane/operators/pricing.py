@@ -152,3 +152,18 @@ def stalest_first(companies: DataFrame, bars: DataFrame) -> DataFrame:
     newest = bars.groupBy("company_id").agg(F.max("ts").alias("newest"))
     return (companies.select("company_id", "ticker").join(newest, "company_id", "left")
             .orderBy(F.asc_nulls_first("newest"), "company_id"))
+
+
+def normalized_bars(raw: DataFrame, source: str) -> DataFrame:
+    """Bars in one form from rows (company_id, timestamp, open, high, low, close, adjusted_close, volume) of text values.
+
+    Times may be epoch seconds, milliseconds or ISO text. A missing number is 0.0, volume is a whole number cut towards zero, and an adjusted close
+    that is missing or 0 is null.
+    """
+    from tallyvane.functions.times import parse_timestamp
+
+    number = lambda c: F.coalesce(F.col(c).try_cast("double"), F.lit(0.0))
+    return raw.select(
+        "company_id", parse_timestamp("timestamp").alias("ts"), *[number(c).alias(c) for c in ("open", "high", "low", "close")],
+        F.nullif(number("adjusted_close"), F.lit(0.0)).alias("adjusted_close"), number("volume").cast("long").alias("volume"),
+        F.lit(source).alias("source"))

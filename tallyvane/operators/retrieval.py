@@ -284,3 +284,21 @@ def retrieve_by_ticker(docs: DataFrame, queries: DataFrame, companies: DataFrame
     hits = similarity_pairs(docs.select("id", "company_id", "embedding"), q, dim, best=limit, match="company_id")
     return rank_hits(hits.drop("company_id"), limit).join(q.select("query_id", "ticker"), "query_id").select(
         "id", "query_id", "ticker", "score", "rank")
+
+
+def bucket_counts(context: DataFrame, queries: DataFrame) -> DataFrame:
+    """Retrieved items per query: one count per bucket and their total; a query without any has zeros.
+
+    ``context`` as from ``retrieve_context``.
+    """
+    counts = context.groupBy("query_id").agg(*[F.count_if(F.col("bucket") == b).alias(f"{b}_count") for b in BUCKETS],
+                                             F.count(F.lit(1)).alias("total_retrieved"))
+    names = [f"{b}_count" for b in BUCKETS] + ["total_retrieved"]
+    return queries.select("query_id").join(counts, "query_id", "left").select(
+        "query_id", *[F.coalesce(n, F.lit(0)).alias(n) for n in names])
+
+
+def entity_counts(docs: DataFrame, text: str) -> DataFrame:
+    """(entity_type, n) of embedded rows whose content holds the text in any case."""
+    held = F.contains(F.upper("content"), F.lit(text.upper()))
+    return docs.filter(held).groupBy("entity_type").agg(F.count(F.lit(1)).alias("n"))

@@ -224,3 +224,8 @@ def job_freshness(beats: DataFrame, cadence: DataFrame, as_of, default_minutes:
     return rows.withColumn("_worst", worst).select(
         "task", "interval_minutes", F.round("age_minutes", 1).alias("age_minutes"), name(F.col("_rank")).alias("level"),
         name(F.col("_worst")).alias("overall"))
+
+
+def major_events(events: DataFrame, limit: int = 10) -> DataFrame:
+    """The newest events over all companies, for the list beside the market overview."""
+    return events.orderBy(F.desc("event_date"), F.desc("news_id"), F.desc("company_id")).limit(limit)

@@ -198,3 +198,38 @@ def test_profiles_and_statements_in_one_commit(spark, tmp_path):
     again = profile.withColumn("name", F.lit("newer"))
     assert jobs.store_fundamentals(store, none, income, none, none, companies, again) == {"statements": 0, "profiles": 1}
     assert [r["name"] for r in store.latest("profiles", ["company_id"]).collect()] == ["newer"]
+
+
+def test_context_keeps_ten_newest_and_names_what_is_missing(spark):
+    from tallyvane.operators import context
+
+    companies = spark.createDataFrame([(1,), (2,), (3,)], "company_id bigint")
+    day = lambda d: dt.datetime(2020, 1, 1) + dt.timedelta(days=d)
+    news = spark.createDataFrame([(1, i, day(i // 2), f"t{i}") for i in range(25)], "company_id bigint, news_id bigint, at timestamp, title string")
+    risk = spark.createDataFrame([(1, day(1), 5.0), (1, day(2), 7.0), (2, None, 1.0)], "company_id bigint, ts timestamp, risk_score double")
+    facts = spark.createDataFrame([(1, "2020-03-31", float("nan")), (2, "2020-03-31", 0.5)], "company_id bigint, period string, roe double")
+    macro = spark.createDataFrame([("cpi", day(1), 1.0), ("cpi", day(3), 3.0), ("vix", day(2), None)], "indicator string, ts timestamp, value double")
+    parts = [context.section_rows(news, "news", "at", "news_id"), context.section_rows(risk, "risk", "ts"), context.section_rows(facts, "metrics", "period")]
+    got = {r["company_id"]: r for r in context.assemble(companies, parts, macro).select(
+        "company_id", F.transform("news_snapshot", lambda v: F.try_variant_get(v, "$.news_id", "int")).alias("news"), "news_count", "event_count",
+        F.try_variant_get("risk_snapshot", "$.risk_score", "double").alias("risk"), "macro_snapshot", "missing_snapshots").collect()}
+    assert got[1]["news"] == list(range(24, 14, -1)) and got[1]["news_count"] == 25 and got[1]["risk"] == 7.0
+    assert got[1]["missing_snapshots"] == ["market_snapshot", "technical_snapshot", "fundamental_snapshot"]
+    assert got[2]["missing_snapshots"] == ["market_snapshot", "technical_snapshot"] and got[2]["news"] is None
+    assert got[3]["missing_snapshots"] == [f"{s}_snapshot" for s in context.REQUIRED] and got[3]["macro_snapshot"] == {"cpi": 3.0}
+
+
+def test_plain_rules(spark):
+    from tallyvane.functions import ids
+    from tallyvane.operators import pricing, retrieval
+
+    raw = spark.createDataFrame([(1, "1700000000", "1", None, "2", "x", "0", "7.9"), (2, "1700000000000", None, "3", "2", "1", "4.5", None), (3, "2023-11-14T22:13:20Z", *["1"] * 6)],
+                                "company_id bigint, timestamp string, open string, high string, low string, close string, adjusted_close string, volume string")
+    got = [tuple(r)[1:] for r in pricing.normalized_bars(raw, "s").orderBy("company_id").collect()]
+    assert {r[0] for r in got} == {dt.datetime(2023, 11, 14, 22, 13, 20)}
+    assert [r[1:] for r in got] == [(1.0, 0.0, 2.0, 0.0, None, 7, "s"), (0.0, 3.0, 2.0, 1.0, 4.5, 0, "s"), (1.0, 1.0, 1.0, 1.0, 1.0, 1, "s")]
+    names = spark.createDataFrame([(" a-b_c.1 ",), ("a b",), ("",), (None,), ("x" * 101,)], "v string")
+    assert [r[0] for r in names.select(ids.valid_identifier("v")).collect()] == ["a-b_c.1", None, None, None, None]
+    hits = spark.createDataFrame([("news", 1), ("news", 1), ("events", 1)], "bucket string, query_id int")
+    counts = retrieval.bucket_counts(hits, spark.createDataFrame([(1,), (2,)], "query_id int")).orderBy("query_id").collect()
+    assert [tuple(r) for r in counts] == [(1, 2, 0, 1, 0, 3), (2, 0, 0, 0, 0, 0)]
