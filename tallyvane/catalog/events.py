@@ -66,7 +66,7 @@ def market_events(m, days: int = EVENT_DAYS, news=None):
     # bars a little older than the oldest event, for the price before it
     from datetime import timedelta
 
-    bars = m.bars(since=m.as_of - timedelta(days=days + 400))
+    bars = m.bars(since=m.as_of - timedelta(days=EVENT_DAYS + 400))
     return events.detect_events(scored_news(m) if news is None else news, m.company_news(), bars, m.now, m.days_ago(days))
 
 

@@ -259,33 +259,16 @@ def filing_payloads(m):
            strftime(CAST(period AS DATE) + INTERVAL 60 DAY, '%Y-%m-%d') AS filed_date,
            'a60-' || period AS source_id
     FROM (SELECT * REPLACE (coalesce(any_total, total_assets) AS total_assets, coalesce(any_debt, total_debt) AS total_debt)
-          FROM (SELECT s.*, last_value(total_assets) OVER w AS any_total, last_value(total_debt) OVER w AS any_debt
-                FROM statements s
-                WINDOW w AS (PARTITION BY company_id, period ORDER BY period_type DESC
-                             ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)))"""))
+          FROM (SELECT s.*, max(total_assets) OVER w AS any_total, max(total_debt) OVER w AS any_debt
+                FROM statements s WINDOW w AS (PARTITION BY company_id, period)))"""))
 def filing_statements(m):
-    """A year-end carries a quarterly and an annual instant; here the annual one is used for both."""
-    out = vendor.filing_statements(filing_payloads(_InstantMarket(m)))
+    """A year-end carries a quarterly and an annual instant in one filing; the larger one stands for both."""
+    out = vendor.filing_statements(filing_payloads(m))
     return out.select("company_id", "period", "period_type", *rnd("revenue", digits=4), "net_income", *rnd("eps"),
                       "total_assets", "total_debt", "operating_cash_flow", "capital_expenditure",
                       *rnd("free_cash_flow", digits=4), "filed_date", "source_id")
 
 
-class _InstantMarket:
-    """Statements whose balance figures agree between the two rows of a year-end."""
-
-    def __init__(self, m):
-        self.m = m
-
-    def statements(self):
-        from pyspark.sql import Window
-
-        w = (Window.partitionBy("company_id", "period").orderBy(F.desc("period_type"))
-             .rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-        return self.m.statements().withColumns({
-            c: F.last(c).over(w) for c in ("total_assets", "total_debt")})
-
-
 @query("filing_concepts", "A18", with_views("statements", """
     SELECT concept, form, unit, CAST(count(*) AS BIGINT) AS points, round(sum(value * CASE WHEN concept <> 'revenue' OR k = 0 THEN 1 WHEN k = 1 THEN 2 ELSE 9 END), 0) AS total FROM (
       SELECT unnest([
@@ -310,13 +293,12 @@ def filing_concepts(m):
            round(sum(l_extendedprice), 2) AS value
     FROM lineitem, (VALUES ('insider'), ('institution')) k(kind) GROUP BY ALL""")
 def vendor_ownership(m):
-    """Insider and fund records packed per (company, ship month), then parsed."""
+    """Insider and fund records packed by (company, ship day, order bucket), so no payload holds a large company's month; then parsed."""
     li = m.table("lineitem").withColumn("ticker", F.concat(F.lit("S"), F.col("l_suppkey").cast("string")))
-    month = F.date_format("l_shipdate", "yyyy-MM")
     date = F.date_format("l_shipdate", "yyyy-MM-dd")
     base = [F.concat(F.lit("P"), F.col("l_partkey").cast("string")).alias("name"), F.col("l_quantity").alias("share"),
             F.col("l_extendedprice").alias("value"), F.col("l_tax").alias("change")]
-    pack = lambda *c: (li.groupBy("ticker", month.alias("mo"))
+    pack = lambda *c: (li.groupBy("ticker", date.alias("day"), F.pmod("l_orderkey", F.lit(16)).alias("part"))
                        .agg(F.to_json(F.struct(F.collect_list(F.struct(*base, *c)).alias("data"))).alias("payload")))
     insider = vendor.insider_transactions(pack(
         date.alias("transactionDate"), F.col("l_returnflag").alias("transactionCode"),

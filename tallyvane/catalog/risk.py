@@ -46,7 +46,8 @@ add_view("risk", "price_risk statement_risk market_events facts", """
 
 
 def risk_of(m, ev=None):
-    ev = market_events(m) if ev is None else ev
+    # only a month of events counts: older articles are neither classified nor matched with prices
+    ev = market_events(m, days=30) if ev is None else ev
     return risk.risk_metrics(m.recent_bars(RISK_DAYS), fund.latest_statement(m.statements()), ev, m.days_ago(30))
 
 

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
+from datetime import timedelta
+
 from pyspark.sql import functions as F
 
 from tallyvane.catalog.common import rnd, sql_rnd
@@ -13,8 +14,10 @@ from tallyvane.catalog.risk import risk_of
 from tallyvane.catalog.sqlviews import add_view, with_views
 from tallyvane.operators import fundamentals as fund
 from tallyvane.operators import events, indicators, scoring
+from tallyvane.operators.materialize import stored
 from tallyvane.plans import scores as plan
 from tallyvane.settings import SETTINGS
+from tallyvane.sources.views import Market
 
 _F = fund.COMPONENT_FIELDS
 
@@ -87,12 +90,32 @@ def technical_of(m):
     return indicators.technical_indicators(m.recent_bars(TECH_DAYS))
 
 
+def once(m):
+    """The market with its bars (of the longest window that a score reads) and statements written once."""
+    other = Market(m.spark, m.directory)
+    other.as_of, other.n_companies = m.as_of, m.n_companies
+    bars = stored(m.recent_bars(TECH_DAYS), "score-bars")
+    statements = stored(m.statements(), "score-statements")
+
+    def window(since=None, until=None):
+        if since is None or since < m.as_of - timedelta(days=TECH_DAYS):
+            return m.bars(since, until)
+        rows = bars.filter(F.col("ts") >= F.lit(since))
+        return rows if until is None else rows.filter(F.col("ts") < F.lit(until + timedelta(days=1)))
+
+    other.bars, other.statements = window, lambda: statements
+    return other
+
+
 def inputs(m):
-    """The gold inputs of the score plan, each built once."""
-    # three consumers (risk, catalyst, completeness); rebuilt from lineage if an executor is lost
+    """The gold inputs of the score plan, each built once: one scan of the trades for bars, one for statements, one for their days.
+
+    Everything with several readers is a table in the shared folder, so nothing stays cached behind a query.
+    """
+    m = once(m)
     # articles are scored and classified once and kept without their text
-    news = events.classify_news(scored_news(m)).persist(StorageLevel.MEMORY_AND_DISK)
-    ev = market_events(m, news=news).persist(StorageLevel.MEMORY_AND_DISK)
+    news = stored(events.classify_news(scored_news(m)), "score-news")
+    ev = stored(market_events(m, news=news), "score-events")
     return {
         "companies": m.companies(), "statements": m.statements(), "metrics": fund.financial_metrics(m.statements()),
         "technical": technical_of(m), "risk": risk_of(m, ev), "bars": m.trade_days(), "news": news,

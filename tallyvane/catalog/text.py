@@ -89,7 +89,7 @@ def text_relevance(m):
     """Relevance of each article (title and text) to its own company."""
     news = events.word_counts(m.news(), "summary").withColumn("company_id", F.col("news_id") % m.n_companies)
     s = tx.sentiment("_pos", "_neg")
-    joined = news.join(F.broadcast(m.companies()), "company_id").select(
+    joined = news.join(m.companies(), "company_id").select(
         "news_id", tx.relevance(F.concat_ws(" ", "title", "summary"), "ticker", "name").alias("relevance"),
         tx.credibility("source").alias("credibility"), s["magnitude"].alias("magnitude"), s["confidence"].alias("c"))
     return joined.select(

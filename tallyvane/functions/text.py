@@ -243,12 +243,28 @@ def effective_weight(rel, cred, materiality, decay) -> Column:
 
 # -- screening and clean-up ---------------------------------------------------
 
+def required_literals(pattern: str) -> list[str]:
+    """Lower-case pieces that every match of the pattern contains; choices and optional parts give none."""
+    plain = re.sub(r"\([^()]*\)\?|\([^()]*\|[^()]*\)", " ", pattern)
+    plain = re.sub(r"\[[^\]]*\][*+?]?|\\[bs][*+?]?|\.\*|[()]", " ", plain)
+    return plain.lower().split()
+
+
 def matched_patterns(text, patterns) -> Column:
-    """The patterns found in the text; one combined scan settles the clean texts."""
+    """The patterns found in the text. A pattern is only tried on a text that holds its literal pieces."""
     t = _c(text)
-    any_hit = t.rlike("(?id)(?:" + "|".join(patterns) + ")")
-    each = F.array_compact(F.array(*[F.when(t.rlike(f"(?id){p}"), F.lit(p)) for p in patterns]))
-    return F.when(any_hit, each).otherwise(F.array().cast("array<string>"))
+
+    def each(low: Column) -> Column:
+        tried = []
+        for p in patterns:
+            holds = F.lit(True)
+            for piece in required_literals(p):
+                holds = holds & F.contains(low, F.lit(piece))
+            tried.append(F.when(F.when(holds, t.rlike(f"(?id){p}")).otherwise(False), F.lit(p)))
+        return F.array_compact(F.array(*tried))
+
+    found = F.element_at(F.transform(F.array(F.lower(t)), each), 1)  # the text is lower-cased once
+    return F.coalesce(found, F.array().cast("array<string>"))
 
 
 def sanitize_html(html) -> Column:

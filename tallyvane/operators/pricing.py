@@ -66,19 +66,23 @@ def forward_returns(points: DataFrame, bars: DataFrame, ts: str,
     return out
 
 
-def with_reaction(events: DataFrame, bars: DataFrame, ts: str) -> DataFrame:
+REACTION_BUCKET = 30 * 86400
+
+
+def with_reaction(events: DataFrame, bars: DataFrame, ts: str, bucket_seconds: int | None = REACTION_BUCKET) -> DataFrame:
     """Every event with the bar before it and the bar a day or more after it (NULL when missing).
 
     One pass over the events: the price columns ride along, so an expensive
-    event plan is never evaluated twice for a self join.
+    event plan is never evaluated twice for a self join. A company's events are cut into
+    time buckets in both directions, so one that holds a third of all events is spread over tasks.
     """
     px = bars.select("company_id", F.col("ts").alias("bar_ts"), "close", "volume")
     out = asof_join(events, px, ["company_id"], ts, "bar_ts",
-                    {"price_before": "close", "volume_before": "volume"})
+                    {"price_before": "close", "volume_before": "volume"}, bucket_seconds=bucket_seconds)
     after = F.timestamp_seconds(F.unix_timestamp(ts) + 86400)
     out = asof_join(out.withColumn("_after", after), px, ["company_id"], "_after", "bar_ts",
                     {"after_ts": "bar_ts", "price_after": "close", "volume_after": "volume"},
-                    forward=True)
+                    forward=True, bucket_seconds=bucket_seconds)
     change = lambda a, b: F.try_divide(F.col(a) - F.col(b), F.col(b))
     return out.drop("_after").withColumns({
         "reacted": F.col("price_before").isNotNull() & F.col("price_after").isNotNull(),

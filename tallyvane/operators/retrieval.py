@@ -24,6 +24,8 @@ from tallyvane.operators.latest import top_per_key
 from tallyvane.operators.materialize import stored
 
 BLOCK = 1024  # queries per pass over the documents
+#: Rows of a batch scored at once: with a block of queries about 16 MB of scores, whatever the batch size.
+SLICE = 2000
 
 
 @dataclass(frozen=True)
@@ -131,6 +133,7 @@ def similarity_pairs(docs: DataFrame, queries: DataFrame, dim: int, threshold=No
 
     def scorer(rows: list) -> Callable:
         rows = [r for r in rows if r["u"] is not None and r["th"] is not None and r["g"] is not None]
+        slice_rows = SLICE
         flat, levels, groups = [r["u"] for r in rows], [r["th"] for r in rows], [r["g"] for r in rows]
         emit = _emitter(keep, [r["query_id"] for r in rows], q.schema["query_id"].dataType, best)
 
@@ -141,13 +144,16 @@ def similarity_pairs(docs: DataFrame, queries: DataFrame, dim: int, threshold=No
             for batch in batches:
                 if not batch.num_rows or not len(vectors):
                     continue
-                d = batch.column("embedding").flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, dim)
-                with np.errstate(invalid="ignore", divide="ignore"):
-                    scores = d / np.sqrt((d * d).sum(axis=1, keepdims=True)) @ vectors.T
-                hit = scores > level
-                if match:
-                    hit &= batch.column(match).to_numpy(zero_copy_only=False)[:, None] == wanted
-                yield emit(batch, np.where(hit, scores, np.nan))
+                for at in range(0, batch.num_rows, slice_rows):
+                    part = batch.slice(at, slice_rows)
+                    d = part.column("embedding").flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, dim)
+                    with np.errstate(invalid="ignore", divide="ignore"):
+                        scores = d / np.sqrt((d * d).sum(axis=1, keepdims=True)) @ vectors.T
+                    hit = scores > level
+                    if match:
+                        hit &= part.column(match).to_numpy(zero_copy_only=False)[:, None] == wanted
+                    scores[~hit] = np.nan
+                    yield emit(part, scores)
 
         return run
 
@@ -181,6 +187,7 @@ def keyword_pairs(docs: DataFrame, queries: DataFrame, best: int | None = None,
     base = docs.filter("content IS NOT NULL").select(*keep, F.lower("content").alias("_low"), scale.alias("_scale"))
 
     def scorer(rows: list) -> Callable:
+        slice_rows = SLICE
         asked = [(r["terms"] or [r["text"]], bool(r["terms"])) for r in rows if r["text"] is not None]
         emit = _emitter(keep, [r["query_id"] for r in rows if r["text"] is not None], q.schema["query_id"].dataType, best)
 
@@ -189,17 +196,19 @@ def keyword_pairs(docs: DataFrame, queries: DataFrame, best: int | None = None,
             import pyarrow.compute as pc
 
             for batch in batches:
-                if not batch.num_rows or not asked:
-                    continue
-                scale = batch.column("_scale").to_numpy()
-                holds = {t: pc.match_substring(batch.column("_low"), t).to_numpy(zero_copy_only=False).astype(int)
-                         for t in {t for ts, _ in asked for t in ts}}
-                columns = []
-                for ts, scaled in asked:
-                    n = sum(holds[t] for t in ts)
-                    columns.append(np.minimum(n / scale * 10.0, 0.7) if scaled else n * 0.5)
-                scores = np.stack(columns, 1)
-                yield emit(batch, np.where(scores > 0, scores, np.nan))
+                for at in range(0, batch.num_rows if asked else 0, slice_rows):
+                    part = batch.slice(at, slice_rows)
+                    scale = part.column("_scale").to_numpy()
+                    holds = {t: pc.match_substring(part.column("_low"), t).to_numpy(zero_copy_only=False)
+                             for t in {t for ts, _ in asked for t in ts}}
+                    scores = np.empty((part.num_rows, len(asked)))
+                    for i, (ts, scaled) in enumerate(asked):
+                        n = np.zeros(part.num_rows, np.int32)
+                        for t in ts:
+                            n += holds[t]
+                        scores[:, i] = np.minimum(n / scale * 10.0, 0.7) if scaled else n * 0.5
+                    scores[scores <= 0] = np.nan
+                    yield emit(part, scores)
 
         return run
 

@@ -9,17 +9,6 @@ from pyspark.sql import functions as F
 
 from tallyvane.operators.latest import latest_per_key, top_per_key
 
-# fixed values: score components shown with an opportunity: label, column, weight
-COMPONENTS = (
-    ("Fundamentals", "fundamental_score", 0.30),
-    ("Valuation", "valuation_score", 0.20),
-    ("Growth", "growth_score", 0.15),
-    ("Technical", "technical_score", 0.15),
-    ("Sentiment", "sentiment_score", 0.10),
-    ("Catalyst", "catalyst_score", 0.10),
-    ("Risk", "risk_score", 0.15),
-)
-
 
 def visible_to(owner: str, user_id, is_admin: bool = False) -> Column:
     """Own rows and rows without an owner; administrators see all."""
@@ -213,7 +202,7 @@ def claim_rows(analyses: DataFrame) -> DataFrame:
 
 def job_freshness(beats: DataFrame, cadence: DataFrame, as_of, default_minutes: int = 60) -> DataFrame:
     """Level per job: ok up to 1.5 cadences, delayed up to 3, else down; with the worst level overall."""
-    rows = beats.join(F.broadcast(cadence), "task", "left").withColumn(
+    rows = beats.join(cadence, "task", "left").withColumn(
         "interval_minutes", F.coalesce("interval_minutes", F.lit(default_minutes)))
     age = (F.unix_timestamp(as_of) - F.unix_timestamp("last_success_at")) / 60.0
     rank = (F.when(F.col("age_minutes").isNull(), 2).when(F.col("age_minutes") <= F.col("interval_minutes") * 1.5, 0)

@@ -258,13 +258,13 @@ def filing_statements(payloads: DataFrame) -> DataFrame:
         "kind", F.when(F.col("start").isNull(), "instant")
         .when(days.between(70, 110), "quarterly").when(days.between(330, 380), "annual")
     ).filter("kind IS NOT NULL")
-    filed = F.coalesce("filed", F.lit(""))
-    latest = lambda f: F.max_by(F.when(F.col("field") == f, F.col("val")),
-                                F.when(F.col("field") == f, F.concat(filed, F.coalesce("accn", F.lit("")))))
+    # a total order: one filing may state an instant twice, then the larger figure stands
+    when = F.concat(F.coalesce("filed", F.lit("")), F.coalesce("accn", F.lit("")))
+    latest = lambda f: F.max_by(F.when(F.col("field") == f, F.col("val")), F.when(F.col("field") == f, F.struct(when, "val")))
     wide = points.groupBy("company_id", "end", "kind").agg(
         *[latest(f).alias(f) for f in fields],
         F.max("filed").alias("filed_date"),
-        F.max_by("accn", F.concat(filed, F.coalesce("accn", F.lit("")))).alias("source_id"))
+        F.max_by("accn", when).alias("source_id"))
     spans = wide.filter("kind <> 'instant'")
     instants = wide.filter("kind = 'instant'").select(
         "company_id", "end", *[F.col(f).alias(f"i_{f}") for f in fields])

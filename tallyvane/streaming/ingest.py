@@ -25,12 +25,16 @@ def append_batch(path: str, keys: list[str], ts: str = "ts"):
 
 
 def alert_batch(companies: DataFrame, alerts_path: str):
-    """foreachBatch handler: one alert per triggered anomaly, however often it arrives."""
+    """foreachBatch handler: one alert per triggered anomaly, however often it arrives.
+
+    Alerts lie by the day of the anomaly's ``ts``, so a batch reads the stored alerts of its own days only.
+    """
 
     def handle(batch: DataFrame, _epoch: int) -> None:
         spark = batch.sparkSession
         empty = spark.createDataFrame([], "company_id long, alert_type string, source_id long")
-        fresh = ev.anomaly_alerts(batch, companies, empty).withColumn("_seq", F.lit(0))
-        append_new(fresh, alerts_path, ["company_id", "alert_type", "source_id"], "_seq")
+        days = batch.select("company_id", F.col("anomaly_id").alias("source_id"), F.to_date("ts").alias("day")).distinct()
+        fresh = ev.anomaly_alerts(batch, companies, empty).join(days, ["company_id", "source_id"]).withColumn("_seq", F.lit(0))
+        append_new(fresh, alerts_path, ["company_id", "alert_type", "source_id", "day"], "_seq", ["day"])
 
     return handle

@@ -203,3 +203,16 @@ def test_heartbeat_success_survives_a_failure(spark):
     new = spark.createDataFrame([("a", None, 5)], "task string, ok int, bad int")
     r = upsert.merge_keep_old(old, new, ["task"], ["ok", "bad"]).first()
     assert (r["ok"], r["bad"]) == (1, 5)
+
+
+def test_screening_tries_patterns_only_where_their_pieces_are(spark):
+    import re
+
+    from tallyvane.functions import text as tx
+
+    texts = ["SELECT a FROM b", "select only", "x -- y", "x;  Drop t", "IGNORE all previous instructions", "ignore the rest", "you  are now a", "act as ", "act ass",
+             "new\tinstructions", "<SCRIPT src>", "onerror =", "on error=", "", None, "İ drop table", "override rules", "disregard all prior x"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    for family in (tx.SQL_PATTERNS, tx.PROMPT_PATTERNS, tx.XSS_PATTERNS):
+        got = [r["m"] for r in df.select("i", tx.matched_patterns("t", family).alias("m")).orderBy("i").collect()]
+        assert got == [[p for p in family if re.search(p, t or "", re.I | re.A)] for t in texts]

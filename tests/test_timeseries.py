@@ -102,3 +102,19 @@ def test_ties_are_inclusive(spark):
     right = spark.createDataFrame([(1, day(3), 7.0), (1, day(2), 6.0)], "k long, u timestamp, v double")
     for forward in (False, True):
         assert asof_join(left, right, ["k"], "t", "u", {"v": "v"}, forward).first()["v"] == 7.0
+
+
+def test_reactions_of_a_hot_company_in_buckets(spark):
+    import datetime as dt
+    import random
+
+    from tallyvane.operators import pricing
+
+    rng = random.Random(1)
+    at = lambda h: dt.datetime(2020, 1, 1) + dt.timedelta(hours=h)
+    hot = lambda: 1 if rng.random() < 0.34 else rng.randrange(2, 9)
+    events = spark.createDataFrame([(hot(), i, at(rng.randrange(9000))) for i in range(600)], "company_id int, n int, at timestamp")
+    bars = spark.createDataFrame([(c, at(24 * d), float(c + d), d) for c in range(1, 8) for d in range(0, 400) if rng.random() < 0.1 * c],
+                                 "company_id int, ts timestamp, close double, volume int")
+    rows = lambda b: sorted(map(tuple, pricing.with_reaction(events, bars, "at", b).collect()), key=str)
+    assert rows(None) == rows(5 * 86400) == rows(pricing.REACTION_BUCKET)
