@@ -10,6 +10,18 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+#: Rows that a task reads or sends to Python at once: texts are long, so batches by the usual thousands hold tens of MB each.
+TEXT_BATCHES = {"spark.sql.parquet.columnarReaderBatchSize": "512", "spark.sql.execution.arrow.maxRecordsPerBatch": "2000"}
+
+
+def small_batches(spark: SparkSession) -> SparkSession:
+    """Set batch sizes for long texts where the session has none of its own."""
+    for key, rows in TEXT_BATCHES.items():
+        if not spark.sparkContext.getConf().contains(key):
+            spark.conf.set(key, rows)
+    return spark
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -256,17 +256,19 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs``, unchanged, whose texts hold no benchmark item."""
-    def keep(matcher: Matcher):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                clean = np.ones(batch.num_rows, bool)
-                for at, hashes, first in word_sequences(batch.column("text")):
+    """The rows of ``docs``, unchanged, whose texts hold no benchmark item. Only the text goes to Python and only the decision comes back."""
+    def clean(matcher: Matcher):
+        @F.arrow_udf("boolean")
+        def free(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+            for column in texts:
+                clean = np.ones(len(column), bool)
+                for at, hashes, first in word_sequences(column):
                     for text, *_ in matcher.find(hashes, first):
                         clean[at + text] = False
-                yield batch.filter(pa.array(clean))
-        return run
+                yield pa.array(clean)
+
+        return free
 
     for m in matchers(benchmark, **options):
-        docs = docs.mapInArrow(keep(m), docs.schema)
+        docs = docs.where(clean(m)("text"))
     return docs

@@ -184,14 +184,15 @@ def keep_identified(docs: DataFrame, profiles: Profiles, accepted: tuple[str, ..
                     min_score: float = 0.0) -> DataFrame:
     """Rows of ``docs`` in an accepted language (any learned one by default), unchanged.
 
-    ``und`` and scores under ``min_score`` go; copies are judged alike and all stay.
+    ``und`` and scores under ``min_score`` go; copies are judged alike and all stay. Only the text
+    goes to Python and only the decision comes back.
     """
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    @F.arrow_udf("boolean")
+    def fits(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         encoder = Encoder(profiles.dims, profiles.seed)
-        for batch in batches:
-            got = [profiles.judge(encoder, t.as_py()) for t in batch.column("text")]
-            keep = [lang != UNDETERMINED and score >= min_score and (accepted is None or lang in accepted)
-                    for lang, score in got]
-            yield batch.filter(pa.array(keep, pa.bool_()))
+        for column in texts:
+            got = (profiles.judge(encoder, t.as_py()) for t in column)
+            yield pa.array([lang != UNDETERMINED and score >= min_score and (accepted is None or lang in accepted)
+                            for lang, score in got], pa.bool_())
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.where(fits("text"))
