@@ -11,32 +11,33 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyvane.llm import decontaminate, language_id, near_dedup, sharding, source_mix
-from tallyvane.llm.common import WORD, table
+from tallyvane.llm.common import WORD, small_batches, table
 from tallyvane.operators.materialize import stored
 from tallyvane.session import ship_package
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents without a letter; profiles are learned from the stage's labelled documents."""
-    ship_package(spark)
+    small_batches(ship_package(spark))
     profiles = language_id.fit_profiles(docs.select("text", "lang", F.col("doc_id").alias("sample_key")))
     return language_id.keep_identified(docs, profiles)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group linked at 0.8 over five-word shingles."""
-    ship_package(spark)
+    small_batches(ship_package(spark))
     return near_dedup.drop_near_duplicates(docs, 5, 80)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents that hold a benchmark item."""
-    ship_package(spark)
+    small_batches(ship_package(spark))
     return decontaminate.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sources brought to weights 1, 2, 3: a document comes as often as the mix takes it, 0 to 3 times."""
+    small_batches(spark)
     sizes = docs.select("*", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).alias("_size"))
     keyed = stored(sizes.select(
         "doc_id", F.col("_size").alias("size"), F.array("source").alias("sources"), F.xxhash64("text").alias("_text")), "mix-sizes")
