@@ -7,16 +7,19 @@ from pyspark.sql import functions as F
 from tallyvane.catalog.common import day_text, rnd, sql_day, time_text
 from tallyvane.catalog.events import market_events
 from tallyvane.catalog.lists import board
+from tallyvane.catalog.portfolio import weighted
 from tallyvane.catalog.prices import TECH_DAYS, anomalies_of
 from tallyvane.catalog.registry import QUERIES, query
 from tallyvane.catalog.retrieval import DIM, LEVEL, queries_of
 from tallyvane.catalog.risk import risk_of
 from tallyvane.catalog.sqlviews import with_views
+from tallyvane.catalog.text import claims_and_sources
 from tallyvane.functions import ids
-from tallyvane.operators import context, fundamentals, indicators, pricing, retrieval
+from tallyvane.operators import context, evidence, fundamentals, indicators, portfolio, pricing, retrieval
 from tallyvane.operators import macro as mac
 from tallyvane.operators import serving as sv
 from tallyvane.operators.materialize import stored
+from tallyvane.sources import vendor
 
 
 @query("research_sections", "J24 J25 C24", with_views("bars companies last_statement metrics anomalies technical risk market_events company_news news macro", """
@@ -136,3 +139,67 @@ def displayed_scores(m):
     a = m.analyses().select("company_id", "analysis_id", "status", shown.alias("shown"))
     rows = a.join(board(m).select("company_id", "screening_score"), "company_id")
     return rows.select("company_id", "analysis_id", sv.displayed_score("status", "shown", "screening_score").alias("displayed"))
+
+
+# -- claims, portfolio texts, merged lists and volumes on values that vary ----------
+
+@query("mixed_claim_validity", "E18 E21", with_views("news", """
+    , known AS (SELECT 'news_' || news_id AS source_id FROM news WHERE news_id % 5 <> 0),
+    c AS (SELECT news_id AS claim_id, unnest(CASE news_id % 4 WHEN 0 THEN ['news_' || news_id, 'news_' || (news_id + 3)] WHEN 1 THEN [NULL] WHEN 2 THEN ['news_' || (news_id * 2)] ELSE ['news_' || (news_id + 1)] END) AS s FROM news)
+    SELECT claim_id, count(s) AS cited, count(source_id) AS resolved, count(s) > 0 AND count(s) = count(source_id) AS valid FROM c LEFT JOIN known ON s = source_id GROUP BY 1"""))
+def mixed_claim_validity(m):
+    """Claims that cite two, one or no articles, some of them not registered or not there."""
+    i, cite = F.col("news_id"), lambda x: F.concat(F.lit("news_"), x.cast("string"))
+    sources = evidence.register_sources(m.news().filter(i % 5 != 0).select(F.lit("news").alias("entity_type"), i.alias("entity_id")))
+    none = F.array().cast("array<string>")
+    claims = m.news().select(i.alias("claim_id"), F.when(i % 4 == 0, F.array(cite(i), cite(i + 3))).when(i % 4 == 1, none)
+                             .when(i % 4 == 2, F.array(cite(i * 2))).otherwise(F.array(cite(i + 1))).alias("evidence_ids"))
+    return evidence.claim_validity(claims, sources).select("claim_id", "cited", "resolved", "valid")
+
+
+@query("unsupported_claims", "E20", with_views("doc_tokens news", """
+    SELECT c.news_id AS claim_id, n.title AS claim, 'No cited passage passed the citation support check' AS reason
+    FROM doc_tokens c JOIN news n USING (news_id) JOIN doc_tokens d ON d.news_id = (c.news_id + 1) % (SELECT count(*) FROM documents)
+    WHERE c.news_id % 7 = 0 OR NOT (len(c.ct) < 2 OR len(d.st) < 10 OR len(list_intersect(c.ct, d.st)) >= greatest(2, len(c.ct) * 0.5))"""))
+def unsupported_claims(m):
+    """Headlines that cite the next article only, or nothing: those it does not support are dropped with a warning."""
+    claims, sources = claims_and_sources(m)
+    cited = F.when(F.col("claim_id") % 7 != 0, F.slice("evidence_ids", 2, 1)).otherwise(F.array().cast("array<string>"))
+    return evidence.drop_unsupported(claims.withColumn("evidence_ids", cited), sources)[1]
+
+
+@query("portfolio_texts", "K11", with_views("book", """
+    SELECT portfolio_id, 'Capital: $' || format('{:,}', capital) || ' (Cash reserve: $1,000).|Allocated capital: $' || format('{:,}', round(allocated)::BIGINT) ||
+           '.|Unallocated capital: $' || format('{:,}', round(unallocated)::BIGINT) || '.|Portfolio expected risk: ' || printf('%.1f', expected_risk * 100) ||
+           '%|Diversification score: ' || round(diversification)::BIGINT || '/100|Portfolio fit score: ' || printf('%.1f', weighted_score) || '/100|Top allocations:' AS text
+    FROM book"""))
+def portfolio_texts(m):
+    """All lines above the positions."""
+    w = weighted(m)
+    e = portfolio.explanations(w, portfolio.portfolio_summary(w, ["portfolio_id"]), ["portfolio_id"])
+    return e.select("portfolio_id", F.array_join(F.slice(F.split("explanation", "\n"), 1, 7), "|").alias("text"))
+
+
+@query("merged_top_lists", "H7", with_views("sims keyhits", f"""
+    SELECT query_id, id, round(max(score), 6) AS score FROM (
+      SELECT query_id, id, score FROM sims WHERE score > {LEVEL} QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) <= 20
+      UNION ALL SELECT query_id, id, score FROM keyhits QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) <= 15) GROUP BY ALL"""))
+def merged_top_lists(m):
+    """The best twenty by vector and the best fifteen by keyword of each query, merged by the higher score."""
+    q, cols = queries_of(m), ["query_id", "id", "score"]
+    near = retrieval.similarity_search(m.vectors().select("id", "embedding"), q, DIM, LEVEL, 20)
+    named = retrieval.rank_hits(retrieval.keyword_pairs(m.vectors(), q, 15), 15)
+    return retrieval.merge_hits([near.select(*cols), named.select(*cols)], prefer_earlier=False).select("query_id", "id", *rnd("score"))
+
+
+@query("rounded_volume_bars", "C6 A10", with_views("bars", f"""
+    SELECT company_id, {sql_day("ts")}, round_even(volume + CASE company_id % 3 WHEN 0 THEN 0.5 WHEN 1 THEN 0.7 ELSE 0.2 END, 0)::BIGINT AS volume FROM bars"""))
+def rounded_volume_bars(m):
+    """Intraday stamps and broken volumes: days from midnight, volumes to whole numbers, halves to even ones."""
+    k = F.col("company_id") % 3
+    more = F.when(k == 0, 0.5).when(k == 1, 0.7).otherwise(0.2)
+    item = F.struct(F.date_format("ts", "yyyy-MM-dd").alias("datetime"), *[F.col(c).cast("string").alias(c) for c in ("open", "high", "low", "close")],
+                    (F.col("volume") + more).cast("string").alias("volume"))
+    pages = m.bars().withColumn("month", F.trunc("ts", "month")).groupBy("company_id", "month").agg(
+        F.to_json(F.struct(F.collect_list(item).alias("values"))).alias("payload"))
+    return vendor.paged_bars(pages.select("company_id", F.lit(1).alias("page"), "payload")).select("company_id", day_text("ts"), "volume")

@@ -122,7 +122,7 @@ def explanations(weighted: DataFrame, summary: DataFrame, keys: list[str], top:
         "\n",
         F.format_string("Capital: $%,.0f (Cash reserve: $%,.0f).", "capital", "cash_reserve"),
         F.format_string("Allocated capital: $%,.0f.", "allocated"),
-        F.format_string("Unallocated capital: $%,.0f.", "unallocated"),
+        F.format_string("Unallocated capital: $%,.0f.", F.round("unallocated", 4) + 0.0),  # no minus before zero
         F.format_string("Portfolio expected risk: %.1f%%", F.col("expected_risk") * 100),
         F.format_string("Diversification score: %.0f/100", "diversification"),
         F.format_string("Portfolio fit score: %.1f/100", "weighted_score"),
