@@ -11,6 +11,7 @@ written before the next one is fetched: driver and tasks hold one block at a tim
 from __future__ import annotations
 
 import datetime as dt
+import uuid
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from itertools import islice
@@ -21,7 +22,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
 from tallyvane.operators.latest import top_per_key
-from tallyvane.operators.materialize import stored
+from tallyvane.operators.materialize import shared_folder
 
 BLOCK = 1024  # queries per pass over the documents
 #: Rows of a batch scored at once: with a block of queries about 16 MB of scores, whatever the batch size.
@@ -82,15 +83,16 @@ def _passes(docs: DataFrame, queries: DataFrame, keep: list[str], block: int, sc
     fields = [docs.schema[c] for c in keep]
     schema = T.StructType([*fields, T.StructField("query_id", queries.schema["query_id"].dataType), T.StructField("score", T.DoubleType())])
     rows = queries.toLocalIterator()
-    now, out = list(islice(rows, block)), None
-    while True:
-        hits, after = docs.mapInArrow(scorer(now), schema), list(islice(rows, block))
-        if after:
-            hits = stored(hits, "search-hits")
-        out = hits if out is None else out.unionByName(hits)
-        if not after:
-            return out
-        now = after
+    now, after = list(islice(rows, block)), list(islice(rows, block))
+    if not after:
+        return docs.mapInArrow(scorer(now), schema)
+    # one table for all blocks: its plan is a single scan, whatever the number of queries
+    spark, number = docs.sparkSession, 0
+    path = f"{shared_folder(spark)}/search-hits-{uuid.uuid4().hex}"
+    while now:
+        docs.mapInArrow(scorer(now), schema).write.parquet(f"{path}/block={number}")
+        now, after, number = after, list(islice(rows, block)), number + 1
+    return spark.read.schema(schema).parquet(path)
 
 
 def _emitter(keep: list[str], ids: list, id_type: T.DataType, best: int | None) -> Callable:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyvane.operators.latest import latest_per_key, top_per_key
@@ -20,8 +20,9 @@ def visible_to(owner: str, user_id, is_admin: bool = False) -> Column:
 def page(df: DataFrame, order: list, limit: int, offset: int = 0) -> DataFrame:
     """Rows of one page plus ``has_more``, found by looking one row ahead."""
     ahead = df.orderBy(*order).offset(offset).limit(limit + 1)
-    total = ahead.agg(F.count(F.lit(1)).alias("n")).scalar()
-    return ahead.withColumn("has_more", total > limit).orderBy(*order).limit(limit)
+    one = Window.partitionBy(F.lit(1))  # a page and one row: the rows before and the count of all are never touched
+    numbered = ahead.withColumn("_n", F.row_number().over(one.orderBy(*order))).withColumn("_all", F.count(F.lit(1)).over(one))
+    return numbered.filter(F.col("_n") <= limit).withColumn("has_more", F.col("_all") > limit).drop("_n", "_all")
 
 
 def search_companies(companies: DataFrame, text: str | None, sector: str | None = None) -> DataFrame:

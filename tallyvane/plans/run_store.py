@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from tallyvane.operators import backtest as bt
 from tallyvane.operators import evaluation
 from tallyvane.operators.materialize import stored
+from tallyvane.operators.serving import page
 from tallyvane.plans import backtests
 from tallyvane.sources.store import Store
 
@@ -109,16 +110,16 @@ def execute_queue(store: Store, specs: DataFrame, bars: DataFrame, companies: Da
 TRADE_ORDER = ["ts", "ticker", "action"]
 
 
-def run_detail(store: Store, page: int = 100) -> DataFrame:
+def run_detail(store: Store, listed: int = 100) -> DataFrame:
     """One row per run: its status row, result and benchmark (null where there is none), its first trades and whether there are more.
 
     A window keeps one trade more than the page per run, before anything is collected; a run's list is never longer.
     """
     w = Window.partitionBy("run_id").orderBy(*TRADE_ORDER)
-    ahead = store.read("trades").drop("commit").withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= page + 1)
+    ahead = store.read("trades").drop("commit").withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= listed + 1)
     nested = ahead.groupBy("run_id").agg(F.array_sort(F.collect_list(F.struct(
         "_n", "ts", "ticker", "action", "price", "shares", "amount"))).alias("_t"))
-    trades = nested.select("run_id", F.slice("_t", 1, page).alias("trades"), (F.size("_t") > page).alias("has_more"))
+    trades = nested.select("run_id", F.slice("_t", 1, listed).alias("trades"), (F.size("_t") > listed).alias("has_more"))
     pack = lambda t: store.read(t).select("run_id", F.struct(*[c for c in store.read(t).columns if c not in ("run_id", "commit")]).alias(t[:-1]))
     return (store.read("runs").drop("commit").join(pack("results"), "run_id", "left").join(pack("benchmarks"), "run_id", "left")
             .join(trades, "run_id", "left").withColumn("has_more", F.coalesce("has_more", F.lit(False)))
@@ -141,20 +142,17 @@ def keyset_page(rows: DataFrame, order: list[str], limit: int, after: dict | Non
             reached = reached | (same & step)
         rows = rows.filter(reached)
     turn = F.desc if descending else F.asc
-    ahead = rows.orderBy(*[turn(c) for c in order]).limit(limit + 1)
-    w = Window.partitionBy(F.lit(1)).orderBy(*[turn(c) for c in order])  # at most a page and one row
-    numbered = ahead.withColumn("_n", F.row_number().over(w)).withColumn("_all", F.count(F.lit(1)).over(Window.partitionBy(F.lit(1))))
-    return numbered.filter(F.col("_n") <= limit).withColumn("has_more", F.col("_all") > limit).drop("_n", "_all")
+    return page(rows, [turn(c) for c in order], limit)
 
 
 def pages(rows: DataFrame, order: list[str], limit: int, descending: bool = False):
     """All pages one after another, as lists of rows; for readers that follow the keys."""
     after = None
     while True:
-        page = keyset_page(rows, order, limit, after, descending).collect()
-        if page:
-            yield page
-        if not page or not page[0]["has_more"]:
+        found = keyset_page(rows, order, limit, after, descending).collect()
+        if found:
+            yield found
+        if not found or not found[0]["has_more"]:
             return
         last = max if not descending else min
-        after = {c: v for c, v in zip(order, last(tuple(r[c] for c in order) for r in page))}
+        after = dict(zip(order, last(tuple(r[c] for c in order) for r in found)))

@@ -88,7 +88,7 @@ class Market:
     # Two scalars read once; both are single-row aggregates.
     @cached_property
     def as_of(self) -> dt.datetime:
-        day = self.table("lineitem").agg(F.max(F.to_date("l_shipdate"))).first()[0]
+        day = self.table("lineitem").agg(F.max("l_shipdate")).first()[0]
         return dt.datetime(day.year, day.month, day.day)
 
     @cached_property

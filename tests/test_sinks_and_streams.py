@@ -67,3 +67,22 @@ def test_alert_batches_alert_once(spark, folder):
     handle(batch, 1)
     rows = spark.read.parquet(folder + "/alerts").collect()
     assert [(r["severity"], r["message"]) for r in rows] == [("high", "S1 price anomaly detected (score 91)")]
+
+
+def test_quota_of_a_hot_key_against_brute_force(spark):
+    import datetime as dt
+    import random
+
+    from tallyvane.streaming import limits
+
+    rng = random.Random(2)
+    start = dt.datetime(2024, 1, 1)
+    rows = [(i, 1 if rng.random() < 0.4 else rng.randrange(2, 6), start + dt.timedelta(seconds=rng.randrange(3000), microseconds=rng.choice([0, 0, 5]))) for i in range(700)]
+    rows += [(1000 + i, 1, rows[0][2]) for i in range(5)] + [(2000, 9, start)]
+    got = {r["i"]: (r["in_window"], r["over"], r["retry_after"]) for r in limits.over_quota(
+        spark.createDataFrame(rows, "i int, k int, at timestamp"), "k", "at", 4, 60, parts=7).collect()}
+    for i, k, at in rows:
+        inside = [t for _, j, t in rows if j == k and at - dt.timedelta(seconds=60) <= t <= at]
+        n = len(inside)
+        left = 60 - (at - min(inside)).total_seconds()
+        assert got[i] == (n, n > 4, max(1, -int(-left // 1)) if n > 4 else None)

@@ -149,7 +149,7 @@ def test_run_store_and_detail(spark, tmp_path):
     assert {r["run_id"] for r in store.read("benchmarks").collect()} == {1, 3}
     assert store.read("curves").filter("run_id = 3").count() == 32  # the snapshot ends on the first of February
     assert {(r["run_id"], r["analysis_id"]) for r in store.read("ai_evaluations").collect()} == {(1, 9), (2, 9)}
-    detail = {r["run_id"]: r for r in rs.run_detail(store, page=5).collect()}
+    detail = {r["run_id"]: r for r in rs.run_detail(store, listed=5).collect()}
     assert detail[1]["has_more"] and len(detail[1]["trades"]) == 5 and not detail[2]["has_more"] and len(detail[2]["trades"]) == 4
     assert detail[2]["benchmark"] is None and detail[4]["result"] is None and detail[4]["trades"] == []
     seen = [tuple(r[c] for c in rs.TRADE_ORDER) for page in rs.pages(store.read("trades").filter("run_id = 1"), rs.TRADE_ORDER, 3) for r in page]
