@@ -210,3 +210,62 @@ def snapshot_page(m):
     """The newest stored snapshot, with a flag that an older one follows."""
     listed = snapshots.snapshot_list(snapshots.stored_snapshots(m.spark, snapshot_folder(m)))
     return rs.keyset_page(listed, ["day"], 1, descending=True).select(day_text("day"), "tickers", F.col("bars").cast("long").alias("bars"), "has_more")
+
+
+# -- performance of the rebalancing strategies ------------------------------------
+
+add_view("thr_ranked", "ew_prices mom_dates scores companies", """
+    SELECT p.run_id, p.ts, p.ticker FROM ew_prices p JOIN mom_dates d ON d.run_id = p.run_id AND d.ts = p.ts
+    ASOF JOIN (SELECT ticker, ts AS score_ts, overall_score AS score FROM scores JOIN companies USING (company_id)
+               WHERE ts BETWEEN TIMESTAMP '1996-01-01' AND TIMESTAMP '2001-06-30') s ON s.ticker = p.ticker AND p.ts >= score_ts WHERE score >= 65""")
+_FOLDED = _sizes[_sizes.index(", bar_at AS"):_sizes.rindex("SELECT run_id::BIGINT")]
+_STRATEGY = f"""
+    , buys AS (SELECT ep.run_id, ticker, e, d.ts, size / price AS shares, size FROM ep JOIN mom_dates d USING (run_id, k) JOIN fold USING (run_id, k)
+             WHERE picked AND price > 0 AND size > 1e-9 AND i > 0),
+    held AS (SELECT run_id, ticker, e, sum(size) / sum(shares) AS paid FROM buys GROUP BY ALL),
+    ends AS (SELECT run_id, ticker, e, d.ts, price FROM ep JOIN mom_dates d USING (run_id, k) WHERE was AND NOT picked),
+    lasts AS (SELECT run_id, ticker, arg_max(close, ts) AS price FROM ew_prices GROUP BY ALL),
+    sells AS (SELECT h.*, coalesce(ends.price, lasts.price) AS price FROM held h LEFT JOIN ends USING (run_id, ticker, e) JOIN lasts USING (run_id, ticker)),
+    days AS (SELECT DISTINCT run_id, ts FROM ew_prices),
+    worth AS (SELECT x.run_id, x.ts, sum(shares * p.close) AS worth FROM (
+                SELECT days.run_id, days.ts, b.ticker, b.shares FROM days JOIN buys b ON b.run_id = days.run_id AND days.ts >= b.ts
+                LEFT JOIN ends ON ends.run_id = b.run_id AND ends.ticker = b.ticker AND ends.e = b.e WHERE ends.ts IS NULL OR days.ts < ends.ts) x
+              ASOF JOIN ew_prices p ON p.run_id = x.run_id AND p.ticker = x.ticker AND x.ts >= p.ts GROUP BY ALL),
+    curve AS (SELECT days.run_id, days.ts, 100000.0 + days.run_id * 5000 AS capital, round(coalesce(rest, 100000.0 + days.run_id * 5000) + coalesce(worth, 0), 2) AS value
+              FROM days ASOF LEFT JOIN (SELECT run_id, ts, rest FROM fold JOIN mom_dates USING (run_id, k) WHERE i > 0) f ON f.run_id = days.run_id AND days.ts >= f.ts
+              LEFT JOIN worth ON worth.run_id = days.run_id AND worth.ts = days.ts),
+    perf AS ({VIEWS["ew_perf"][1].replace("ew_curve", "curve")})
+    SELECT perf.run_id::BIGINT AS run_id, {sql_rnd(*_PERF, digits=4)}, round(win_rate, 6) AS win_rate, n_buys + n_sells AS total_trades, round(final_capital, 0) AS final_capital
+    FROM perf JOIN (SELECT run_id, count(*) AS n_buys FROM buys GROUP BY 1) USING (run_id)
+    JOIN (SELECT run_id, count(*) AS n_sells, avg((price > paid)::INT) AS win_rate FROM sells GROUP BY 1) USING (run_id)"""
+
+
+def strategy_performance(m, prices, picks):
+    from tallyvane.catalog.backtests import sector_runs
+    from tallyvane.operators import backtest as bt
+
+    runs = sector_runs(m)
+    trades, _ = bt.trades_of(runs, prices, bt.rebalance_dates(prices, 21), picks)
+    p = bt.performance(runs, bt.equity_curve(runs, prices, trades), trades)
+    return p.select("run_id", *rnd(*_PERF, digits=4), *rnd("win_rate"), "total_trades", *rnd("final_capital", digits=0))
+
+
+@query("momentum_performance", "K13 F16 F17 N10", with_views("mom_ranked ew_prices mom_dates", _FOLDED + _STRATEGY, recursive=True))
+def momentum_performance(m):
+    """Five best of sixty days, every 21 trading days, per region."""
+    from tallyvane.catalog.backtests import sector_prices
+    from tallyvane.operators import backtest as bt
+
+    prices = sector_prices(m).withColumns({"lookback": F.lit(60), "top_n": F.lit(5)})
+    return strategy_performance(m, prices, bt.momentum_picks(prices, bt.rebalance_dates(prices, 21)))
+
+
+@query("score_threshold_performance", "K14 F16 F17 N10", with_views("thr_ranked ew_prices mom_dates", _FOLDED.replace("mom_ranked", "thr_ranked") + _STRATEGY, recursive=True))
+def score_threshold_performance(m):
+    """Everything with a latest score of 65 or more, every 21 trading days, per region."""
+    from tallyvane.catalog.backtests import score_history, sector_prices
+    from tallyvane.operators import backtest as bt
+
+    prices = sector_prices(m).withColumn("threshold", F.lit(65.0))
+    scores = prices.select("run_id", "ticker").distinct().join(score_history(m), "ticker").filter(F.col("score_ts").between(F.lit(START), F.lit(END)))
+    return strategy_performance(m, prices, bt.score_picks(prices, bt.rebalance_dates(prices, 21), scores))
