@@ -71,9 +71,11 @@ FROM turns GROUP BY conv_id"""
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of every document from labelled documents that are not held out."""
     documents = table(spark, sf_dir, "documents")
-    labels = table(spark, sf_dir, "labels").where(bucket_of_four(F.col("doc_id")) != 2).select("doc_id", "toxic").where("toxic IS NOT NULL")
-    labelled = documents.select("doc_id", "text").join(labels, "doc_id")
-    judge = toxicity.fit(labelled.select("text", F.col("toxic").alias("label"), F.col("doc_id").alias("name")))
+    labels = table(spark, sf_dir, "labels").where(bucket_of_four(F.col("doc_id")) != 2)
+    picked = stored(toxicity.draw(labels.select(F.col("doc_id").alias("key"), F.col("toxic").alias("label"))), "toxicity-picked")
+    # the sample's size is bounded by the parameters of ``draw``
+    sample = documents.join(F.broadcast(picked), F.col("doc_id") == F.col("key")).withColumnRenamed("key", "name")
+    judge = toxicity.fit_sample(sample, documents)
     scored = toxicity.score(documents.select("doc_id", "text"), judge)
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score",
                          (F.col("score") >= 0.3).cast("int").alias("predicted"), "evidence")

@@ -1,12 +1,13 @@
 """Toxicity by nearest labelled examples.
 
-Texts are TF-IDF vectors over all their words and word beginnings. A bounded sample of
-examples forms an index that travels with the tasks: the most frequent terms as a
-matrix, all others as postings, so a batch of texts is scored against every example
-and the k nearest are exact. Document frequencies come from all labelled rows. A term
-that positive rows hold more often than others weighs more; no term is left out, and
-terms that no example holds count in a text's length. Votes weighted by squared
-cosine are mapped to a probability by isotonic regression on further labelled rows.
+Texts are TF-IDF vectors over all their words and word beginnings; document
+frequencies come from the whole corpus. A bounded sample of examples forms a
+block-max inverted index that travels with the tasks: similar examples share a
+block, a term keeps its greatest weight in each block, and a block is scored only if
+the sum of those maxima can reach the k-th best cosine found so far. The k nearest
+are exact. A neighbour's vote weighs as much of its cosine as comes from terms that
+positive examples hold more often than others. Votes are mapped to a probability by
+isotonic regression on further labelled rows.
 """
 
 from __future__ import annotations
@@ -27,8 +28,11 @@ from tallyvane.llm.common import unit
 from tallyvane.operators.materialize import stored
 
 LETTERS = re.compile(r"[^\W\d_]+")
-BEGINNINGS = (3, 4, 5, 6)
+BEGINNINGS = (3, 5)
 BATCH = 128
+BLOCK = 32
+#: Blocks of greatest bound that are scored before others are tested against the k-th cosine.
+WAVES = (2, 16)
 DENSE_TERMS = 512
 MEMO = 400_000
 
@@ -70,21 +74,53 @@ class Vectorizer:
         return counts
 
 
+def similar_order(vectors: np.ndarray, block: int) -> np.ndarray:
+    """An order in which similar rows are near: halves along the main direction of each part, down to a block."""
+    out, waiting = [], [np.arange(len(vectors))]
+    while waiting:
+        part = waiting.pop()
+        if len(part) <= block:
+            out.append(part)
+            continue
+        spread = vectors[part] - vectors[part].mean(0)
+        along = spread[0] + 0.1
+        for _ in range(8):
+            along = spread.T @ (spread @ along)
+            along /= np.linalg.norm(along) + 1e-12
+        part = part[np.argsort(spread @ along, kind="stable")]
+        middle = max(1, len(part) // (2 * block)) * block
+        waiting += [part[middle:], part[:middle]]
+    return np.concatenate(out) if out else np.zeros(0, np.int64)
+
+
+def ranges(first: np.ndarray, held: np.ndarray) -> np.ndarray:
+    """All positions of the ranges that begin at ``first`` and hold ``held`` places."""
+    return np.repeat(first - np.cumsum(held) + held, held) + np.arange(held.sum())
+
+
 @dataclass
-class ExampleIndex:
-    """Examples as unit vectors, in a fixed order that settles ties; ``idf`` is the weight of each term, ``unseen`` of any other."""
+class BlockMaxIndex:
+    """Unit vectors of examples in blocks; ``idf`` is the weight of each term, ``unseen`` of any other.
+
+    The order of the examples as given settles ties. ``marked`` is the share of each
+    term's part of a cosine that counts in votes.
+    """
 
     n_terms: int
     idf: np.ndarray
     labels: np.ndarray
     names: list
     unseen: float = 1.0
+    marked: np.ndarray | None = None
     post_id: np.ndarray = field(init=False)
     post_count: np.ndarray = field(init=False)
     size: np.ndarray = field(init=False)
     start: np.ndarray = field(init=False)
     slot: np.ndarray = field(init=False)
-    made: tuple[np.ndarray, np.ndarray] | None = field(init=False, default=None)
+    place: np.ndarray = field(init=False)
+    made: dict | None = field(init=False, default=None)
+    blocks_met: int = field(init=False, default=0)
+    blocks_scored: int = field(init=False, default=0)
 
     def unit_vector(self, counts: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
         """Sorted term ids and weights; terms outside the vocabulary (negative) only shorten the others."""
@@ -99,67 +135,122 @@ class ExampleIndex:
         size = math.sqrt(float(weight @ weight) + float(other @ other))
         return terms, weight / size if size else weight
 
-    def fill(self, examples: Iterable[dict[int, int]]) -> "ExampleIndex":
+    def fill(self, examples: Iterable[dict[int, int]]) -> "BlockMaxIndex":
         terms, counts, sizes = [np.zeros(0, np.int32)], [np.zeros(0, np.int32)], []
         for example in examples:
             terms.append(np.fromiter(example, np.int32, len(example)))
             counts.append(np.fromiter(example.values(), np.int32, len(example)))
             weight = (1 + np.log(counts[-1])) * self.idf[terms[-1]]
             sizes.append(math.sqrt(float(weight @ weight)) or 1.0)
-        ids = np.repeat(np.arange(len(sizes), dtype=np.min_scalar_type(len(sizes))), [len(t) for t in terms[1:]])
+        owner = np.repeat(np.arange(len(sizes)), [len(t) for t in terms[1:]]).astype(np.int64)
         flat, times = np.concatenate(terms), np.concatenate(counts)
-        order = np.argsort(flat, kind="stable")
-        self.size, self.post_id = np.array(sizes), ids[order]
-        self.post_count = times.astype(np.min_scalar_type(times.max(initial=0)))[order]
         held = np.bincount(flat, minlength=self.n_terms)
-        self.start = np.concatenate([[0], np.cumsum(held)])
         common = np.argsort(-held, kind="stable")[:DENSE_TERMS]
         self.slot = np.full(self.n_terms, -1, np.int32)
         self.slot[common] = np.arange(len(common))
+        often = self.slot[flat] >= 0
+        sketch = np.zeros((len(sizes), len(common)), np.float32)
+        sketch[owner[often], self.slot[flat[often]]] = ((1 + np.log(times)) * self.idf[flat])[often] / np.array(sizes)[owner[often]]
+        self.place = similar_order(sketch, BLOCK)  # the example at each place
+        at = np.argsort(self.place)[owner]
+        order = np.lexsort((at, flat))
+        self.size = np.array(sizes)[self.place]
+        self.post_id = at[order].astype(np.min_scalar_type(len(sizes)))
+        self.post_count = times.astype(np.min_scalar_type(times.max(initial=0)))[order]
+        self.start = np.concatenate([[0], np.cumsum(held)])
         return self
 
-    def weights(self) -> tuple[np.ndarray, np.ndarray]:
-        """The weight of each posting, and the most frequent terms as a matrix by example; made where they are used."""
-        if self.made is None:
-            post = (1 + np.log(self.post_count.astype(float))) * np.repeat(self.idf, np.diff(self.start)) / self.size[self.post_id]
-            dense = np.zeros((int((self.slot >= 0).sum()), len(self.labels)))
-            for t in np.flatnonzero(self.slot >= 0).tolist():
-                a, b = self.start[t], self.start[t + 1]
-                dense[self.slot[t], self.post_id[a:b]] = post[a:b]
-            self.made = post, dense
+    def prepared(self) -> dict:
+        """Posting weights, block maxima, and the most frequent terms as matrices; made where they are used."""
+        if self.made is not None:
+            return self.made
+        n, block = len(self.labels), self.post_id.astype(np.int64) // BLOCK
+        n_blocks, n_common = -(-n // BLOCK), int((self.slot >= 0).sum())
+        term = np.repeat(np.arange(self.n_terms), np.diff(self.start))
+        post = (1 + np.log(self.post_count.astype(float))) * self.idf[term] / self.size[self.post_id]
+        dense = np.zeros((n_blocks, n_common, BLOCK))
+        often = self.slot[term] >= 0
+        dense[block[often], self.slot[term[often]], self.post_id[often] % BLOCK] = post[often]
+        # a pair is a term in a block: where its postings begin, and their greatest weight
+        new = np.ones(len(term), bool)
+        new[1:] = (term[1:] != term[:-1]) | (block[1:] != block[:-1])
+        pair = np.flatnonzero(new)
+        counts = (self.marked[term] if self.marked is not None else np.ones(len(term))) * post
+        use = np.flatnonzero(counts > 0)
+        forward = use[np.argsort(self.post_id[use], kind="stable")]
+        self.made = {
+            "post": post, "dense": dense, "most": dense.max(2, initial=0.0).T.copy(), "pair_start": np.append(pair, len(term)),
+            "pair_block": block[pair], "pair_most": np.maximum.reduceat(post, pair) if len(pair) else np.zeros(0),
+            "term_pairs": np.concatenate([[0], np.cumsum(np.bincount(term[pair], minlength=self.n_terms))]),
+            "own_terms": term[forward], "own_votes": counts[forward],
+            "own_start": np.concatenate([[0], np.cumsum(np.bincount(self.post_id[use], minlength=n))]),
+            "scratch": np.zeros(self.n_terms)}
         return self.made
 
-    def nearest_all(self, texts: list[dict[int, int]], k: int) -> list[list[tuple[int, float]]]:
-        """For each text the k examples of greatest positive cosine, exact; equal cosines in example order."""
-        n, out = len(self.labels), []
-        if not n:
+    def nearest_all(self, texts: list[dict[int, int]], k: int) -> list[list[tuple[int, float, float]]]:
+        """For each text the k examples of greatest positive cosine, exact; equal cosines in example order.
+
+        An entry is (example, cosine, the marked part of the cosine).
+        """
+        if not len(self.labels):
             return [[] for _ in texts]
-        post, matrix = self.weights()
-        for at in range(0, len(texts), BATCH):
-            vectors = [self.unit_vector(counts) for counts in texts[at:at + BATCH]]
-            asked = np.zeros((len(vectors), len(matrix)))
-            for row, (terms, weight) in zip(asked, vectors):
-                slot = self.slot[terms]
-                row[slot[slot >= 0]] = weight[slot >= 0]
-            for scores, (terms, weight) in zip(asked @ matrix, vectors):
-                rare = self.slot[terms] < 0
-                terms, weight = terms[rare], weight[rare]
-                first, held = self.start[terms], self.start[terms + 1] - self.start[terms]
-                where = np.repeat(first - np.cumsum(held) + held, held) + np.arange(held.sum())
-                scores += np.bincount(self.post_id.take(where), post.take(where) * np.repeat(weight, held), minlength=n)
-                least = np.partition(scores, n - k)[n - k] if k < n else 0.0
-                ids = np.flatnonzero((scores >= least - 1e-9) & (scores > 0))
-                sims = np.round(scores[ids], 12)  # sums of a batch may differ in the last digits
-                best = np.lexsort((ids, -sims))[:k]
-                out.append(list(zip(ids[best].tolist(), sims[best].tolist())))
+        return [near for at in range(0, len(texts), BATCH) for near in self._nearest(texts[at:at + BATCH], k)]
+
+    def _nearest(self, texts: list[dict[int, int]], k: int) -> list[list[tuple[int, float, float]]]:
+        made, n_texts, n = self.prepared(), len(texts), len(self.labels)
+        dense, pair_start, pair_block = made["dense"], made["pair_start"], made["pair_block"]
+        n_blocks = len(dense)
+        vectors = [self.unit_vector(counts) for counts in texts]
+        terms, weight = (np.concatenate(x) for x in zip(*vectors))
+        text = np.repeat(np.arange(n_texts), [len(t) for t, _ in vectors])
+        slot = self.slot[terms]
+        asked = np.zeros((n_texts, dense.shape[1]))
+        asked[text[slot >= 0], slot[slot >= 0]] = weight[slot >= 0]
+        rare = slot < 0
+        terms, weight, text = terms[rare], weight[rare], text[rare]
+        held = made["term_pairs"][terms + 1] - made["term_pairs"][terms]
+        pair = ranges(made["term_pairs"][terms], held)
+        pair_text, pair_weight = np.repeat(text, held), np.repeat(weight, held)
+        cell = pair_text * n_blocks + pair_block[pair]
+        bound = asked @ made["most"] + np.bincount(
+            cell, pair_weight * made["pair_most"][pair], minlength=n_texts * n_blocks).reshape(n_texts, n_blocks)
+        scores = np.zeros((n_texts, n_blocks * BLOCK))
+        left = bound > 0
+        self.blocks_met += bound.size
+        for many in (*WAVES, n_blocks):
+            chosen = left
+            if many < n_blocks:
+                chosen = left & (bound >= np.partition(bound, n_blocks - many, axis=1)[:, n_blocks - many, None])
+            self.blocks_scored += int(chosen.sum())
+            for b in np.flatnonzero(chosen.any(0)).tolist():
+                who = np.flatnonzero(chosen[:, b])
+                scores[who, b * BLOCK:(b + 1) * BLOCK] = asked[who] @ dense[b]
+            use = chosen.ravel()[cell]
+            first, count = pair_start[pair[use]], pair_start[pair[use] + 1] - pair_start[pair[use]]
+            where = ranges(first, count)
+            at = np.repeat(pair_text[use] * scores.shape[1], count) + self.post_id[where]
+            scores += np.bincount(at, made["post"][where] * np.repeat(pair_weight[use], count), minlength=scores.size).reshape(scores.shape)
+            least = np.partition(scores, -k, axis=1)[:, -k] if k < scores.shape[1] else np.zeros(n_texts)
+            left = left & ~chosen & (bound >= least[:, None] - 1e-9)
+            if not left.any():
+                break
+        out = []
+        for row, limit, (terms, weight) in zip(scores, least, vectors):
+            found = np.flatnonzero((row >= limit - 1e-9) & (row > 0))
+            sims = np.round(row[found], 12)  # sums of a batch may differ in the last digits
+            best = np.lexsort((self.place[found], -sims))[:k]
+            found, sims = found[best], sims[best]
+            count = made["own_start"][found + 1] - made["own_start"][found]
+            own = ranges(made["own_start"][found], count)
+            made["scratch"][terms] = weight
+            votes = np.bincount(np.repeat(np.arange(len(found)), count), made["scratch"][made["own_terms"][own]] * made["own_votes"][own],
+                                minlength=len(found))
+            made["scratch"][terms] = 0
+            out.append(list(zip(self.place[found].tolist(), sims.tolist(), votes.tolist())))
         return out
 
     def nearest(self, counts: dict[int, int], k: int) -> list[tuple[int, float]]:
-        return self.nearest_all([counts], k)[0]
-
-
-#: The index's earlier name.
-BlockMaxIndex = ExampleIndex
+        return [(i, s) for i, s, _ in self.nearest_all([counts], k)[0]]
 
 
 @dataclass
@@ -167,21 +258,20 @@ class Judge:
     """Vocabulary, index and calibration; small enough to travel with the tasks (its bounds are parameters of ``fit``)."""
 
     vocabulary: dict[str, int]
-    index: ExampleIndex
+    index: BlockMaxIndex
     base_rate: float
     k: int
-    prior_weight: float = 0.5
+    prior_weight: float = 0.01
     knots: np.ndarray = field(default_factory=lambda: np.array([0.0, 1.0]))
     values: np.ndarray = field(default_factory=lambda: np.array([0.0, 1.0]))
     sent: tuple | None = None
 
-    def raw(self, near: list[tuple[int, float]]) -> float:
-        """Vote share, weighted by squared cosine, with the base rate as a further vote; 0 without neighbours."""
+    def raw(self, near: list[tuple[int, float, float]]) -> float:
+        """Vote share, weighted by the marked part of each cosine, with the base rate as a further vote; 0 without neighbours."""
         if not near:
             return 0.0
-        weights = [s * s for _, s in near]
-        votes = sum(w * float(self.index.labels[i]) for w, (i, _) in zip(weights, near))
-        return (votes + self.prior_weight * self.base_rate) / (sum(weights) + self.prior_weight)
+        votes = sum(w * float(self.index.labels[i]) for i, _, w in near)
+        return (votes + self.prior_weight * self.base_rate) / (sum(w for _, _, w in near) + self.prior_weight)
 
     def calibrated(self, raw: float) -> float:
         return float(np.interp(raw, self.knots, self.values))
@@ -198,32 +288,52 @@ def isotonic(rows: list[tuple[float, int, int]]) -> tuple[np.ndarray, np.ndarray
     return (np.array([s / n for s, n, _ in pools]), np.array([(p + 0.02) / (n + 0.2) for _, n, p in pools]))
 
 
-def _shares(rows: DataFrame, wanted: dict[int, int]) -> dict[int, tuple[float, float]]:
-    """Per label the hash ranges of index and calibration rows: at most about ``wanted`` rows each."""
+def draw(labels: DataFrame, positives: int = 3_000, negatives: int = 5_000) -> DataFrame:
+    """(key, label, part) of a bounded sample of the narrow rows (key, label): part ``index`` or ``calibration``.
+
+    At most about ``positives`` + ``negatives`` keys, chosen by a hash, go to the index and
+    as many others to calibration; of few keys, three quarters and one quarter. A key
+    counts once, by its greatest label. Null keys, and labels other than 0 and 1, are left out.
+    """
+    rows = labels.where(F.col("key").isNotNull() & F.col("label").isin(0, 1)).groupBy("key").agg(F.max("label").cast("int").alias("label"))
     counts = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
-    # with few rows, three quarters go to the index
-    return {y: (min(0.75, wanted[y] / n), min(0.25, wanted[y] / n)) for y, n in counts.items()}
+    u, pick = unit("key", F.lit(5)), F.lit(None).cast("string")
+    for y, wanted in ((0, negatives), (1, positives)):
+        n = max(1, counts.get(y, 0))
+        pick = F.when((F.col("label") == y) & (u < min(0.75, wanted / n)), "index").when(
+            (F.col("label") == y) & (u >= 1 - min(0.25, wanted / n)), "calibration").otherwise(pick)
+    return rows.withColumn("part", pick).where("part IS NOT NULL")
 
 
 def fit(labelled: DataFrame, positives: int = 3_000, negatives: int = 5_000, k: int = 25) -> Judge:
     """A judge from rows of (text, label, name), label 0 or 1 and name a bigint that only serves as evidence.
 
-    At most about ``positives`` + ``negatives`` rows, chosen by a hash, go into the
-    index, and as many others into calibration. A term weighs its inverse document
-    frequency in all rows times 1 + (strength / 6)^2, where strength is
-    log(rate ratio) * sqrt(positive rows) over all but the calibration rows, 0 at
-    least. Null texts or labels teach nothing. Without rows the judge answers 0.
+    The sample is drawn by name and text, document frequencies come from all rows.
+    Null texts or labels teach nothing. Without rows the judge answers 0.
+    """
+    rows = stored(labelled.where(F.col("text").isNotNull() & F.col("label").isin(0, 1)).select(
+        "text", F.col("label").cast("int").alias("label"), F.col("name").cast("long").alias("name"),
+        F.xxhash64("name", "text", "label").alias("key")), "toxicity-labelled")
+    picked = draw(rows.select("key", "label"), positives, negatives)
+    return fit_sample(rows.join(picked.select("key", "part"), "key"), rows, k)
+
+
+def fit_sample(sample: DataFrame, corpus: DataFrame, k: int = 25, max_bytes: int = 64_000_000) -> Judge:
+    """A judge from a bounded sample of (text, label, name, part), parts as made by ``draw``.
+
+    ``corpus`` has the texts that document frequencies are counted over, in one pass
+    without a shuffle of texts. Where the sample's texts exceed ``max_bytes``, a hash of
+    the text keeps as many as fit on average. A term weighs log((1 + N) / (1 + n)) + 1 in
+    the cosine. In votes a term counts by 1 - exp(-(strength / 8)^2), where strength is
+    log(rate ratio) * sqrt(positives that hold it) in the index rows, 0 at least.
+    Null texts teach nothing. Without rows the judge answers 0.
     """
-    rows = labelled.where(F.col("text").isNotNull() & F.col("label").isin(0, 1)).select(
-        "text", F.col("label").cast("int").alias("label"), F.col("name").cast("long").alias("name"))
-    rows = stored(rows, "toxicity-labelled")
-    shares = _shares(rows, {0: negatives, 1: positives})
-    u = unit("name", "text", F.lit(5))
-    pick = F.lit(None).cast("string")
-    for y, (a, b) in shares.items():
-        pick = F.when((F.col("label") == y) & (u < a), "index").when((F.col("label") == y) & (u >= 1 - b), "calibration").otherwise(pick)
-    rows = rows.withColumn("part", F.coalesce(pick, F.lit("counted")))
-    examples = stored(rows.where("part = 'index'"), "toxicity-examples")
+    rows = stored(sample.where("text IS NOT NULL").select(
+        "text", F.col("label").cast("int").alias("label"), F.col("name").cast("long").alias("name"), "part"), "toxicity-sample")
+    volume = rows.agg(F.sum(F.octet_length("text").cast("long")).alias("b")).first()["b"] or 0
+    if volume > max_bytes:
+        rows = rows.where(unit("text", F.lit(6)) < max_bytes / volume)
+    examples = rows.where("part = 'index'")
 
     def list_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         take, seen = Vectorizer(None), set()
@@ -238,33 +348,36 @@ def fit(labelled: DataFrame, positives: int = 3_000, negatives: int = 5_000, k:
     found = examples.select("text").mapInArrow(list_terms, "term string").distinct().toArrow()
     vocabulary = {t: i for i, t in enumerate(sorted(found.column("term").to_pylist()))}
     size = len(vocabulary)
-    shipped = labelled.sparkSession.sparkContext.broadcast(vocabulary)
+    shipped = sample.sparkSession.sparkContext.broadcast(vocabulary)
 
     def count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        take, counts = Vectorizer(shipped.value), np.zeros((3, size), np.int64)
+        split, counts, ids, n = LETTERS.findall, np.zeros(size, np.int64), {}, 0
+        known = shipped.value
         for batch in batches:
-            for text, label, part in zip(batch.column("text"), batch.column("label"), batch.column("part")):
-                terms = np.array([t for t in take(text.as_py()) if t >= 0], np.int64)
-                counts[0, terms] += 1
-                if part.as_py() != "calibration":
-                    counts[1, terms] += 1
-                    counts[2, terms] += label.as_py()
-        some = np.flatnonzero(counts[0])
+            for text in batch.column("text"):
+                text = text.as_py()
+                if text is None:
+                    continue
+                n += 1
+                here: set[int] = set()
+                for word in set(split(text.lower())):
+                    terms = ids.get(word)
+                    if terms is None:
+                        if len(ids) > MEMO:
+                            ids.clear()
+                        terms = ids[word] = tuple(known[f] for f in word_features(word) if f in known)
+                    here.update(terms)
+                counts[np.fromiter(here, np.int64, len(here))] += 1
+        some = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array([-1]), pa.array([n])], names=["term", "n"])
         for at in range(0, len(some), 10_000):
             part = some[at:at + 10_000]
-            yield pa.RecordBatch.from_arrays([pa.array(part), *map(pa.array, counts[:, part])], names=["term", "n", "m", "p"])
-
-    totals = rows.groupBy().agg(
-        F.count(F.lit(1)).alias("n"), F.count_if(F.col("part") != "calibration").alias("m"),
-        F.count_if((F.col("part") != "calibration") & (F.col("label") == 1)).alias("p")).first()
-    terms = rows.select("text", "label", "part").mapInArrow(count_terms, "term bigint, n bigint, m bigint, p bigint")
-    terms = terms.groupBy("term").agg(F.sum("n").alias("n"), F.sum("m").alias("m"), F.sum("p").alias("p")).toArrow()
-    n, m, p = np.zeros((3, size))
-    for counts, name in ((n, "n"), (m, "m"), (p, "p")):
-        counts[terms.column("term").to_numpy()] = terms.column(name).to_numpy()
-    ratio = np.maximum(p, 1e-9) / max(1, totals["p"]) / ((m - p + 0.5) / (totals["m"] - totals["p"] + 1))
-    strength = np.maximum(0.0, np.log(ratio) * np.sqrt(p))
-    weights = (np.log((1 + totals["n"]) / (1 + n)) + 1) * (1 + (strength / 6) ** 2)
+            yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(counts[part])], names=["term", "n"])
+
+    terms = corpus.select("text").mapInArrow(count_terms, "term bigint, n bigint").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    counts = np.zeros(size + 1)
+    counts[terms.column("term").to_numpy()] = terms.column("n").to_numpy()  # the last place, -1, has the number of texts
+    total, held = counts[-1], counts[:-1]
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         take = Vectorizer(shipped.value)
@@ -281,25 +394,30 @@ def fit(labelled: DataFrame, positives: int = 3_000, negatives: int = 5_000, k:
     names, labels = found.column("name").to_pylist(), found.column("label").to_pylist()
     keys = list(zip(found.column("digest").to_pylist(), labels, [(x is not None, x or 0) for x in names]))
     order = sorted(range(len(keys)), key=keys.__getitem__)
-    index = ExampleIndex(size, weights, np.array([labels[i] for i in order], np.int8), [names[i] for i in order],
-                         math.log(1 + totals["n"]) + 1)
-    held, times = found.column("terms"), found.column("counts")
-    index.fill(dict(zip(held[i].as_py(), times[i].as_py())) for i in order)
-    del found, held, times
-    n, p = len(labels), sum(labels)
-    judge = Judge(vocabulary, index, p / n if n else 0.0, k)
-    held = score(rows.where("part = 'calibration'"), judge).groupBy(F.round("raw", 2).alias("raw")).agg(
+    inside, times = found.column("terms"), found.column("counts")
+    n, positive = len(labels), sum(labels)
+    p, m = np.zeros(size), np.zeros(size)
+    for terms, label in zip(inside, labels):
+        (p if label else m)[terms.values.to_numpy()] += 1
+    ratio = (p + 0.1) / (positive + 1) / ((m + 0.5) / (n - positive + 1))
+    strength = np.maximum(0.0, np.log(ratio)) * np.sqrt(p)
+    index = BlockMaxIndex(size, np.log((1 + total) / (1 + held)) + 1, np.array([labels[i] for i in order], np.int8),
+                          [names[i] for i in order], math.log(1 + total) + 1, 1 - np.exp(-(strength / 8) ** 2))
+    index.fill(dict(zip(inside[i].as_py(), times[i].as_py())) for i in order)
+    del found, inside, times
+    judge = Judge(vocabulary, index, positive / n if n else 0.0, k)
+    told = score(rows.where("part = 'calibration'"), judge).groupBy(F.round("raw", 2).alias("raw")).agg(
         F.count(F.lit(1)).alias("n"), F.sum("label").alias("p")).collect()
-    if held:
-        judge.knots, judge.values = isotonic([(r["raw"], r["n"], r["p"]) for r in held])
+    if told:
+        judge.knots, judge.values = isotonic([(r["raw"], r["n"], r["p"]) for r in told])
     return judge
 
 
 def score(docs: DataFrame, judge: Judge, evidence: int = 3) -> DataFrame:
     """The rows of ``docs`` without text, with raw, score and evidence (nearest examples: name, label, cosine).
 
-    A row's whole text is all that counts. A null, empty or unknown text has no neighbours; its score is the
-    calibrated rate of such rows. Columns of the added names are replaced; repeated rows are judged alike.
+    A row's whole text, however long, is all that counts. A null, empty or unknown text has no neighbours; its score
+    is the calibrated rate of such rows. Columns of the added names are replaced; repeated rows are judged alike.
     """
     rows = docs.drop("raw", "score", "evidence")
     kept = [f for f in rows.schema.fields if f.name != "text"]
@@ -323,7 +441,7 @@ def score(docs: DataFrame, judge: Judge, evidence: int = 3) -> DataFrame:
                 [take(text.as_py()) for text in batch.column("text").slice(at, BATCH)], judge.k))
             for near in found:
                 raw.append(judge.raw(near))
-                shown.append([{"name": judge.index.names[i], "label": int(judge.index.labels[i]), "cosine": s} for i, s in near[:evidence]])
+                shown.append([{"name": judge.index.names[i], "label": int(judge.index.labels[i]), "cosine": s} for i, s, _ in near[:evidence]])
             yield pa.RecordBatch.from_arrays(
                 [*[batch.column(f.name) for f in kept], pa.array(raw, pa.float64()),
                  pa.array([judge.calibrated(r) for r in raw], pa.float64()), pa.array(shown, kind)],
