@@ -30,10 +30,12 @@ from tallyvane.operators.materialize import stored
 LETTERS = re.compile(r"[^\W\d_]+")
 BEGINNINGS = (3, 5)
 BATCH = 128
-BLOCK = 32
+BLOCK = 64
 #: Blocks of greatest bound that are scored before others are tested against the k-th cosine.
-WAVES = (2, 16)
-DENSE_TERMS = 512
+WAVES = (2,)
+#: Sums of weights below 1 in another order differ by far less.
+SLACK = 1e-9
+DENSE_TERMS = 2048
 MEMO = 400_000
 
 
@@ -164,9 +166,9 @@ class BlockMaxIndex:
         """Posting weights, block maxima, and the most frequent terms as matrices; made where they are used."""
         if self.made is not None:
             return self.made
-        n, block = len(self.labels), self.post_id.astype(np.int64) // BLOCK
+        n, block = len(self.labels), (self.post_id // BLOCK).astype(np.int32)
         n_blocks, n_common = -(-n // BLOCK), int((self.slot >= 0).sum())
-        term = np.repeat(np.arange(self.n_terms), np.diff(self.start))
+        term = np.repeat(np.arange(self.n_terms, dtype=np.int32), np.diff(self.start))
         post = (1 + np.log(self.post_count.astype(float))) * self.idf[term] / self.size[self.post_id]
         dense = np.zeros((n_blocks, n_common, BLOCK))
         often = self.slot[term] >= 0
@@ -175,16 +177,15 @@ class BlockMaxIndex:
         new = np.ones(len(term), bool)
         new[1:] = (term[1:] != term[:-1]) | (block[1:] != block[:-1])
         pair = np.flatnonzero(new)
-        counts = (self.marked[term] if self.marked is not None else np.ones(len(term))) * post
-        use = np.flatnonzero(counts > 0)
+        votes = post if self.marked is None else post * self.marked[term]
+        use = np.flatnonzero(votes > 0)
         forward = use[np.argsort(self.post_id[use], kind="stable")]
         self.made = {
             "post": post, "dense": dense, "most": dense.max(2, initial=0.0).T.copy(), "pair_start": np.append(pair, len(term)),
             "pair_block": block[pair], "pair_most": np.maximum.reduceat(post, pair) if len(pair) else np.zeros(0),
             "term_pairs": np.concatenate([[0], np.cumsum(np.bincount(term[pair], minlength=self.n_terms))]),
-            "own_terms": term[forward], "own_votes": counts[forward],
-            "own_start": np.concatenate([[0], np.cumsum(np.bincount(self.post_id[use], minlength=n))]),
-            "scratch": np.zeros(self.n_terms)}
+            "own_terms": term[forward], "own_votes": votes[forward],
+            "own_start": np.concatenate([[0], np.cumsum(np.bincount(self.post_id[use], minlength=n))]), "scratch": np.zeros(self.n_terms)}
         return self.made
 
     def nearest_all(self, texts: list[dict[int, int]], k: int) -> list[list[tuple[int, float, float]]]:
@@ -231,13 +232,13 @@ class BlockMaxIndex:
             at = np.repeat(pair_text[use] * scores.shape[1], count) + self.post_id[where]
             scores += np.bincount(at, made["post"][where] * np.repeat(pair_weight[use], count), minlength=scores.size).reshape(scores.shape)
             least = np.partition(scores, -k, axis=1)[:, -k] if k < scores.shape[1] else np.zeros(n_texts)
-            left = left & ~chosen & (bound >= least[:, None] - 1e-9)
+            left = left & ~chosen & (bound >= least[:, None] - SLACK)
             if not left.any():
                 break
         out = []
         for row, limit, (terms, weight) in zip(scores, least, vectors):
-            found = np.flatnonzero((row >= limit - 1e-9) & (row > 0))
-            sims = np.round(row[found], 12)  # sums of a batch may differ in the last digits
+            found = np.flatnonzero((row >= limit - SLACK) & (row > 0))
+            sims = np.round(row[found], 12)
             best = np.lexsort((self.place[found], -sims))[:k]
             found, sims = found[best], sims[best]
             count = made["own_start"][found + 1] - made["own_start"][found]
@@ -288,7 +289,7 @@ def isotonic(rows: list[tuple[float, int, int]]) -> tuple[np.ndarray, np.ndarray
     return (np.array([s / n for s, n, _ in pools]), np.array([(p + 0.02) / (n + 0.2) for _, n, p in pools]))
 
 
-def draw(labels: DataFrame, positives: int = 3_000, negatives: int = 5_000) -> DataFrame:
+def draw(labels: DataFrame, positives: int = 1_000, negatives: int = 1_500) -> DataFrame:
     """(key, label, part) of a bounded sample of the narrow rows (key, label): part ``index`` or ``calibration``.
 
     At most about ``positives`` + ``negatives`` keys, chosen by a hash, go to the index and
@@ -305,7 +306,7 @@ def draw(labels: DataFrame, positives: int = 3_000, negatives: int = 5_000) -> D
     return rows.withColumn("part", pick).where("part IS NOT NULL")
 
 
-def fit(labelled: DataFrame, positives: int = 3_000, negatives: int = 5_000, k: int = 25) -> Judge:
+def fit(labelled: DataFrame, positives: int = 1_000, negatives: int = 1_500, k: int = 25) -> Judge:
     """A judge from rows of (text, label, name), label 0 or 1 and name a bigint that only serves as evidence.
 
     The sample is drawn by name and text, document frequencies come from all rows.

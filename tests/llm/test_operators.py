@@ -86,6 +86,59 @@ def test_block_max_search_is_exact():
         assert [i for i, _ in index.nearest(query, 10)] == want
 
 
+def test_blocks_are_left_out_and_the_nearest_still_found(monkeypatch):
+    monkeypatch.setattr(toxicity, "DENSE_TERMS", 5)
+    monkeypatch.setattr(toxicity, "BLOCK", 4)
+    rng = random.Random(8)
+    themes = [range(20 * i, 20 * i + 30) for i in range(6)]
+    examples = [{t: rng.randint(1, 4) for t in rng.sample(themes[i % 6], rng.randint(1, 9))} for i in range(299)] + [{}]
+    examples[7] = dict(examples[1])
+    idf = np.array([rng.uniform(1, 5) for _ in range(140)])
+    marked = np.array([rng.choice([0.0, 0.5, 1.0]) for _ in range(140)])
+    index = toxicity.BlockMaxIndex(140, idf, np.zeros(300, np.int8), list(range(300)), 2.0, marked).fill(examples)
+    matrix = np.zeros((300, 140))
+    for row, example in zip(matrix, examples):
+        terms, w = index.unit_vector(example)
+        row[terms] = w
+    asked = [{t: rng.randint(1, 3) for t in rng.sample(themes[i % 6], rng.randint(1, 8))} | ({~i: 2} if i % 3 else {}) for i in range(200)]
+    asked += [examples[1], {}, {~5: 1}]
+    for counts, near in zip(asked, index.nearest_all(asked, 10)):
+        terms, w = index.unit_vector(counts)
+        q = np.zeros(140)
+        q[terms] = w
+        sims = np.round(matrix @ q, 12)
+        want = [i for i in np.lexsort((np.arange(300), -sims)) if sims[i] > 0][:10]
+        assert [i for i, _, _ in near] == want
+        assert [s for _, s, _ in near] == pytest.approx(sims[want])
+        assert [v for _, _, v in near] == pytest.approx(((matrix * q) @ marked)[want])
+    assert 0 < index.blocks_scored < 0.7 * index.blocks_met
+
+
+def test_toxicity_sample_is_bounded(spark):
+    rows = [(i % 900, int(i % 3 == 0)) for i in range(1200)] + [(None, 1), (5, None), (6, 7)]
+    picked = toxicity.draw(spark.createDataFrame(rows, "key bigint, label int"), 100, 200).collect()
+    assert len({r["key"] for r in picked}) == len(picked)
+    parts = {(y, part): sum(r["label"] == y and r["part"] == part for r in picked) for y in (0, 1) for part in ("index", "calibration")}
+    assert all(0.6 * n < parts[y, "index"] < 1.4 * n for y, n in ((0, 200), (1, 100)))
+    assert toxicity.draw(spark.createDataFrame([], "key bigint, label int"), 3, 3).count() == 0
+
+
+def test_toxicity_of_very_long_and_repeated_texts(spark):
+    rng = random.Random(6)
+    rows = [(i, prose(rng, 30) + (" vileword" if i % 4 == 0 else ""), int(i % 4 == 0)) for i in range(200)]
+    sample = spark.createDataFrame([(t, y, i, "index" if i % 5 else "calibration") for i, t, y in rows], "text string, label int, name bigint, part string")
+    long = prose(rng, 60_000)
+    corpus = spark.createDataFrame([(t,) for _, t, _ in rows] + [(long,), (None,), ("",)], "text string")
+    judge = toxicity.fit_sample(sample, corpus)
+    n = sum("vileword" in t for _, t, _ in rows)
+    assert judge.index.idf[judge.vocabulary["=vileword"]] == pytest.approx(math.log(203 / (1 + n)) + 1)  # two texts more than the rows, one is null
+    asked = spark.createDataFrame([(long, 1), (long, 1), (long[:300] + " vileword", 2)], "text string, k int")
+    got = toxicity.score(asked, judge).orderBy("k").collect()
+    assert got[0]["score"] == got[1]["score"] < 0.3 <= got[2]["score"]
+    few = toxicity.fit_sample(sample, corpus, max_bytes=8_000)
+    assert 0 < len(few.index.names) < len(judge.index.names)
+
+
 def test_toxicity_learns_and_handles_edges(spark):
     rng = random.Random(1)
     rows = [(prose(rng, 30) + (" vileword" if i % 4 == 0 else ""), int(i % 4 == 0), i) for i in range(400)]
