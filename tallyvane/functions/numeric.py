@@ -42,12 +42,13 @@ def growth_rate(current, previous) -> Column:
 def normalize_range(c, low: float, high: float, invert: bool = False) -> Column:
     """Scale to 0..100 with clamping; NULL is neutral 50."""
     scaled = clamp((col(c) - low) / (high - low) * 100, 0, 100)
-    return F.coalesce(100 - scaled if invert else scaled, F.lit(50.0))
+    # greatest and least skip NULLs, so a clamped NULL would be the upper bound
+    return F.when(col(c).isNull(), 50.0).otherwise(100 - scaled if invert else scaled)
 
 
 def bounded_score(c) -> Column:
     """Clamp to 0..100; not-finite values become 50."""
-    return F.coalesce(clamp(finite(c), 0, 100), F.lit(50.0))
+    return clamp(F.coalesce(finite(c), F.lit(50.0)), 0, 100)
 
 
 def mean_present(parts: list[Column], default: float | None = None) -> Column:
