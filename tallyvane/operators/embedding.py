@@ -13,7 +13,10 @@ Encoder = Callable[[list[str]], list[list[float]]]
 
 
 def hashing_encoder(dim: int) -> Encoder:
-    """Deterministic offline encoder: signed word hashing, length 1."""
+    """Deterministic offline encoder: signed word hashing, length 1.
+
+    A text without words, or whose words cancel out, takes the one direction that its own digest names.
+    """
     import zlib
 
     def encode(texts: list[str]) -> list[list[float]]:
@@ -22,8 +25,9 @@ def hashing_encoder(dim: int) -> Encoder:
             for word in text.lower().split():
                 h = zlib.crc32(word.encode())
                 out[i, h % dim] += 1.0 if (h >> 16) & 1 else -1.0
-        norm = np.linalg.norm(out, axis=1, keepdims=True)
-        return (out / np.where(norm == 0, 1.0, norm)).tolist()
+            if not out[i].any():
+                out[i, zlib.crc32(text.lower().encode()) % dim] = 1.0
+        return (out / np.linalg.norm(out, axis=1, keepdims=True)).tolist()
 
     return encode
 
