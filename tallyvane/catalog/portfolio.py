@@ -48,7 +48,7 @@ def opportunities(m):
     profiles = F.array(*[F.lit(x) for x in ("conservative", "moderate", "aggressive")])
     return pairs.join(latest, "company_id").join(m.companies(), "company_id").select(
         F.col("c_custkey").alias("portfolio_id"), "ticker", F.col("company_id").alias("seq"), "score", "risk_score", "sector",
-        (0.15 + F.col("company_id") % 11 * 0.03).alias("volatility"),
+        ((15 + F.col("company_id") % 11 * 3) / 100.0).alias("volatility"),  # hundredths without float dust
         (20000.0 + F.col("c_custkey") % 7 * 15000).alias("capital"), F.lit(1000.0).alias("cash_reserve"),
         F.element_at(profiles, (F.col("c_custkey") % 3 + 1).cast("int")).alias("risk_profile"),
         F.lit(0.15).alias("max_position_weight"), F.lit(0.30).alias("max_sector_weight"))

@@ -6,7 +6,7 @@ back to the rows, so one portfolio with a third of all rows is never one task.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyvane.functions.numeric import clamp
@@ -59,7 +59,7 @@ def portfolio_summary(weighted: DataFrame, keys: list[str]) -> DataFrame:
         F.count(F.lit(1)).alias("n"), F.count(F.when(held, 1)).alias("n_held"),
         F.sum(F.when(held, F.col("weight")).otherwise(0.0)).alias("_held"),
         F.sum(F.col("weight") * F.col("score")).alias("weighted_score"),
-        F.sqrt(F.sum(F.pow(F.col("weight") * F.col("volatility"), 2))).alias("expected_risk"))
+        F.sqrt(F.sum(F.col("weight") * F.col("weight") * F.col("volatility") * F.col("volatility"))).alias("expected_risk"))
     g = g.join(diversification(weighted, keys), keys)
     invest = F.col("capital") - F.col("cash_reserve")
     g = g.withColumn("allocated", F.col("_held") * invest).withColumn("unallocated", invest - F.col("allocated"))
@@ -110,11 +110,16 @@ def correlated_risk(weights: DataFrame, returns: DataFrame, keys: list[str]) ->
         *keys, F.sqrt(F.coalesce("_var", F.lit(0.0)) + F.col("_own")).alias("risk"))
 
 
+def _tenths(c) -> Column:
+    """One decimal of the exact binary value, ties to even; ``format_string`` rounds its shortest decimal form half up."""
+    return F.replace(F.format_number(c, 1), F.lit(","))
+
+
 def explanations(weighted: DataFrame, summary: DataFrame, keys: list[str], top: int = 5) -> DataFrame:
     """Text lines of each portfolio with its largest positions."""
     best = top_per_key(allocations(weighted), keys, [F.desc("weight"), F.asc("ticker")], top, rank_col="_rk")
-    line = F.format_string("  %s: %.1f%% of investable (%.1f%% of total, $%,.0f)", "ticker",
-                           F.col("weight") * 100, F.col("portfolio_weight") * 100, "amount")
+    line = F.format_string("  %s: %s%% of investable (%s%% of total, $%,.0f)", "ticker",
+                           _tenths(F.col("weight") * 100), _tenths(F.col("portfolio_weight") * 100), "amount")
     lines = best.groupBy(*keys).agg(F.array_join(F.transform(
         F.array_sort(F.collect_list(F.struct("_rk", line.alias("line")))), lambda s: s["line"]), "\n").alias("_lines"))
     s = summary.join(lines, keys, "left")
@@ -123,9 +128,9 @@ def explanations(weighted: DataFrame, summary: DataFrame, keys: list[str], top:
         F.format_string("Capital: $%,.0f (Cash reserve: $%,.0f).", "capital", "cash_reserve"),
         F.format_string("Allocated capital: $%,.0f.", "allocated"),
         F.format_string("Unallocated capital: $%,.0f.", F.round("unallocated", 4) + 0.0),  # no minus before zero
-        F.format_string("Portfolio expected risk: %.1f%%", F.col("expected_risk") * 100),
+        F.format_string("Portfolio expected risk: %s%%", _tenths(F.col("expected_risk") * 100)),
         F.format_string("Diversification score: %.0f/100", "diversification"),
-        F.format_string("Portfolio fit score: %.1f/100", "weighted_score"),
+        F.format_string("Portfolio fit score: %s/100", _tenths("weighted_score")),
         F.lit("Top allocations:"), F.coalesce("_lines", F.lit("")))
     return s.select(*keys, text.alias("explanation"))
 
