@@ -97,8 +97,16 @@ def position_sizes(runs: DataFrame, episodes: DataFrame) -> DataFrame:
     return folded.select("run_id", "o.k", "o.size", "o.rest")
 
 
-def trades_of(runs: DataFrame, prices: DataFrame, dates: DataFrame, picks: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(trades, sizes). Open positions are sold at each ticker's own last bar."""
+def last_bars(prices: DataFrame) -> DataFrame:
+    return prices.groupBy("run_id", "ticker").agg(F.max("ts").alias("ts"), F.max_by("close", "ts").alias("price"))
+
+
+def trades_of(runs: DataFrame, prices: DataFrame, dates: DataFrame, picks: DataFrame,
+              last: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(trades, sizes). Open positions are sold at each ticker's own last bar.
+
+    With ``last`` (run_id, ticker, ts, price) ``prices`` may be cut to the dates.
+    """
     # both are read several times below
     ep = materialize(_episodes(prices, dates, picks))
     sizes = materialize(position_sizes(runs, ep))
@@ -109,7 +117,7 @@ def trades_of(runs: DataFrame, prices: DataFrame, dates: DataFrame, picks: DataF
     sold = ep.filter("sale").join(held, ["run_id", "ticker", "episode"]).select(
         "run_id", "ticker", "ts", "k", "episode", F.lit("SELL").alias("action"), "price", "shares",
         (F.col("shares") * F.col("price")).alias("amount"))
-    last = prices.groupBy("run_id", "ticker").agg(F.max("ts").alias("ts"), F.max_by("close", "ts").alias("price"))
+    last = last_bars(prices) if last is None else last
     open_ = held.join(ep.filter("sale").select("run_id", "ticker", "episode"), ["run_id", "ticker", "episode"], "left_anti")
     closing = open_.join(last, ["run_id", "ticker"]).select(
         "run_id", "ticker", "ts", F.lit(None).cast("int").alias("k"), "episode", F.lit("SELL").alias("action"), "price",
@@ -137,8 +145,12 @@ def equity_curve(runs: DataFrame, prices: DataFrame, trades: DataFrame) -> DataF
     held = held.withColumn("worth", worth).withColumn(
         "change", F.col("worth") - F.coalesce(F.lag("worth").over(by_ticker), F.lit(0.0)))
     by_day = held.groupBy("run_id", "ts").agg(F.sum("change").alias("change"))
+    return _summed(runs, prices.select("run_id", "ts").distinct(), by_day, flow, sign)
+
+
+def _summed(runs: DataFrame, days: DataFrame, by_day: DataFrame, flow: DataFrame, sign: Column) -> DataFrame:
+    """Capital plus the running sum of value changes and cash flows over the days of each run."""
     cash = flow.groupBy("run_id", "ts").agg(F.sum(-sign * F.col("amount")).alias("cash"))
-    days = prices.select("run_id", "ts").distinct()
     w = Window.partitionBy("run_id").orderBy("ts").rowsBetween(Window.unboundedPreceding, 0)
     out = (days.join(by_day, ["run_id", "ts"], "left").join(cash, ["run_id", "ts"], "left")
            .withColumn("_d", F.coalesce("change", F.lit(0.0)) + F.coalesce("cash", F.lit(0.0)))
@@ -147,6 +159,33 @@ def equity_curve(runs: DataFrame, prices: DataFrame, trades: DataFrame) -> DataF
         "run_id", "ts", F.round(F.col("initial_capital") + F.col("_v"), 2).alias("value"))
 
 
+def series_equity_curve(runs: DataFrame, days: DataFrame, scope: DataFrame, series: DataFrame, trades: DataFrame) -> DataFrame:
+    """``equity_curve`` without a row per run and bar: bars meet only the positions that are held over them.
+
+    A position is constant from one of its trades to the next. Joined by ticker with the bars of that stretch it gives
+    the value changes, which are summed per day before they are shuffled. ``series`` as from ``plans.backtests.series_of``,
+    ``scope``: run_id, series, end_date.
+    """
+    flow = trades.filter("kind = 'rebalance'")
+    sign = F.when(F.col("action") == "BUY", 1.0).otherwise(-1.0)
+    moves = flow.groupBy("run_id", "ticker", "ts").agg(F.sum(sign * F.col("shares")).alias("d"))
+    w = Window.partitionBy("run_id", "ticker").orderBy("ts")
+    kept = F.when(F.abs("_sum") > DUST, F.col("_sum")).otherwise(0.0)
+    held = moves.withColumn("_sum", F.sum("d").over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("shares", kept)
+    held = held.select("run_id", "ticker", F.col("ts").alias("since"), F.lead("ts").over(w).alias("until"), "shares",
+                       F.coalesce(F.lag("shares").over(w), F.lit(0.0)).alias("before"))
+    held = held.filter("shares <> 0 OR before <> 0").join(F.broadcast(scope.select("run_id", "series", "end_date").distinct()), "run_id")
+    # a stretch without shares counts on its first day only
+    stop = F.coalesce("until", F.col("end_date") + F.expr("INTERVAL 1 SECOND"))
+    held = held.withColumn("stop", F.when(F.col("shares") == 0, F.col("since") + F.expr("INTERVAL 1 SECOND")).otherwise(stop))
+    at = F.when(F.col("ts") == F.col("since"), F.col("before")).otherwise(F.col("shares"))
+    rows = series.select("series", "ticker", "ts", "close", "prev_close").join(held, ["series", "ticker"]).filter(
+        (F.col("ts") >= F.col("since")) & (F.col("ts") < F.col("stop")))
+    change = F.col("shares") * F.col("close") - F.when(at == 0, 0.0).otherwise(at * F.col("prev_close"))
+    by_day = rows.groupBy("run_id", "ts").agg(F.sum(change).alias("change"))
+    return _summed(runs, days, by_day, flow, sign)
+
+
 # -- signals --------------------------------------------------------------------
 
 def equal_weight_picks(prices: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -172,6 +211,16 @@ def momentum_picks(prices: DataFrame, dates: DataFrame, lookback: str = "lookbac
         "run_id", "ts", "ticker", "momentum", "rank")
 
 
+def series_momentum_picks(at: DataFrame, series: DataFrame) -> DataFrame:
+    """``momentum_picks`` from bars on the dates (``at``, with their count ``i`` and the run's parameters) and the series behind them."""
+    past = series.select("series", "ticker", F.col("i").alias("_i"), F.col("ts").alias("_ts"), F.col("close").alias("_past"))
+    scored = at.withColumn("_i", F.col("i") - F.col("lookback")).join(past, ["series", "ticker", "_i"]).filter(
+        (F.col("_past") > 0) & (F.col("_ts") >= F.col("start_date"))).withColumn("momentum", (F.col("close") - F.col("_past")) / F.col("_past"))
+    by_date = Window.partitionBy("run_id", "ts").orderBy(F.desc("momentum"), "ticker")
+    return scored.withColumn("rank", F.row_number().over(by_date)).filter(F.col("rank") <= F.col("top_n")).select(
+        "run_id", "ts", "ticker", "momentum", "rank")
+
+
 def score_picks(prices: DataFrame, dates: DataFrame, scores: DataFrame, threshold: str = "threshold") -> DataFrame:
     """Tickers whose latest score at or before the rebalance date reaches the run's threshold.
 
@@ -272,11 +321,11 @@ def optimizer_trades(runs: DataFrame, targets: DataFrame, min_trade: float = 100
                         shares.alias("shares"), (shares * F.col("f.price")).alias("amount"), F.lit("rebalance").alias("kind"))
 
 
-def close_out(trades: DataFrame, prices: DataFrame) -> DataFrame:
+def close_out(trades: DataFrame, prices: DataFrame | None = None, last: DataFrame | None = None) -> DataFrame:
     """Adds the final sale of every open position at the ticker's own last bar."""
     sign = F.when(F.col("action") == "BUY", 1.0).otherwise(-1.0)
     open_ = trades.groupBy("run_id", "ticker").agg(F.sum(sign * F.col("shares")).alias("shares")).filter("shares > 0.001")
-    last = prices.groupBy("run_id", "ticker").agg(F.max("ts").alias("ts"), F.max_by("close", "ts").alias("price"))
+    last = last_bars(prices) if last is None else last
     end = open_.join(last, ["run_id", "ticker"]).select(
         "run_id", "ticker", "ts", F.lit(None).cast("int").alias("k"), F.lit("SELL").alias("action"), "price", "shares",
         (F.col("shares") * F.col("price")).alias("amount"), F.lit("end").alias("kind"))

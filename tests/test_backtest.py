@@ -192,3 +192,32 @@ def test_run_without_prices_fails_and_drafts_stay(spark):
     assert {r["run_id"]: r["status"] for r in res.status.collect()} == {1: "completed", 2: "failed", 4: "completed"}
     perf = {r["run_id"]: r["total_return"] for r in res.performance.collect()}
     assert set(perf) == {1, 4} and perf[1] == pytest.approx(2.9)
+
+
+def test_runs_share_one_series(spark, monkeypatch):
+    """Bars are stored once whatever the number of runs, and each run's curve equals the one over its own prices."""
+    rng = random.Random(3)
+    days = [dt.datetime(2000, 1, 1) + dt.timedelta(days=i) for i in range(40)]
+    rows = [(c, d, rng.uniform(5, 15)) for c in range(1, 7) for d in days if rng.random() < 0.7]
+    bars = spark.createDataFrame(rows, "company_id long, ts timestamp, close double")
+    comp = spark.createDataFrame([(c, f"T{c}", "ab"[c % 2]) for c in range(1, 7)], "company_id long, ticker string, sector string")
+    scores = spark.createDataFrame([], "ticker string, score_ts timestamp, score double, risk double")
+    specs = spark.createDataFrame(
+        [(r, s, "queued", sec, days[a], days[35], 1000.0 + r, 5, 2, 3, 50.0, "moderate", 0.5, 0.9)
+         for r, (s, sec, a) in enumerate([("momentum", None, 4), ("momentum", "a", 0), ("equal_weight", "b", 2), ("equal_weight", None, 0)])],
+        "run_id long, strategy string, status string, sector string, start_date timestamp, end_date timestamp, initial_capital double, "
+        "rebalance_days int, top_n int, lookback int, threshold double, risk_profile string, max_position_weight double, max_sector_weight double")
+    sizes, keep = [], plan.materialize
+    monkeypatch.setattr(plan, "materialize", lambda df: sizes.append((set(df.columns), keep(df))) or sizes[-1][1])
+    res = plan.execute(specs, bars, comp, scores)
+    assert max(df.count() for cols, df in sizes if "close" in cols) <= len(rows)
+    prices = bars.join(comp, "company_id").join(specs.select("run_id", F.col("sector").alias("s"), "start_date", "end_date", "lookback", "top_n"), F.expr(
+        "(s IS NULL OR s = sector) AND ts BETWEEN start_date AND end_date"))
+    mom = prices.filter("run_id < 2")
+    dates = bt.rebalance_dates(mom, 5)
+    want = bt.trades_of(specs.filter("run_id < 2"), mom, dates, bt.momentum_picks(mom, dates))[0]
+    columns = ["run_id", "ts", "ticker", "action"]
+    got = res.trades.filter("run_id < 2").select(columns)
+    assert want.count() > 0 and sorted(want.select(columns).collect()) == sorted(got.collect())
+    curve = bt.equity_curve(specs, prices, res.trades)
+    assert {(r[0], r[1]): pytest.approx(r[2], abs=0.011) for r in curve.collect()} == {(r[0], r[1]): r[2] for r in res.curve.collect()}
