@@ -39,14 +39,17 @@ add_view("book", "weights divers", """
 
 
 def opportunities(m):
-    pairs = (m.table("orders").select("o_orderkey", "o_custkey")
-             .join(m.table("lineitem").select("l_orderkey", "l_suppkey"), F.col("o_orderkey") == F.col("l_orderkey"))
+    orders = m.table("orders").select("o_orderkey", "o_custkey").join(
+        m.table("customer").select("c_custkey"), F.col("o_custkey") == F.col("c_custkey"), "left_semi")
+    pairs = (orders.join(m.table("lineitem").select("l_orderkey", "l_suppkey"), F.col("o_orderkey") == F.col("l_orderkey"))
              .select(F.col("o_custkey").alias("c_custkey"), F.col("l_suppkey").alias("company_id")).distinct())
-    pairs = pairs.join(m.table("customer").select("c_custkey"), "c_custkey", "left_semi")
     latest = latest_per_key(m.scores(), ["company_id"], "ts").select(
         "company_id", F.col("overall_score").alias("score"), "risk_score")
+    facts = latest.join(m.companies().select("company_id", "ticker", "sector"), "company_id")
+    # narrow rows travel to their portfolio once; what follows from its key is computed there
+    held = pairs.join(facts, "company_id").repartition("c_custkey")
     profiles = F.array(*[F.lit(x) for x in ("conservative", "moderate", "aggressive")])
-    return pairs.join(latest, "company_id").join(m.companies(), "company_id").select(
+    return held.select(
         F.col("c_custkey").alias("portfolio_id"), "ticker", F.col("company_id").alias("seq"), "score", "risk_score", "sector",
         ((15 + F.col("company_id") % 11 * 3) / 100.0).alias("volatility"),  # hundredths without float dust
         (20000.0 + F.col("c_custkey") % 7 * 15000).alias("capital"), F.lit(1000.0).alias("cash_reserve"),

@@ -1,16 +1,17 @@
 """Closed-form allocation of many portfolios at once, and portfolio measures.
 
-Totals per portfolio and per (portfolio, sector) are partial aggregates joined
-back to the rows, so one portfolio with a third of all rows is never one task.
+Totals per portfolio and per (portfolio, sector) are windows over one exchange by
+portfolio: the rows travel once and no plan reads them twice for a join. A portfolio
+holds a ticker once, so its task is bounded by the list of tickers.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyvane.functions.numeric import clamp
-from tallyvane.operators.latest import keep_first, top_per_key
+from tallyvane.operators.latest import top_per_key
 
 # fixed values: risk aversion per profile
 RISK_AVERSION = {"conservative": 3.0, "moderate": 1.5, "aggressive": 0.5}
@@ -25,21 +26,22 @@ def target_weights(opportunities: DataFrame, keys: list[str]) -> DataFrame:
     ``opportunities``: keys, ticker, seq, score, risk_score, sector, risk_profile,
     max_position_weight, max_sector_weight. The first row of a ticker counts.
     """
-    rows = keep_first(opportunities.withColumn("ticker", F.upper("ticker")).filter("ticker <> ''"),
-                      [*keys, "ticker"], "seq")
+    rows = opportunities.withColumn("ticker", F.upper("ticker")).filter("ticker <> ''")
+    # partitioned by the portfolio alone, like all that follows
+    before = F.lag("ticker").over(Window.partitionBy(*keys).orderBy("ticker", "seq"))
+    rows = rows.withColumn("_before", before).filter(~F.col("ticker").eqNullSafe(F.col("_before"))).drop("_before")
     aversion = F.create_map(*[F.lit(x) for pair in RISK_AVERSION.items() for x in pair])
     lam = F.coalesce(F.try_element_at(aversion, F.col("risk_profile")), F.lit(1.5))
     rows = rows.withColumn("_attr", F.greatest(F.lit(0.0), F.col("score") / (1 + lam * F.col("risk_score") / 100)))
-    total = rows.groupBy(*keys).agg(F.sum("_attr").alias("_total"))
-    rows = rows.join(total, keys).withColumn("_w", F.least(
+    rows = rows.withColumn("_total", F.sum("_attr").over(Window.partitionBy(*keys))).withColumn("_w", F.least(
         F.when(F.col("_total") > 0, F.col("_attr") / F.col("_total")).otherwise(0.0), F.col("max_position_weight")))
     return cap_sectors(rows, keys, "_w").withColumnRenamed("_w", "weight").drop("_attr", "_total")
 
 
 def cap_sectors(rows: DataFrame, keys: list[str], weight: str) -> DataFrame:
     """Scale the weights of every sector that exceeds its limit down to it."""
-    sums = rows.groupBy(*keys, "sector").agg(F.sum(weight).alias("_sector"))
-    return rows.join(sums, [*keys, "sector"]).withColumn(
+    total = F.sum(weight).over(Window.partitionBy(*keys, "sector"))
+    return rows.withColumn("_sector", total).withColumn(
         weight, F.col(weight) * F.when(F.col("_sector") > F.col("max_sector_weight"),
                                        F.col("max_sector_weight") / F.col("_sector")).otherwise(1.0)).drop("_sector")
 
@@ -54,13 +56,16 @@ def allocations(weighted: DataFrame) -> DataFrame:
 def portfolio_summary(weighted: DataFrame, keys: list[str]) -> DataFrame:
     """Cash split, weighted score, diagonal risk, diversification and the reason for unspent cash."""
     held = F.col("weight") > DROP_BELOW
-    g = weighted.groupBy(*keys).agg(
+    by_sector = weighted.groupBy(*keys, "sector").agg(
         F.first("capital").alias("capital"), F.first("cash_reserve").alias("cash_reserve"),
         F.count(F.lit(1)).alias("n"), F.count(F.when(held, 1)).alias("n_held"),
         F.sum(F.when(held, F.col("weight")).otherwise(0.0)).alias("_held"),
         F.sum(F.col("weight") * F.col("score")).alias("weighted_score"),
-        F.sqrt(F.sum(F.col("weight") * F.col("weight") * F.col("volatility") * F.col("volatility"))).alias("expected_risk"))
-    g = g.join(diversification(weighted, keys), keys)
+        F.sum(F.col("weight") * F.col("weight") * F.col("volatility") * F.col("volatility")).alias("_var"), *_sector_sums())
+    g = by_sector.groupBy(*keys).agg(
+        F.first("capital").alias("capital"), F.first("cash_reserve").alias("cash_reserve"),
+        *[F.sum(c).alias(c) for c in ("n", "n_held", "_held", "weighted_score")],
+        F.sqrt(F.sum("_var")).alias("expected_risk"), _diversification().alias("diversification"))
     invest = F.col("capital") - F.col("cash_reserve")
     g = g.withColumn("allocated", F.col("_held") * invest).withColumn("unallocated", invest - F.col("allocated"))
     # float dust around zero is not unspent cash
@@ -73,19 +78,24 @@ def portfolio_summary(weighted: DataFrame, keys: list[str]) -> DataFrame:
 
 def diversification(weighted: DataFrame, keys: list[str], correlation_known: bool = False) -> DataFrame:
     """0..100 from holding distribution, sector spread and holding count of the invested part."""
-    held = weighted.filter("weight > 0")
-    by_sector = held.groupBy(*keys, "sector").agg(
-        F.sum("weight").alias("_s"), F.sum(F.pow("weight", F.lit(2.0))).alias("_s2"), F.count(F.lit(1)).alias("_c"))
-    g = by_sector.groupBy(*keys).agg(
-        F.sum("_s").alias("w"), F.sum("_s2").alias("w2"), F.sum(F.pow("_s", F.lit(2.0))).alias("sec2"),
-        F.sum("_c").alias("c"))
+    g = weighted.groupBy(*keys, "sector").agg(*_sector_sums()).groupBy(*keys)
+    return g.agg(_diversification(correlation_known).alias("diversification"))
+
+
+def _sector_sums() -> list[Column]:
+    """Invested weight of a sector, its sum of squares and its count."""
+    weight = F.when(F.col("weight") > 0, F.col("weight"))
+    return [F.sum(weight).alias("_s"), F.sum(F.pow(weight, F.lit(2.0))).alias("_s2"), F.count(weight).alias("_c")]
+
+
+def _diversification(correlation_known: bool = False) -> Column:
+    """The measure as an aggregate of sector sums; 0 where nothing is invested."""
     d = DIVERSIFICATION
-    total = F.col("w") * F.col("w")
-    raw = (d["holdings"] * (1 - F.col("w2") / total) + d["sector"] * (1 - F.col("sec2") / total)
-           + d["count"] * F.least(F.lit(1.0), F.col("c") / 10.0))
+    total = F.sum("_s") * F.sum("_s")
+    raw = (d["holdings"] * (1 - F.sum("_s2") / total) + d["sector"] * (1 - F.sum(F.pow("_s", F.lit(2.0))) / total)
+           + d["count"] * F.least(F.lit(1.0), F.sum("_c") / 10.0))
     score = raw + d["correlation"] * 0.5 if correlation_known else raw / (d["holdings"] + d["sector"] + d["count"])
-    out = g.select(*keys, F.round(clamp(score * 100, 0, 100), 2).alias("diversification"))
-    return weighted.select(*keys).distinct().join(out, keys, "left").fillna(0.0, ["diversification"])
+    return F.when(F.sum("_c") > 0, F.round(clamp(score * 100, 0, 100), 2)).otherwise(0.0)
 
 
 def correlated_risk(weights: DataFrame, returns: DataFrame, keys: list[str]) -> DataFrame:
