@@ -219,7 +219,7 @@ def period_type_labels(m):
 
 def filing_payloads(m):
     """Nested filing facts: durations, instants, a restated revenue and a year-to-date row."""
-    s = m.statements().withColumn("e", F.to_date("period")).withColumn(
+    s = m.statements().repartition("company_id").withColumn("e", F.to_date("period")).withColumn(
         "days", F.when(F.col("period_type") == "quarterly", 91).otherwise(364))
     form = F.when(F.col("period_type") == "annual", "10-K").otherwise("10-Q")
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyvane.operators import events, fundamentals, indicators, linking, statements, upsert, validation
@@ -31,9 +31,11 @@ def ingest_fundamentals(primary: DataFrame, income: DataFrame, balance: DataFram
     official = vendor.filing_statements(primary)
     parts = {f: vendor.statement_family(p, f) for f, p in (("income", income), ("balance", balance), ("cashflow", cashflow))}
     merged = statements.merge_families(parts["income"], parts["balance"], parts["cashflow"])
-    fallback = merged.join(official.select("company_id").distinct(), "company_id", "left_anti")
     rows = official.withColumn("origin", F.lit("filing")).unionByName(
-        fallback.withColumn("origin", F.lit("vendor")), allowMissingColumns=True)
+        merged.withColumn("origin", F.lit("vendor")), allowMissingColumns=True)
+    # both sides are read once: a company's filings turn its vendor rows away where they meet
+    filed = F.max(F.col("origin") == "filing").over(Window.partitionBy("company_id"))
+    rows = rows.withColumn("_filed", filed).filter("origin = 'filing' OR NOT _filed OR company_id IS NULL").drop("_filed")
     good = validation.accepted(validation.check(rows, validation.statement_rules())).withColumn("seq", F.lit(0))
     return upsert.new_rows(good, stored, ["company_id", "period", "period_type"], "seq").drop("seq")
 

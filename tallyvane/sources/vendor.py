@@ -7,7 +7,7 @@ through ``try_cast`` instead of failing the job.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyvane.functions.times import parse_timestamp
@@ -245,13 +245,15 @@ def filing_statements(payloads: DataFrame) -> DataFrame:
     replace earlier ones; capital expenditure is stored negative.
     """
     fields = list(CANONICAL_ALIASES)
+    # payloads are parsed once, and one exchange by company serves every group below
     points = (
         filing_points(payloads)
         .join(_alias_rows(payloads.sparkSession, CANONICAL_ALIASES), "alias")
         .filter(F.col("unit") == F.when(F.col("field") == "eps", "USD/shares").otherwise("USD"))
+        .repartition("company_id")
     )
-    best = points.groupBy("company_id", "field").agg(F.min("priority").alias("priority"))
-    points = points.join(best, ["company_id", "field", "priority"], "left_semi").filter(
+    best = F.min("priority").over(Window.partitionBy("company_id", "field"))
+    points = points.withColumn("_best", best).filter("priority = _best").filter(
         F.col("form").isin("10-K", "10-Q") & (F.coalesce("end", F.lit("")) != ""))
     days = F.datediff(F.to_date("end"), F.to_date("start"))
     points = points.withColumn(
@@ -265,10 +267,9 @@ def filing_statements(payloads: DataFrame) -> DataFrame:
         *[latest(f).alias(f) for f in fields],
         F.max("filed").alias("filed_date"),
         F.max_by("accn", when).alias("source_id"))
-    spans = wide.filter("kind <> 'instant'")
-    instants = wide.filter("kind = 'instant'").select(
-        "company_id", "end", *[F.col(f).alias(f"i_{f}") for f in fields])
-    merged = spans.join(instants, ["company_id", "end"], "left").select(
+    at_end = Window.partitionBy("company_id", "end")
+    instant = lambda f: F.max(F.when(F.col("kind") == "instant", F.col(f))).over(at_end)
+    merged = wide.withColumns({f"i_{f}": instant(f) for f in fields}).filter("kind <> 'instant'").select(
         "company_id", F.col("end").alias("period"), F.col("kind").alias("period_type"),
         *[F.coalesce(f"i_{f}", f).alias(f) for f in fields], "filed_date", "source_id")
     merged = merged.withColumn("capital_expenditure", -F.abs("capital_expenditure"))

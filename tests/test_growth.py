@@ -1,10 +1,12 @@
 """Plans that must not read, shuffle or hold more than once what grows with the tables."""
 
+import json
 import re
 
 from pyspark.sql import functions as F
 
 from tallyvane.operators import portfolio
+from tallyvane.sources import vendor
 
 
 def exchanges(df) -> int:
@@ -23,3 +25,20 @@ def test_portfolio_rows_travel_once(spark):
     # a position without a sector is a position
     assert {r["portfolio_id"]: r["n"] for r in book.collect()} == {1: 8, 2: 8}
     assert {(r["portfolio_id"], r["seq"]) for r in w.filter("ticker = 'T0'").collect()} == {(1, 0), (2, 0)}
+
+
+def test_filings_are_parsed_once(spark):
+    def point(start, end, val, filed, form="10-Q"):
+        return {"start": start, "end": end, "val": val, "form": form, "filed": filed, "accn": filed, "fp": "Q1", "fy": 2020}
+
+    usd = lambda *points: {"units": {"USD": list(points)}}
+    gaap = {"Revenues": usd(point("2020-01-01", "2020-03-31", 5.0, "2020-04-30"), point("2020-01-01", "2020-03-31", 6.0, "2020-05-30")),
+            "Assets": usd(point(None, "2020-03-31", 9.0, "2020-04-30")),
+            "LongTermDebt": usd(point(None, "2020-03-31", 3.0, "2020-04-30")),
+            "DebtLongtermAndShorttermCombined": usd(point(None, "2020-03-31", 1.0, "2020-04-30"))}
+    payloads = spark.createDataFrame([(1, json.dumps({"facts": {"us-gaap": gaap}}))], "company_id long, payload string")
+    out = vendor.filing_statements(payloads)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and plan.count("Generate explode") == 3
+    (row,) = out.collect()
+    assert (row["period"], row["period_type"], row["revenue"], row["total_assets"]) == ("2020-03-31", "quarterly", 6.0, 9.0)
