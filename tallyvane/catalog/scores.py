@@ -7,7 +7,7 @@ from datetime import timedelta
 from pyspark.sql import functions as F
 
 from tallyvane.catalog.common import rnd, sql_rnd
-from tallyvane.catalog.events import market_events, scored_news
+from tallyvane.catalog.events import EVENT_DAYS, market_events, scored_news
 from tallyvane.catalog.prices import TECH_DAYS
 from tallyvane.catalog.registry import query
 from tallyvane.catalog.risk import risk_of
@@ -144,9 +144,11 @@ def financial_quality(m):
     SELECT company_id, price, technical, news, events, round(fundamental, 6) AS fundamental, round(overall_raw, 4) AS quality,
            overall_raw >= 0.4 AS sufficient FROM quality"""))
 def data_quality(m):
-    i = inputs(m)
-    fin = plan.financial_inputs(i["companies"], i["metrics"], i["statements"], m.now)
-    q = plan.quality_of(i["companies"], i["bars"], i["technical"], i["news"], i["links"], i["events"], fin, m.now)
+    """Quality asks when a source has rows, not what they say: no bar is written, no text scored, no reaction looked up."""
+    statements = stored(m.statements(), "quality-statements")
+    fin = plan.financial_inputs(m.companies(), fund.financial_metrics(statements), statements, m.now)
+    found = events.event_rows(scored_news(m), m.company_news(), m.now, m.days_ago(EVENT_DAYS))
+    q = plan.quality_of(m.companies(), m.trade_days(), technical_of(m), m.news(), m.company_news(), found, fin, m.now)
     return q.select("company_id", "price", "technical", "news", "events", *rnd("fundamental"), "quality", "sufficient")
 
 

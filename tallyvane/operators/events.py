@@ -74,7 +74,13 @@ def classify_news(news: DataFrame) -> DataFrame:
 def detect_events(news: DataFrame, links: DataFrame, bars: DataFrame, as_of, since,
                   known: DataFrame | None = None,
                   min_relevance: float = SETTINGS.min_event_relevance) -> DataFrame:
-    """Events from linked news: gate, classify, score, weigh, dedup, correlate with prices.
+    """Events from linked news, their impact corrected by the price's reaction."""
+    return relabel_from_price(event_rows(news, links, as_of, since, known, min_relevance), bars)
+
+
+def event_rows(news: DataFrame, links: DataFrame, as_of, since, known: DataFrame | None = None,
+               min_relevance: float = SETTINGS.min_event_relevance) -> DataFrame:
+    """Events from linked news as the wording tells them: gate, classify, score, weigh, dedup.
 
     Articles are classified once (here, unless they come with an event_type),
     before the join with their links, so only short columns are shuffled. One
@@ -100,7 +106,7 @@ def detect_events(news: DataFrame, links: DataFrame, bars: DataFrame, as_of, sin
     rows = rows.dropDuplicates(["company_id", "news_id"])
     if known is not None:
         rows = rows.join(known.select("company_id", "news_id"), ["company_id", "news_id"], "left_anti")
-    return relabel_from_price(rows, bars)
+    return rows
 
 
 def relabel_from_price(events: DataFrame, bars: DataFrame, min_materiality: float = 0.5) -> DataFrame:

@@ -1,10 +1,12 @@
 """Plans that must not read, shuffle or hold more than once what grows with the tables."""
 
+import datetime as dt
 import json
 import re
 
 from pyspark.sql import functions as F
 
+from tallyvane.catalog.registry import load_all
 from tallyvane.operators import portfolio
 from tallyvane.sources import vendor
 
@@ -42,3 +44,40 @@ def test_filings_are_parsed_once(spark):
     assert plan.count("Exchange hashpartitioning") == 1 and plan.count("Generate explode") == 3
     (row,) = out.collect()
     assert (row["period"], row["period_type"], row["revenue"], row["total_assets"]) == ("2020-03-31", "quarterly", 6.0, 9.0)
+
+
+def query_plan(spark, name):
+    out = load_all()[name].run(spark, "/root/testdata/sf0.001")
+    return out, out._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_quality_looks_up_no_price(spark):
+    _, plan = query_plan(spark, "data_quality")
+    trades = [line for line in plan.splitlines() if "l_shipdate" in line and "Relation" not in line]
+    # days of trades are counted, no price of theirs is in the plan
+    assert trades and not any("l_tax" in line for line in trades)
+
+
+def test_sections_share_bars_and_statements(spark):
+    out, plan = query_plan(spark, "research_sections")
+    # trades are scanned for companies with few recent bars only
+    assert sum("Relation" in line and "l_shipdate" in line for line in plan.splitlines()) == 1
+    assert out.count() == spark.read.parquet("/root/testdata/sf0.001/supplier.parquet").count()
+
+
+def test_newest_bars_of_short_and_long_companies(spark):
+    load_all()
+    from tallyvane.catalog.sections import newest_bars
+
+    day = lambda i: dt.datetime(2020, 1, 1) + dt.timedelta(days=i)
+    rows = spark.createDataFrame([(1, day(i)) for i in range(5)] + [(2, day(0)), (2, day(4))], "company_id long, ts timestamp")
+
+    class Two:
+        def bars(self):
+            return rows
+
+        def recent_bars(self, days):
+            return rows.filter(F.col("ts") >= day(3))
+
+    got = sorted((r["company_id"], r["ts"].day) for r in newest_bars(Two(), 2).collect())
+    assert got == [(1, 4), (1, 5), (2, 1), (2, 5)]
