@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -33,7 +33,10 @@ def hashing_encoder(dim: int) -> Encoder:
 
 
 def embed(items: DataFrame, text: str, encoder: Encoder, chunk: int = 100) -> DataFrame:
-    """Adds ``embedding``; a failing chunk is retried item by item, bad items get NULL."""
+    """Adds ``embedding``; a failing chunk is retried item by item, bad items get NULL.
+
+    Only one chunk's texts and vectors are Python objects at a time; the rest of a batch stays in its Arrow buffers.
+    """
     schema = items.schema.simpleString()[7:-1] + ",embedding:array<double>"
 
     def encode_chunk(texts: list[str]) -> list[list[float] | None]:
@@ -52,13 +55,15 @@ def embed(items: DataFrame, text: str, encoder: Encoder, chunk: int = 100) -> Da
                 out.append(None)
         return out
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            texts = pdf[text].fillna("").tolist()
-            vectors = [v for i in range(0, len(texts), chunk) for v in encode_chunk(texts[i:i + chunk])]
-            yield pdf.assign(embedding=vectors)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, batch.num_rows, chunk):
+                part = batch.slice(i, chunk)
+                texts = ["" if t is None else t for t in part.column(text).to_pylist()]
+                vectors = pa.array(encode_chunk(texts), pa.list_(pa.float64()))
+                yield pa.RecordBatch.from_arrays([*part.columns, vectors], [*part.schema.names, "embedding"])
 
-    return items.mapInPandas(run, schema)
+    return items.mapInArrow(run, schema)
 
 
 def news_text() -> Column:

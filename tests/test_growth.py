@@ -7,7 +7,7 @@ import re
 from pyspark.sql import functions as F
 
 from tallyvane.catalog.registry import load_all
-from tallyvane.operators import portfolio
+from tallyvane.operators import embedding, portfolio
 from tallyvane.sources import vendor
 
 
@@ -81,3 +81,20 @@ def test_newest_bars_of_short_and_long_companies(spark):
 
     got = sorted((r["company_id"], r["ts"].day) for r in newest_bars(Two(), 2).collect())
     assert got == [(1, 4), (1, 5), (2, 1), (2, 5)]
+
+
+def test_embedding_holds_one_chunk(spark):
+    items = spark.range(0, 2500, 1, 1).select("id", F.when(F.col("id") != 7, F.concat(F.lit("w"), "id")).alias("text"))
+
+    def encoder(texts):
+        import sys
+
+        # a batch taken apart whole would be a frame in a caller's locals
+        frame, whole = sys._getframe(), 0
+        while frame:
+            whole = max([whole, *[len(v) for v in frame.f_locals.values() if type(v).__name__ in ("DataFrame", "list")]])
+            frame = frame.f_back
+        return [[float(whole), 1.0] for _ in texts]
+
+    got = embedding.embed(items, "text", encoder, chunk=50).collect()
+    assert len(got) == 2500 and max(r["embedding"][0] for r in got) <= 100
