@@ -380,3 +380,19 @@ def test_leaks(spark, documents):
     kept = {r["doc_id"] for r in decontaminate.drop_contaminated(documents(rows), bench).collect()}
     assert kept == {r[0] for r in rows} - {d for d, _ in found}
     assert decontaminate.find_leaks(documents(rows), bench.limit(0)).count() == 0
+
+
+def test_shards_draw_near_copies_together(spark, documents):
+    # families of three texts with one opening; two of the three are a pair of equal texts
+    start = "the quick brown fox number {} jumps over the lazy dog and runs through the wide green field until evening "
+    texts = [start.format(f"x{i // 4}y") * 2 + ("same", "same", "other", "third")[i % 4] for i in range(4 * 150)]
+    docs = documents(list(enumerate(texts + [f"text {i}" for i in range(1200)])))
+
+    def together(rounds):
+        out = sharding.shard_documents(docs, 3, rounds).collect()
+        assert [sum(r["shard"] == s for r in out) for s in range(3)] == [600, 600, 600]
+        place = {r["doc_id"]: r["shard"] for r in out}
+        assert sum(place[4 * i] != place[4 * i + 1] for i in range(150)) <= 3
+        return sum(len({place[4 * i + j] for j in range(4)}) == 1 for i in range(150))
+
+    assert together(8) > together(0)
