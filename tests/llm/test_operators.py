@@ -4,6 +4,7 @@ import hashlib
 import itertools
 import math
 import random
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -114,6 +115,35 @@ def test_blocks_are_left_out_and_the_nearest_still_found(monkeypatch):
     assert 0 < index.blocks_scored < 0.7 * index.blocks_met
 
 
+def test_a_block_keeps_only_the_frequent_terms_it_holds(monkeypatch):
+    monkeypatch.setattr(toxicity, "BLOCK", 4)
+    examples = [{10 * (i // 4) + t: 1 + t for t in range(10)} | {40: 1} for i in range(16)] + [{}]
+    index = toxicity.BlockMaxIndex(41, np.ones(41), np.zeros(17, np.int8), list(range(17))).fill(examples)
+    made = index.prepared()
+    assert [part.shape for part in made["dense"]] == [(11, 4)] * 4 + [(0, 4)]  # not 41 rows in each of five blocks
+    near = index.nearest_all([(np.array([-3, 12, 40]), np.array([1, 2, 1])), {12: 2, -3: 1, 40: 1}, {}], 17)
+    assert near[0] == near[1] and [i for i, _, _ in near[0]] == [4, 5, 6, 7, 0, 1, 2, 3, *range(8, 16)] and near[2] == []
+
+
+def test_toxicity_counts_words_as_the_expression_finds_them(monkeypatch):
+    monkeypatch.setattr(toxicity, "MEMO", 40)
+    odd = "".join(map(chr, [*range(1, 0x3000), *range(0xD7F0, 0xD800), *range(0xE000, 0xE010), *range(0x10300, 0x10400), 0x1D400, 0x1F600, 0x10FFFF]))
+    rng = random.Random(5)
+    texts = ["", None, "  ", "Abc aBC abcd_abcde9abcdef İI ΟΣ ΟΣΑ x² ½ ٣ é e\u0301", odd, *[prose(rng, 60) for _ in range(20)]]
+    words = {w for t in texts for w in toxicity.LETTERS.findall((t or "").lower())}
+    vocabulary = {f: i for i, f in enumerate(sorted({f for w in words for f in toxicity.word_features(w)})) if i % 3}
+    take = toxicity.Vectorizer({f: n for n, f in enumerate(vocabulary)})
+    for text in texts:
+        found = toxicity.LETTERS.findall((text or "").lower())
+        assert toxicity.words_of(text) == found
+        want = Counter(f for w in found for f in toxicity.word_features(w))
+        terms, counts = take.counted(text)
+        assert np.array_equal(terms, np.unique(terms))
+        known = terms >= 0
+        assert dict(zip(terms[known].tolist(), counts[known].tolist())) == {take.vocabulary[f]: n for f, n in want.items() if f in vocabulary}
+        assert sorted(counts[~known].tolist()) == sorted(n for f, n in want.items() if f not in vocabulary)
+
+
 def test_toxicity_sample_is_bounded(spark):
     rows = [(i % 900, int(i % 3 == 0)) for i in range(1200)] + [(None, 1), (5, None), (6, 7)]
     picked = toxicity.draw(spark.createDataFrame(rows, "key bigint, label int"), 100, 200).collect()
