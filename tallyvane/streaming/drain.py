@@ -16,10 +16,14 @@ EVENT_SCHEMA = T.StructType([
 ])
 
 
+def table_stream(spark: SparkSession, directory: str, name: str, schema: T.StructType, files_per_trigger: int = 1000) -> DataFrame:
+    """A table as a file stream; ``<name>*.parquet`` are files or folders of files."""
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(f"{directory}/{name}*.parquet")
+
+
 def event_stream(spark: SparkSession, directory: str, files_per_trigger: int = 1000) -> DataFrame:
     """The event log as a file stream with event time as TIMESTAMP."""
-    raw = (spark.readStream.schema(EVENT_SCHEMA).option("pathGlobFilter", "events*.parquet")
-           .option("maxFilesPerTrigger", files_per_trigger).parquet(directory))
+    raw = table_stream(spark, directory, "events", EVENT_SCHEMA, files_per_trigger)
     return raw.withColumn("ts", raw["ts"].cast("timestamp"))
 
 

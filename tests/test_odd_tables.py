@@ -4,15 +4,22 @@ import duckdb
 
 from tallyvane.catalog.registry import load_all
 from tallyvane.sources.tables import TABLES
+from tallyvane.streaming import drain
 
 
-def differs(spark, folder, name, changed):
-    """Rows of a query and of its SQL that the other doesn't have; ``changed``: the smallest tables' rows as SQL, by name."""
+def differs(spark, folder, name, changed, folders=()):
+    """Rows of a query and of its SQL that the other doesn't have.
+
+    ``changed``: the smallest tables' rows as SQL, by name; ``folders``: tables that are folders of files.
+    """
     con = duckdb.connect()
     for t in TABLES:
         given = f"'/root/testdata/sf0.001/{t}.parquet'"
-        con.execute(f"COPY ({changed.get(t, 'SELECT * FROM {}').format(given)}) TO '{folder}/{t}.parquet'")
-        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{folder}/{t}.parquet'")
+        con.execute(f"CREATE TABLE {t} AS {changed.get(t, 'SELECT * FROM {}').format(given)}")
+        if t in folders:
+            spark.createDataFrame(con.execute(f"FROM {t}").to_arrow_table()).repartition(3).write.parquet(f"{folder}/{t}.parquet")
+        else:
+            con.execute(f"COPY {t} TO '{folder}/{t}.parquet'")
     q = load_all()[name]
     df = q.run(spark, str(folder))
     cur = con.execute(q.sql)
@@ -28,3 +35,9 @@ def test_entities_that_share_an_id_are_all_embedded(spark, tmp_path):
     more = ("SELECT * FROM {} UNION ALL SELECT * FROM (VALUES (0, 102, 'assistant', 'a much longer answer'), (0, 102, 'assistant', 'a much longer answer'), "
             "(1, 2, 'assistant', 'short'), (2, 1, 'assistant', NULL), (2, 2, 'assistant', NULL))")
     assert differs(spark, tmp_path, "embedding_job", {"conversations": more}) == ([], [], 0)
+
+
+def test_streamed_tables_may_be_folders(spark, tmp_path):
+    assert differs(spark, tmp_path, "news_to_alerts", {}, ["documents", "events"]) == ([], [], 0)
+    events = spark.read.parquet(f"{tmp_path}/events.parquet").count()
+    assert drain.drain(drain.event_stream(spark, str(tmp_path))).count() == events > 0
