@@ -77,8 +77,8 @@ def portfolio_allocations(m):
                 ELSE 'position limits prevent full deployment' END AS reason
     FROM book"""))
 def portfolio_summaries(m):
-    """Every portfolio's totals and why cash is left."""
-    s = p.portfolio_summary(weighted(m), ["portfolio_id"])
+    """Every portfolio's totals and why cash is left; one without any weight has no diversification."""
+    s = p.portfolio_summary(weighted(m), ["portfolio_id"]).withColumn("diversification", F.nullif("diversification", F.lit(0.0)))
     return s.select("portfolio_id", "n", "n_held", *rnd("allocated", "unallocated", digits=4),
                     *rnd("weighted_score", "expected_risk"), *rnd("diversification", digits=1), "reason")
 

@@ -126,7 +126,7 @@ def _tenths(c) -> Column:
 
 
 def explanations(weighted: DataFrame, summary: DataFrame, keys: list[str], top: int = 5) -> DataFrame:
-    """Text lines of each portfolio with its largest positions."""
+    """Text lines of each portfolio with its largest positions, next to its diversification."""
     best = top_per_key(allocations(weighted), keys, [F.desc("weight"), F.asc("ticker")], top, rank_col="_rk")
     line = F.format_string("  %s: %s%% of investable (%s%% of total, $%,.0f)", "ticker",
                            _tenths(F.col("weight") * 100), _tenths(F.col("portfolio_weight") * 100), "amount")
@@ -142,7 +142,7 @@ def explanations(weighted: DataFrame, summary: DataFrame, keys: list[str], top:
         F.format_string("Diversification score: %.0f/100", "diversification"),
         F.format_string("Portfolio fit score: %s/100", _tenths("weighted_score")),
         F.lit("Top allocations:"), F.coalesce("_lines", F.lit("")))
-    return s.select(*keys, text.alias("explanation"))
+    return s.select(*keys, "diversification", text.alias("explanation"))
 
 
 def latest_opportunities(scores: DataFrame, risk: DataFrame, companies: DataFrame, limit: int | None = 20) -> DataFrame:

@@ -41,3 +41,14 @@ def test_streamed_tables_may_be_folders(spark, tmp_path):
     assert differs(spark, tmp_path, "news_to_alerts", {}, ["documents", "events"]) == ([], [], 0)
     events = spark.read.parquet(f"{tmp_path}/events.parquet").count()
     assert drain.drain(drain.event_stream(spark, str(tmp_path))).count() == events > 0
+
+
+def test_portfolios_without_any_weight(spark, tmp_path):
+    """Suppliers whose last quarter is all returns score 0; here every other one is, and customers hold one each."""
+    changed = {
+        "lineitem": "SELECT * REPLACE (CASE WHEN l_suppkey % 2 = 0 THEN 'R' ELSE 'N' END AS l_returnflag) FROM {} WHERE l_linenumber = 1",
+        "orders": "SELECT * REPLACE (o_orderkey AS o_custkey) FROM {}",
+        "customer": "SELECT * REPLACE (c_custkey + 150 * i AS c_custkey) FROM {}, range(10) r(i)"}
+    for name in ("portfolio_texts", "portfolio_summaries"):
+        (tmp_path / name).mkdir()
+        assert differs(spark, tmp_path / name, name, changed) == ([], [], 0)
