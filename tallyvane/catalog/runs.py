@@ -12,7 +12,7 @@ from tallyvane.catalog.common import day_text, rnd, sql_day, sql_rnd
 from tallyvane.catalog.registry import QUERIES, query
 from tallyvane.catalog.sqlviews import VIEWS, add_view, with_views
 from tallyvane.operators import snapshots
-from tallyvane.operators.materialize import shared_folder
+from tallyvane.operators.materialize import shared_folder, stored
 from tallyvane.plans import run_store as rs
 
 SNAPSHOT = dt.datetime(2000, 6, 30)
@@ -94,19 +94,24 @@ def moved_analyses(m):
         "llm_confidence", F.col("source_count").alias("evidence_count"))
 
 
-def snapshot_folder(m):
+def snapshot_folder(m, bars=None, scores=None, companies=None):
     """A stored snapshot of mid 2000, written twice, and an earlier one."""
     path = f"{shared_folder(m.spark)}/snapshots-{uuid.uuid4().hex}"
     for day in (dt.datetime(1998, 12, 31), SNAPSHOT, SNAPSHOT):
-        snapshots.write_snapshot(m.bars(until=day), m.scores(), m.companies(), F.lit(day), path)
+        snapshots.write_snapshot(m.bars(until=day) if bars is None else bars, m.scores() if scores is None else scores,
+                                 m.companies() if companies is None else companies, F.lit(day), path)
     return path
 
 
 def stored_runs(m, momentum=False):
     """The queue executed twice into a fresh store; the second pass finds nothing to do."""
     store = rs.run_store(m.spark, f"{shared_folder(m.spark)}/runs-{uuid.uuid4().hex}")
-    pinned = snapshots.pinned_prices(snapshots.stored_snapshots(m.spark, snapshot_folder(m)))
-    inputs = (specs(m, momentum), m.bars(), m.companies(), m.scores(), moved_analyses(m), pinned)
+    # trades travel once: snapshots, series, benchmarks and evaluations all read these
+    bars = stored(m.bars().select("company_id", "ts", "close", "volume"), "run-bars")
+    scores = stored(m.scores(), "run-scores")
+    companies = stored(m.companies(), "run-companies")  # of known size, so a small list is broadcast and bars stay
+    pinned = snapshots.pinned_prices(snapshots.stored_snapshots(m.spark, snapshot_folder(m, bars, scores, companies)))
+    inputs = (specs(m, momentum), bars, companies, scores, moved_analyses(m), pinned)
     rs.execute_queue(store, *inputs)
     if rs.execute_queue(store, *inputs):
         raise RuntimeError("a stored run was executed again")

@@ -44,13 +44,13 @@ def run_store(spark: SparkSession, root: str) -> Store:
 def benchmark_points(runs: DataFrame, bars: DataFrame, companies: DataFrame, pinned: DataFrame) -> DataFrame:
     """(run_id, ts, close, source): benchmark prices of each run, from its snapshot where that has two points in the period, else live.
 
-    Fewer than two live points give none.
+    Fewer than two live points give none. Runs are few: bars and snapshots stay where they are.
     """
     want = runs.select("run_id", F.upper("benchmark_ticker").alias("ticker"), "start_date", "end_date", "snapshot_day")
     inside = F.col("ts").between(F.col("start_date"), F.col("end_date"))
     named = companies.select("company_id", "ticker").join(want, "ticker")
-    live = bars.join(named, "company_id").filter(inside).select("run_id", "ts", "close", F.lit("live").alias("source"))
-    fixed = pinned.join(want, ["snapshot_day", "ticker"]).filter(inside).select("run_id", "ts", "close", F.lit("snapshot").alias("source"))
+    live = bars.join(F.broadcast(named), "company_id").filter(inside).select("run_id", "ts", "close", F.lit("live").alias("source"))
+    fixed = pinned.join(F.broadcast(want), ["snapshot_day", "ticker"]).filter(inside).select("run_id", "ts", "close", F.lit("snapshot").alias("source"))
     both = fixed.unionByName(live)
     enough = both.groupBy("run_id", "source").agg(F.count(F.lit(1)).alias("n")).filter("n >= 2")
     # 'snapshot' sorts behind 'live'
