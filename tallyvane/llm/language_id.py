@@ -106,6 +106,11 @@ class Profiles:
     dims: int
     seed: int
 
+    @property
+    def chance(self) -> float:
+        """Three deviations of the cosine with a prototype that shares no trigram; nothing at or below it tells a language."""
+        return 3 / float(np.sqrt(self.dims))
+
     def judge(self, encoder: Encoder, text: str | None) -> tuple[str, float]:
         """(language, cosine clipped to 0..1); equal cosines go to the first name."""
         grams, counts = trigrams(text) if text else (np.zeros(0, np.uint64), None)
